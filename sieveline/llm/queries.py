@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.quality_rules import quality_filter
+from sieveline.llm.secrets import count_kind, find_secrets, joined
+from sieveline.llm.url_filter import UrlRule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +25,104 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id",
+        *[count_kind(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_filter(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+
+
+ORACLES["op6_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents),
+win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS w FROM d, unnest(range(1, len(ws) - 3)) AS r(i) WHERE len(ws) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(0, 5) AS o(k) WHERE c > 1 GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, d.t, d.lines, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(list_filter(lines, lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')))
+              - len(list_distinct(list_filter(lines, lambda x: NOT regexp_full_match(x, '[\x20\x09-\x0D]*')))) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+         length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters,
+         length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper_letters
+  FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * len(lines) OR 10 * letters < 6 * word_chars OR (2 * upper_letters > letters AND letters > 0)
+            OR 10 * (length(t) - length(replace(t, '!', ''))) > 3 * n_words
+            OR 10 * len(list_filter(lines, lambda x: ends_with(x, '...') OR ends_with(x, '…'))) > 3 * len(lines)) AS kept
+FROM b
+"""
+
+#: Verdict, host, path prefix.
+URL_RULES = [
+    UrlRule("allow", "com", "/"),
+    UrlRule("block", "example.com", "/en/"),
+    UrlRule("allow", "www.example.com", "/en/"),
+    UrlRule("block", "net", "/es/"),
+    UrlRule("block", "net", "/fr/"),
+]
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+ORACLES["op9_url_filter"] = r"""
+WITH RECURSIVE rules(v, h, p) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
+found AS (
+  SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b')
+                   THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                   WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b')
+                   THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) END AS t
+  FROM tags),
+urls AS (
+  SELECT url AS u, url AS of_url, CAST(NULL AS VARCHAR) AS target FROM pages
+  UNION
+  SELECT CASE WHEN instr(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+              WHEN starts_with(t, '/') THEN regexp_replace(url, '^(.*?://[^/?#]*).*$', '\1') || t END, url, t FROM found WHERE t <> ''),
+cut AS (SELECT DISTINCT u, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM urls WHERE u IS NOT NULL),
+parts AS (
+  SELECT u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS q FROM cut),
+ruled AS (
+  SELECT u, host, path, CASE WHEN host <> '' THEN host || path || q END AS address,
+         (SELECT max(struct_pack(n := length(h || p), r := h || p, v := v)) FROM rules
+          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
+  FROM parts),
+e AS (
+  SELECT a.address AS x, b.address AS y FROM urls JOIN ruled a ON a.u = urls.of_url JOIN ruled b ON b.u = urls.u
+  WHERE target IS NOT NULL AND a.address <> b.address),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
+shared AS (SELECT reach.x AS address, min(best.v) AS v FROM reach JOIN ruled ON ruled.address = reach.y GROUP BY reach.x)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.r AS rule, coalesce(best.v, shared.v, 'allow') AS verdict
+FROM pages LEFT JOIN ruled ON ruled.u = pages.url LEFT JOIN shared USING (address)
+"""
