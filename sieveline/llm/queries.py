@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.bpe import bpe_digests, encode_and_decode
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.quality_rules import quality_filter
@@ -126,3 +127,12 @@ shared AS (SELECT reach.x AS address, min(best.v) AS v FROM reach JOIN ruled ON
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.r AS rule, coalesce(best.v, shared.v, 'allow') AS verdict
 FROM pages LEFT JOIN ruled ON ruled.u = pages.url LEFT JOIN shared USING (address)
 """
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    coded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", *bpe_digests())
