@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.quality_model import held_out, train_quality
 from sieveline.llm.quality_rules import quality_filter
 from sieveline.llm.secrets import count_kind, find_secrets, joined
 from sieveline.llm.url_filter import UrlRule, filter_urls
@@ -28,6 +29,17 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=2)
 
 
+#: Scores from here on count as good.
+GOOD = 0.3
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.score(docs).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

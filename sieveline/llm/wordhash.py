@@ -17,6 +17,9 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(20_231)
 _VALUE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _VALUE[65:91] = _VALUE[97:123]
+#: Bytes by kind for shapes: a for small letters and all beyond ASCII, A for large ones, 0 for digits, others as they are.
+_KIND = np.arange(256, dtype=np.uint8)
+_KIND[97:123], _KIND[128:], _KIND[65:91], _KIND[48:58] = 1, 1, 2, 3
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
@@ -69,8 +72,28 @@ def _blocks(text: bytes) -> Iterator[bytes]:
     yield text[at:]
 
 
-def word_hashes(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs of texts i:j, the hashes of all their words and where each text's words begin in them (and the end)."""
+def _words(data: np.ndarray) -> np.ndarray:
+    return hash_runs(_VALUE[data], *bounds(data))[None]
+
+
+def words_and_shapes(data: np.ndarray) -> np.ndarray:
+    """Two rows: hashes of the words, and of their shapes, where runs of small, large, digit and other bytes count once."""
+    starts, ends = bounds(data)
+    kind = _KIND[data]
+    keep = np.ones(len(data), bool)
+    keep[1:] = kind[1:] != kind[:-1]
+    keep &= ~SPACE[data]
+    count = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=count[1:])
+    shapes = hash_runs(_VALUE[kind[keep]], count[starts], count[ends])
+    return np.stack([hash_runs(_VALUE[data], starts, ends), shapes])
+
+
+def word_hashes(texts: list[bytes | None], of=_words) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts i:j, the hashes of all their words and where each text's words begin in them (and the end).
+
+    ``of`` makes rows of hashes from bytes; with more than one row the result has these rows.
+    """
     i = 0
     while i < len(texts):
         j, size = i, 0
@@ -78,18 +101,15 @@ def word_hashes(texts: list[bytes | None]) -> Iterator[tuple[int, int, np.ndarra
             size += len(texts[j] or b"") + 1
             j += 1
         if j == i + 1 and size > BLOCK + 1:
-            parts = []
-            for block in _blocks(texts[i]):
-                data = np.frombuffer(block, np.uint8)
-                parts.append(hash_runs(_VALUE[data], *bounds(data)))
-            hashes = np.concatenate(parts)
-            yield i, j, hashes, np.array([0, len(hashes)])
+            rows = np.concatenate([of(np.frombuffer(block, np.uint8)) for block in _blocks(texts[i])], axis=1)
+            ptr = np.array([0, rows.shape[1]])
         else:
             data = np.frombuffer(b"\n".join(t or b"" for t in texts[i:j]), np.uint8)
-            starts, ends = bounds(data)
+            rows = of(data)
             begin = np.zeros(j - i + 1, np.int64)
             np.cumsum([len(t or b"") + 1 for t in texts[i:j]], out=begin[1:])
-            yield i, j, hash_runs(_VALUE[data], starts, ends), np.searchsorted(starts, begin)
+            ptr = np.searchsorted(bounds(data)[0], begin)
+        yield i, j, rows[0] if len(rows) == 1 else rows, ptr
         i = j
 
 
