@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.pii import pseudonymise_documents
 from sieveline.llm.quality_model import held_out, train_quality
 from sieveline.llm.quality_rules import quality_filter
 from sieveline.llm.secrets import count_kind, find_secrets, joined
@@ -148,3 +149,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     coded = encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", *bpe_digests())
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return pseudonymise_documents(docs)
