@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.llm.ann import nearest
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
@@ -155,3 +156,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return pseudonymise_documents(docs)
+
+
+@query
+def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
