@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.ann import nearest
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
+from sieveline.llm.kneser_ney import train_pairs
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
 from sieveline.llm.pii import pseudonymise_documents
@@ -161,3 +162,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = train_pairs(docs.where(~held_out(folds=10)))
+    scored = model.score(docs.withColumn("held_out", held_out(folds=10)))
+    return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
