@@ -2,24 +2,65 @@
 
 from __future__ import annotations
 
-import functools
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sieveline.llm.bpe import bpe_digests, encode_and_decode
+from sieveline.llm.mixing import mix
 from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.pii import pseudonymise_documents
+from sieveline.llm.quality_model import train_quality
+from sieveline.plans.durable import durable
+
+#: Documents with a lower score are rejected.
+GOOD = 0.3
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject; it learns from the labelled ones that aren't held out."""
+    model = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = model.score(docs.withColumn("_copy", F.col("text")), text_col="_copy", score_col="_score")
+    return scored.where(F.col("_score") >= GOOD).select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows of one id stay together."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with pseudonyms in place of personal data."""
+    return pseudonymise_documents(docs, spans_col="_spans").drop("_spans")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them."""
+    return mix(docs)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document taken."""
+    coded = encode_and_decode(docs.select("doc_id", "source", "text"), VOCABULARY, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "source", *bpe_digests())
 
 
-STAGES = [("near_dup", near_dup_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("near duplicates", near_dup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("byte-level bpe", bpe_stage),
+]
+#: Training, hashing, random rounding and tokenizing are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``, each stage's rows kept in the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return functools.reduce(lambda df, stage: stage[1](spark, df, sf_dir), STAGES, docs)
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
