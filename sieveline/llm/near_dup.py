@@ -5,29 +5,37 @@ circularly by k, gives coordinate k. The K shifted values of a place lie side by
 column-wise minimum of contiguous rows. Bands of coordinates become keys; texts that share a key are candidates.
 
 Plan: texts with equal shingle sets form a class (one partial aggregate), and only classes go on. In each bucket every
-class is compared to the smallest one; the links give components; a second pass compares, in buckets that still hold
-several components, the pairs across components only. So a large group of near copies costs a few pairs for each member
-and no link between two texts of a bucket is lost to the star. Links are confirmed on the full sets. Joins read tables
-cut by ``durable``, so hot buckets and groups can be split by the adaptive planner.
-
-At the threshold of 0.8, 48 bands of 6 miss a pair with probability 5e-7.
+class is compared to the smallest one, and the links give components. A second pass looks, in buckets that still hold
+several components, at pairs across components that a finer sketch leaves open: 4,096 bits, one for each of as many more
+coordinates, that differ in 410 places on average at a similarity of 0.8. A class is held against each other component
+that it meets in a bucket once, whatever number of buckets they share.
+So a large group of near copies costs a few pairs for each member, texts that merely share a passage drop out before they
+are paired, and no link between two texts of a bucket is lost to the star. Links are confirmed on the full sets. Joins
+read tables cut by ``durable``, so hot buckets and groups can be split by the adaptive planner.
+
+At the threshold of 0.8, 36 bands of 5 miss a pair with probability 6e-7, and the sketch another with 3e-6.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.wordhash import mix, shingles, word_hashes
 from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
+from sieveline.plans.membership import maybe_in
 
-BANDS, ROWS, UNIVERSE_BITS = 48, 6, 22
+BANDS, ROWS, UNIVERSE_BITS = 36, 5, 22
+SKETCH_BITS, GLANCES, SIGMAS = 4096, (256, 1024), 4.5
+ALIAS = {"key": "", "n": "n", "at": "a", "sketch": "s"}
 _cache: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -41,9 +49,10 @@ def _circulant(seed: int, width: int) -> np.ndarray:
 
 def _signature(table: np.ndarray, elements: np.ndarray) -> np.ndarray:
     place = mix(elements + np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - UNIVERSE_BITS)
-    low = table[place[:2048]].min(axis=0)
-    for i in range(2048, len(place), 2048):
-        low = np.minimum(low, table[place[i : i + 2048]].min(axis=0))
+    step = max(1, 400_000 // table.shape[1])
+    low = table[place[:step]].min(axis=0)
+    for i in range(step, len(place), step):
+        low = np.minimum(low, table[place[i : i + step]].min(axis=0))
     return low
 
 
@@ -86,18 +95,35 @@ def _signatures(size: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _full_sets(size: int):
+def _full_sets(size: int, seed: int):
     def run(batches):
+        table = _circulant(seed + 1, SKETCH_BITS)
         for _, sets in _sets(batches, size):
             sets = [s for s in sets if len(s)]
+            bits = [np.packbits((_signature(table, s) & 1).astype(bool)).view(np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["key", "elements"],
+                [
+                    pa.array([_set_key(s) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array(bits, pa.list_(pa.int64())),
+                ],
+                ["key", "elements", "sketch"],
             )
 
     return run
 
 
+def _most_differing(bits: int, percent: int, sigmas: float) -> int:
+    """Bits that may differ between sets similar enough, so many standard deviations above the mean."""
+    p = (1 - percent / 100) / 2
+    return round(bits * p + sigmas * (bits * p * (1 - p)) ** 0.5)
+
+
+def _differing(bits: int) -> Column:
+    words = [F.bit_count(F.col("xs")[i].bitwiseXOR(F.col("ys")[i])) for i in range(bits // 64)]
+    return functools.reduce(operator.add, words)
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -113,14 +139,10 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (x, y) of classes whose full sets are similar enough. ``pairs`` must be durable."""
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    ids = durable(classes.select("key", "rep").join(wanted, "key", "left_semi").select(F.col("rep").alias("_id")).distinct())
-    texts = docs.join(ids, docs["id"].eqNullSafe(ids["_id"]), "left_semi").select("id", "text")
-    sets = durable(texts.mapInArrow(_full_sets(size), "key binary, elements binary"))
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) of classes whose full sets are similar enough. Both tables must be durable."""
     xs, ys = (sets.select(F.col("key").alias(k), F.col("elements").alias(k + "s")) for k in "xy")
-    full = durable(pairs.join(xs, "x")).join(ys, "y").select("x", "y", "xs", "ys")
+    full = pairs.join(xs, "x").join(ys, "y").select("x", "y", "xs", "ys")
     return full.mapInArrow(_verify(percent), "x binary, y binary")
 
 
@@ -153,34 +175,49 @@ def near_duplicates(
     )
     placed = classes.select("key", "n", F.explode("bands").alias("band"))
     hubs = durable(
-        placed.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub")
+        placed.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("c")).where("c > 1").select("band", "hub")
     )
-    members = durable(placed.join(hubs, "band").select("band", "key", "n", "hub"))
+    members = durable(maybe_in(placed, "band", hubs, "band").join(hubs, "band").select("band", "key", "n", "hub"))
+    wanted = durable(members.select("key").distinct())
+    ids = durable(classes.select("key", "rep").join(wanted, "key", "left_semi").select(F.col("rep").alias("_id")).distinct())
+    near = maybe_in(docs, "id", ids, "_id")
+    # an inner join, as the optimizer would push a semi join below the filter; ids are distinct
+    texts = near.join(ids, near["id"].eqNullSafe(ids["_id"])).select("id", "text")
+    sets = durable(texts.mapInArrow(_full_sets(shingle, seed), "key binary, elements binary, sketch array<long>").dropDuplicates(["key"]))
+    hub_n = durable(members.where("key = hub").select("band", F.col("n").alias("hub_n")))
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     star = durable(
-        members.where((F.col("key") != F.col("hub.key")) & alike(F.col("n"), F.col("hub.n")))
-        .select(F.col("hub.key").alias("x"), F.col("key").alias("y"))
+        members.join(hub_n, "band")
+        .where((F.col("key") != F.col("hub")) & alike(F.col("n"), F.col("hub_n")))
+        .select(F.col("hub").alias("x"), F.col("key").alias("y"))
         .distinct()
     )
-    links = durable(_linked(star, docs, classes, shingle, percent))
+    links = durable(_linked(star, sets, percent))
     groups = connected_components(links, "x", "y")
 
     where = durable(
         members.join(groups, F.col("key") == F.col("node"), "left").select(
-            "band", "key", "n", F.col("hub.key").alias("hub"), F.coalesce("component", "key").alias("at")
+            "band", "key", "n", "hub", F.coalesce("component", "key").alias("at")
         )
     )
     split = durable(where.groupBy("band").agg(F.min("at").alias("a"), F.max("at").alias("z")).where("a <> z").select("band"))
-    mixed = durable(where.join(split, "band"))
-    p = mixed.select("band", F.col("key").alias("x"), F.col("n").alias("xn"), F.col("at").alias("xa"), "hub")
-    q = mixed.select("band", F.col("key").alias("y"), F.col("n").alias("yn"), F.col("at").alias("ya"))
-    across = durable(
-        p.join(q, "band")
-        .where((F.col("xa") < F.col("ya")) & (F.col("x") != F.col("hub")) & (F.col("y") != F.col("hub")) & alike(F.col("xn"), F.col("yn")))
-        .select("x", "y")
-        .distinct()
-    )
-    more = durable(_linked(across, docs, classes, shingle, percent))
+    mixed = where.join(split, "band")
+    heads = durable(mixed.where("key = hub").select("band", F.col("at").alias("head")))
+    mixed = durable(mixed.join(heads, "band"))
+    minor = durable(mixed.where("at <> head").select("band", "key", "at", "head"))
+    placed_at = mixed.select("key", "n", "at").distinct()
+    traits = durable(mixed.select("key", "n", "at").distinct().join(sets.select("key", "sketch"), "key"))
+    sided = lambda df, side: df.select(*[F.col(c).alias(side + b) if c in ALIAS else F.col(c) for c in df.columns for b in [ALIAS.get(c, c)]])
+    near = alike(F.col("xn"), F.col("yn"))
+    for bits in (*GLANCES, SKETCH_BITS):
+        near = near & (_differing(bits) <= _most_differing(bits, percent, SIGMAS if bits == SKETCH_BITS else 7))
+    asks = sided(durable(minor.select("key", "head").distinct().join(traits, "key")), "x")
+    to_heads = asks.join(sided(traits, "y"), (F.col("head") == F.col("ya")) & near).select("x", "y")
+    placed_minor = durable(minor.select("band", "key").join(traits, "key"))
+    p, q = sided(placed_minor, "x"), sided(placed_minor, "y").withColumnRenamed("band", "_band")
+    between = p.join(q, (F.col("band") == F.col("_band")) & (F.col("x") < F.col("y")) & (F.col("xa") != F.col("ya")) & near)
+    across = durable(to_heads.union(between.select("x", "y")).distinct())
+    more = durable(_linked(across, sets, percent))
     groups = durable(connected_components(links.unionByName(more), "x", "y"))
 
     rooted = durable(
