@@ -18,9 +18,11 @@ def normalize_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.translate(c, "_-", "  ")), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _nfkc(c: Column) -> Column:
+    def nfkc(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return F.pandas_udf(nfkc, "string")(c)
 
 
 def normalize(c: Column) -> Column:

@@ -98,7 +98,7 @@ def sign_flip_test(samples: DataFrame, group: str | None = "grp", iterations: in
     if exact:
         ranked = sums.withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)  # at most log2(iterations) rows
         flips = spark.range(2**n_groups).withColumnRenamed("id", "iteration")
-        sign = F.when(F.shiftright("iteration", F.col("_at")).bitwiseAND(1) == 1, -1).otherwise(1)
+        sign = F.when(F.expr("shiftright(iteration, _at) & 1") == 1, -1).otherwise(1)
         flipped = flips.crossJoin(F.broadcast(ranked)).groupBy("iteration").agg(F.sum(sign * F.col("d")).alias("s"))
     else:
         each = sums.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))

@@ -102,15 +102,17 @@ def parse_list(raw: str | None) -> list[str]:
     return [p.strip() for p in re.split(r"[;|]", raw) if p.strip()]
 
 
-@F.pandas_udf("array<string>")
-def _parse_list(s: pd.Series) -> pd.Series:
-    return s.map(parse_list)
+def _parse_lists(c: Column) -> Column:
+    def parse(s: pd.Series) -> pd.Series:
+        return s.map(parse_list)
+
+    return F.pandas_udf(parse, "array<string>")(c)
 
 
 def item_list(c: Column) -> Column:
     """``parse_list`` for a column: literals go to Python, plain lists are split by Spark."""
     plain = F.filter(F.transform(F.split(F.trim(c), r"[;|]"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(c.isNull(), F.array().cast("array<string>")).when(F.trim(c).startswith("["), _parse_list(c)).otherwise(plain)
+    return F.when(c.isNull(), F.array().cast("array<string>")).when(F.trim(c).startswith("["), _parse_lists(c)).otherwise(plain)
 
 
 def energy_check(df: DataFrame, energy: str, protein: str, carbs: str, fat: str, tolerance: float = 0.15) -> DataFrame:
