@@ -20,8 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import map_last
+
 #: Pieces in a recursive query, bytes of a piece beyond which the heap takes over, remembered pieces, ids decoded at once.
 PIECES, LONG, REMEMBERED, DECODED = 20_000, 512, 400_000, 1_000_000
+IDS, BYTES = {"ids": ("ids", "array<int>")}, {"decoded": ("decoded", "binary")}
 
 CONTRACT = """
 WITH RECURSIVE t(step, w, p, e, tok) AS (
@@ -199,29 +202,23 @@ def _decoded(path: str, pattern: str):
     return run
 
 
-def _with(df: DataFrame, last: str, run, added: str) -> DataFrame:
-    names = [c for c in df.columns if c not in (last, "ids", "decoded")]
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names]
-    return df.select(*names, F.col(last).alias("_last")).mapInArrow(run, ", ".join([*fields, added]))
-
-
 def encode(documents: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``documents`` with ids, an array of ints, in place of the text.
 
     No special tokens. A null or empty text has no ids; repeated rows get equal ids; columns named ids or decoded are
     replaced; an empty table gives an empty result. ``path`` must be readable on the workers.
     """
-    return _with(documents, text_col, _both(os.fspath(path), pattern, False), "ids array<int>")
+    return map_last(documents, text_col, _both(os.fspath(path), pattern, False), IDS)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """``tokens`` with decoded, the bytes of the ids, in place of them; null and empty lists give empty bytes."""
-    return _with(tokens, ids_col, _decoded(os.fspath(path), pattern), "decoded binary")
+    return map_last(tokens, ids_col, _decoded(os.fspath(path), pattern), BYTES)
 
 
 def encode_and_decode(documents: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """Both in one pass over the texts: ids and decoded in place of the text."""
-    return _with(documents, text_col, _both(os.fspath(path), pattern, True), "ids array<int>, decoded binary")
+    return map_last(documents, text_col, _both(os.fspath(path), pattern, True), IDS | BYTES)
 
 
 def bpe_digests() -> list[Column]:

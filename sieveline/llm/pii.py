@@ -18,7 +18,8 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from sieveline.llm.columns import map_last, quoted
 
 ROUNDS = 8
 #: A stand-in for tests; production passes its own secret.
@@ -219,9 +220,5 @@ def pseudonymise_documents(documents: DataFrame, key: bytes = KEY, text_col: str
     Null texts stay null and empty ones empty, without spans; rows and other columns stay as they are, and repeated rows
     stay equal; a column named spans_col is replaced; an empty table gives an empty result.
     """
-    names = [c for c in documents.columns if c not in (text_col, spans_col)]
-    fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names]
-    schema = ", ".join([*fields, "_new string, _found string"])
-    done = documents.select(*names, F.col(text_col).alias("_text")).mapInArrow(_replacer(key), schema)
-    order = [c for c in documents.columns if c != spans_col]
-    return done.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in order], F.col("_found").alias(spans_col))
+    done = map_last(documents, text_col, _replacer(key), {"_new": (text_col, "string"), "_found": (spans_col, "string")})
+    return done.select(*[quoted(c) for c in documents.columns if c != spans_col], quoted(spans_col))

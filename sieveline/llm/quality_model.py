@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import map_last
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
 
 DIM_BITS = 18
@@ -65,13 +66,10 @@ class QualityModel:
 
     def score(self, documents: DataFrame, text_col: str = "text", score_col: str = "score") -> DataFrame:
         """``documents`` with score_col (0 to 1) in place of the text. Null and empty texts get the bias alone."""
-        names = [c for c in documents.columns if c not in (text_col, score_col)]
-        fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names]
-        data = documents.select(*names, F.col(text_col).alias("_text"))
-        return data.mapInArrow(_scorer(self.weights, self.bias, score_col), ", ".join([*fields, f"`{score_col}` double"]))
+        return map_last(documents, text_col, _scorer(self.weights, self.bias), {"score": (score_col, "double")})
 
 
-def _scorer(weights: np.ndarray, bias: float, score_col: str):
+def _scorer(weights: np.ndarray, bias: float):
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
@@ -83,7 +81,7 @@ def _scorer(weights: np.ndarray, bias: float, score_col: str):
                     z += (total[b] - total[a]) / np.maximum(b - a, 1)
                 score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c)[i:j] for c in range(batch.num_columns - 1)] + [pa.array(score)], [*batch.schema.names[:-1], score_col]
+                    [batch.column(c)[i:j] for c in range(batch.num_columns - 1)] + [pa.array(score)], [*batch.schema.names[:-1], "score"]
                 )
 
     return run

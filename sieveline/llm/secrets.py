@@ -58,7 +58,7 @@ def match_spans(text: Column, pattern: str) -> Column:
 def _windows(hit: Column, kind: str, window: int) -> Column:
     """Merged spans, within the candidate, of the windows with enough entropy."""
     alphabet = ALPHABET[kind]
-    table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(window + 1)])
+    table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(window + 2)])  # the entering character comes first
     most = math.floor(window * (math.log2(window) - THRESHOLD[kind]) * SCALE)
     text = F.lower(hit) if kind == "hex" else hit
     places = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(alphabet), ch))

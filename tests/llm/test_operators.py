@@ -1,0 +1,412 @@
+"""Every operator against a plain version of itself, on rows with nulls, blanks, ties, repeats, long texts and clashing names."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from sieveline.llm import ann, bpe, kneser_ney, mixing, near_dup, pii, quality_model, quality_rules, secrets, url_filter
+from sieveline.llm.queries import QUERIES, URL_RULES
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, ids string, kept int, key string, n int, band long, _text string, _id int"
+EXTRA = (None, "x", 1, "k", 2, 3, "t", 4)
+
+
+def low(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    r = random.Random(5)
+    vocab = ["".join(r.choice("abcdefghijklmnoprstuvwßé中") for _ in range(r.randint(1, 9))) for _ in range(300)]
+    some = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    texts = [some(r.randint(1, 120)) for _ in range(60)]
+    near = some(100).split()
+    for _ in range(12):
+        changed = list(near)
+        for i in r.sample(range(100), r.randint(1, 6)):
+            changed[i] = r.choice(vocab)
+        texts.append(" ".join(changed))
+    texts += [None, "", "  \n\t ", "one", "ONE", "one two", some(5) + "\n" + some(5), "word " * 500, some(30_000), "x" * 5000, "a\x00b \x1f c\x85d", "🙂🙂 é ſecret=abcdefgh"]
+    texts += texts[:5] + texts[-3:]
+    out = [(i, t, None if i % 11 == 0 else "en", None if i % 7 == 0 else f"s{i % 3}", None, *EXTRA) for i, t in enumerate(texts)]
+    return [*out, out[3], out[3], (None, texts[4], None, None, None, *EXTRA), (None, "lonely null id", None, "s1", None, *EXTRA)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_set(text, size):
+    w = WORD.findall(low(text))
+    return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
+
+
+def test_near_duplicates(docs, rows, empty):
+    for size in (2, 5):
+        got = near_dup.near_duplicates(docs, shingle=size).collect()
+        sets = [shingle_set(r[1], size) for r in rows]
+        parent = list(range(len(rows)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                a, b = sets[i], sets[j]
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    parent[root(i)] = root(j)
+        ids = collections.defaultdict(list)
+        for i, r in enumerate(rows):
+            ids[root(i)].append(r[0])
+        want = []
+        for i, r in enumerate(rows):
+            known = [x for x in ids[root(i)] if x is not None]
+            c = min(known) if known else None
+            want.append((r[0], len(sets[i]), c, True if c is None else r[0] == c))
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert near_dup.near_duplicates(empty).count() == 0
+
+
+def test_near_duplicates_finds_every_link_of_a_large_group(spark):
+    r = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(250):
+        t = list(base)
+        for i in r.sample(range(150), r.choice([1, 3, 8, 12, 20])):
+            t[i] = f"v{r.randrange(40)}"
+        texts.append(" ".join(t))
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shingle=2).collect()}
+    sets = [shingle_set(t, 2) for t in texts]
+    for i in range(250):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                assert got[i] == got[j]
+
+
+def test_bpe_equals_the_library_and_goes_round(docs, rows, empty):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = bpe.encode_and_decode(docs.withColumn("decoded", F.lit(1)), path, P.PATTERN).select("doc_id", "ids", "decoded").collect()
+    want = collections.Counter((r[0], tuple(own.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in rows)
+    assert collections.Counter((g.doc_id, tuple(g.ids), bytes(g.decoded)) for g in got) == want
+    ids = bpe.encode(docs, path, P.PATTERN)
+    again = bpe.decode(ids.withColumn("ids", F.when(F.col("doc_id") != 1, F.col("ids"))), path, P.PATTERN)
+    assert collections.Counter((g.doc_id, bytes(g.decoded)) for g in again.select("doc_id", "decoded").collect()) == collections.Counter(
+        (r[0], (r[1] or "").encode() if r[0] not in (1, None) else b"") for r in rows
+    )
+    assert bpe.encode(empty, path, P.PATTERN).count() == 0
+
+
+def test_secrets_base_spans(docs, rows, empty, spark):
+    r = random.Random(2)
+    bits = ["password", "Token ", "api_key", "apikey=", ": ", "=", '"', "AKIA", "AKIA" + "Z9" * 9, "deadbeef" * 4, "abc", "secret=token: abcdefgh", "passwd='x'", "é🙂", " ", "\n", "0123456789abcdef01234567", "token==abc123="]
+    made = [(1000 + i, "".join(r.choice(bits) for _ in range(r.randint(1, 40)))) for i in range(200)]
+    everything = [(x[0], x[1]) for x in rows] + made
+    df = spark.createDataFrame(everything, "doc_id long, text string")
+    got = secrets.find_secrets(df.withColumn("base_spans", F.lit(1))).select("doc_id", "text", secrets.joined(F.col("base_spans")).alias("b"), secrets.joined(F.col("spans")).alias("s")).collect()
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for g in got:
+        t = g.text or ""
+        found = [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(t) if len(m[1]) >= 6 and m[0].isascii()]
+        found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        want = [x[2] for x in sorted(found)]
+        assert g.b == ",".join(want), t
+        assert set(want) <= set(g.s.split(",")) | {""}
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_secrets_entropy_windows(spark):
+    def entropy(w):
+        return -sum(c / len(w) * math.log2(c / len(w)) for c in collections.Counter(w).values())
+
+    r = random.Random(3)
+    b64 = secrets.ALPHABET["base64"][:64]
+    texts = ["".join(r.choice(b64) for _ in range(n)) for n in (20, 33, 60)] + ["".join(r.choice("0123456789abcdef") for _ in range(22)), "k9" * 30, "z" * 40 + "1" * 5, "Donaudampfschifffahrtsgesellschaft", "4111111111111111111111"]
+    texts += ["x " + "".join(r.choice("abAB01+/") for _ in range(50)) + "Zk3Qp9xYv7Lm2Rt5Ws8Nb" + " y", "EXAMPLEZk3Qp9xYv7Lm2Rt5Ws8Nb"]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).select("doc_id", secrets.joined(F.col("spans")).alias("s")).collect()
+    for g in got:
+        want = []
+        for m in re.finditer(secrets.CANDIDATE % 20, texts[g.doc_id]):
+            h = m[0]
+            if not re.search("[0-9]", h) or not re.search("[A-Za-z]", h) or any(re.search(p, h) for p in secrets.ALLOW):
+                continue
+            kind = "hex" if re.fullmatch("[0-9A-Fa-f]+", h) else "base64"
+            spans = []
+            for i in range(len(h) - 19):
+                w = h[i : i + 20].lower() if kind == "hex" else h[i : i + 20]
+                if entropy(w) >= secrets.THRESHOLD[kind] - 1e-6 and sum(c.isdigit() for c in w) >= 2 and sum(c.isalpha() for c in w) >= 2:
+                    if spans and spans[-1][1] >= i:
+                        spans[-1][1] = i + 20
+                    else:
+                        spans.append([i, i + 20])
+            want += [f"entropy_{kind}:{m.start() + a}:{m.start() + b}" for a, b in spans]
+        assert g.s == ",".join(want), texts[g.doc_id]
+    assert sum(bool(g.s) for g in got) >= 4 and not got[-1].s and not got[6].s
+
+
+def test_quality_rules(docs, rows, empty):
+    got = quality_rules.quality_filter(docs).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert len(got) == len(rows)
+    for g in got:
+        t = g.text or ""
+        w = WORD.findall(t)
+        windows = collections.defaultdict(list)
+        for i in range(len(w) - 4):
+            windows[tuple(w[i : i + 5])].append(i)
+        covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        assert tuple(g)[2:8] == (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered), failed)
+        assert not (failed and g.kept)
+    assert quality_rules.quality_filter(empty).count() == 0
+
+
+def test_rule_order_changes_no_verdict(docs):
+    rules = quality_rules.default_rules()
+    a, b = (quality_rules.quality_filter(docs, rules=r).groupBy("kept").count().orderBy("kept").collect() for r in (rules, rules[::-1]))
+    assert a == b
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix_sizes(docs).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_sizes(docs).collect()), key=repr)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    total, capped, target = sum(sizes.values()), set(), {}
+    while True:
+        left = total - sum(3 * sizes[s] for s in capped)
+        free = sum(weight[s] for s in order if s not in capped)
+        target = {s: 3 * sizes[s] if s in capped else left * weight[s] / free for s in order}
+        over = {s for s in order if target[s] > 3 * sizes[s] + 1e-9}
+        if not over:
+            break
+        capped |= over
+    taken = collections.Counter()
+    by_size = {sizes[s]: s for s in order}
+    for g in got:
+        s = by_size[g.source_size]
+        assert abs(g.target - target[s]) < 1e-6 and (g.taken == 0 or g.taken % g.size == 0) and g.taken <= 3 * g.size
+        taken[s] += g.taken
+    for s in order:
+        largest = max(g.size for g in got if by_size[g.source_size] == s)
+        assert abs(taken[s] - target[s]) <= (largest if 2 * largest > sizes[s] else 0.05 * target[s] + 120)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    counts = collections.Counter(len(WORD.findall(r.text or "")) for r in mixed.collect())
+    want = collections.Counter()
+    for g in got:
+        want[g.size] += g.taken // g.size if g.size else 0
+    assert counts == +want
+    assert mixing.mix_sizes(empty).count() == 0 and mixing.mix(empty).count() == 0
+
+
+def test_rounding_keeps_the_expectation(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 2}") for i in range(3000)], "doc_id long, text string, source string")
+    got = mixing.mix_sizes(docs).collect()
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for g in got:
+        by[g.target][0] += g.taken
+    assert len(by) == 2 and all(abs(v[0] - t) <= 9 for t, v in by.items())
+    share = np.mean([g.taken == 0 for g in got if g.target < g.source_size])
+    due = next(g.target / g.source_size for g in got if g.target < g.source_size)
+    assert abs(share - (1 - due)) < 0.05
+
+
+def test_pseudonyms():
+    assert sorted(pii.permute(i, 777, b"k", "t") for i in range(777)) == list(range(777))
+    text = "mail a.b12@mail.example.com card 4111 1111 1111 1111 ip 10.200.3.44 call +1 (988) 555-2485 ssn 123-45-6789 on 1980-02-29 or 31.12.2001"
+    new, spans = pii.pseudonymise(text)
+    assert [s[0] for s in spans] == ["email", "card", "ip", "phone", "ssn", "date", "date"]
+    assert len(new) == len(text) and re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", new)) == re.sub(r"[0-9]", "0", re.sub("[a-z]", "a", text))
+    for kind, a, b in spans:
+        assert text[a:b] not in new
+    card = re.sub(" ", "", re.search(r"card ([0-9 ]{19})", new)[1])
+    assert pii.luhn_digit(card[:-1]) == card[-1]
+    assert pii.pseudonymise("again 4111-1111-1111-1111")[0].replace("-", "").endswith(card)
+    assert pii.pseudonymise(text, b"other key")[0] != new
+    iban = pii.pseudonymise("DE89 3704 0044 0532 0130 00")[0].replace(" ", "")
+    assert iban != "DE89370400440532013000" and pii._iban_check(iban[:2], iban[4:]) == iban[2:4]
+    for clean in ("Licensed under CC BY-NC 4.0. See 1.2.3 and 10000 of 2024", "1234567890123456", "999.1.1.1", "1980-02-30", "3 a@b", "000-12-3456"):
+        assert pii.pseudonymise(clean) == (clean, [])
+
+
+def test_pseudonyms_of_documents(docs, rows, empty):
+    got = pii.pseudonymise_documents(docs)
+    assert got.columns == [*docs.columns, "pii_spans"]
+    clean = collections.Counter((r.doc_id, r.text) for r in got.where("pii_spans = ''").collect())
+    assert clean == collections.Counter((r[0], r[1]) for r in rows)
+    assert pii.pseudonymise_documents(empty).count() == 0
+
+
+def test_language_model_against_counts(docs, rows, empty):
+    train = docs.where(~quality_model.held_out(folds=10))
+    model = kneser_ney.train_pairs(train)
+    got = model.score(docs).collect()
+    assert len(got) == len(rows)
+    tokens = lambda t: [*(t or "").encode().lower().split(), b"</s>"]
+    texts = [tokens(r[1]) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10]
+    count = collections.Counter(w for t in texts for w in t)
+    pairs = collections.Counter(p for t in texts for p in zip([b"<s>", *t], t))
+    total, size = sum(count.values()), len(count)
+    assert (model.tokens, model.words, model.before) == (total, size, len(pairs))
+    before, context, follow = collections.Counter(b for _, b in pairs), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for (a, b), c in pairs.items():
+        context[a] += c
+        follow[a][min(c, 3) - 1] += 1
+    d2, d1 = model.pair_discounts, model.word_discounts
+    single = lambda w: max(before[w] - d1[min(before[w], 3)], 0) / len(pairs) + model.spread / (size + 1)
+
+    def given(a, b):
+        if not context[a]:
+            return single(b)
+        c = pairs[a, b]
+        return max(c - d2[min(c, 3)], 0) / context[a] + sum(x * y for x, y in zip(follow[a], d2[1:])) / context[a] * single(b)
+
+    assert abs(sum(given(texts[0][0], w) for w in count) + given(texts[0][0], b"?unknown?") - 1) < 1e-9
+    want = collections.Counter()
+    for r in rows:
+        t = tokens(r[1])
+        base = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (size + 1))) for w in t)
+        score = sum(math.log10(given(a, b)) for a, b in zip([b"<s>", *t], t))
+        want[r[0], len(t), sum(count[w] > 0 for w in t), round(base, 5), round(score, 5)] += 1
+    assert collections.Counter((g.doc_id, g.n_tokens, g.n_known, round(g.base_score, 5), round(g.score, 5)) for g in got) == want
+    untrained = kneser_ney.train_pairs(empty)
+    assert untrained.score(docs).where("n_known > 0").count() == 0 and untrained.score(empty).count() == 0
+
+
+def test_neighbours(spark):
+    r = np.random.default_rng(1)
+    x = r.standard_normal((400, 16)).astype(np.float32)
+    x[300:320] = x[0]
+    rows = [(i, v.tolist(), "e") for i, v in enumerate(x)]
+    bad = [(1000, None, "e"), (1020, [0.0] * 16, "e"), (1040, [float("nan")] * 16, "e"), (1060, [None] * 16, "e"), (1080, [], "e"), (1100, [1.0, 2.0], "e"), (None, x[1].tolist(), "e"), (5, x[5].tolist(), "e")]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, score string")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    by = collections.defaultdict(list)
+    for g in sorted(got, key=lambda g: g["rank"]):
+        by[g.query_id].append((g.vec_id, g.score))
+    assert sorted(by) == list(range(0, 400, 20))
+    exact = x.astype(np.float64)
+    hit = 0
+    for q, found in by.items():
+        s = (exact * exact[q]).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:20]
+        assert len(found) == 20 and all(abs(s[i] - v) < 1e-9 for i, v in found) and found == sorted(found, key=lambda p: (-p[1], p[0]))
+        hit += len(set(best) & {i for i, _ in found})
+    assert hit >= 0.9 * 20 * len(by)
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    few = ann.nearest(df.where("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
+    assert sorted((g.query_id, g["rank"]) for g in few) == [(0, 1), (0, 2)]
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 10)
+    x = np.random.default_rng(2).standard_normal((500, 24))
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    hit = 0
+    for q in range(0, 500, 20):
+        s = x @ x[q]
+        s[q] = -1e9
+        hit += len(set(np.argsort(-s)[:20]) & {g.vec_id for g in got if g.query_id == q})
+    assert hit >= 0.9 * 20 * 25
+
+
+def test_quality_classifier(spark, empty):
+    r = random.Random(4)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    good = lambda: " ".join(r.choice(vocab) for _ in range(60))
+    bad = lambda: r.choice([lambda: (r.choice(vocab) + " ") * 50, lambda: " ".join(w + "!!" for w in good().upper().split()), lambda: " ".join(w + "***" for w in good().split())])()
+    y = [int(r.random() < 0.8) for _ in range(600)]
+    rows = [(i, good() if v else bad(), 9.9) for i, v in enumerate(y)] + [(None, good(), 1.0), (7000, None, 1.0), (7001, "", 1.0), (7002, "a " * 200_000, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)] + [(None, 1), (7001, None), (0, y[0])], "doc_id long, quality int")
+    model = quality_model.train_quality(docs, labels)
+    got = {g.doc_id: g for g in model.score(docs).withColumn("held_out", quality_model.held_out()).collect()}
+    assert len(got) == len(rows) and all(0 <= g.score <= 1 for g in got.values())
+    out = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out for i in out) and np.mean([(got[i].score >= 0.3) == bool(y[i]) for i in out]) > 0.97
+    again = quality_model.train_quality(docs, labels)
+    assert np.array_equal(again.weights, model.weights)
+    assert quality_model.train_quality(docs, labels.limit(0)).score(docs).where("score <> 0.5").count() == 0
+    assert model.score(empty).count() == 0
+
+
+def test_url_filter(spark, empty):
+    page = lambda i, url, html="": (i, url, html, "v")
+    canonical = '<LINK rel="canonical" href="{}">'
+    refresh = '<meta http-equiv=refresh content="0; url={}">'
+    pages = [
+        page(1, "http://a.org/x#top", canonical.format("https://b.net/es/1")), page(2, "https://b.net/es/1?q=1"), page(3, "https://b.net/es/1"),
+        page(4, "http://c.org/", refresh.format("http://a.org/x")), page(5, "http://d.org/1", canonical.format("http://shop.COM/p")), page(6, "http://d.org/2", canonical.format("http://b.net/fr/9")),
+        page(7, "http://e.org/1", canonical.format("/2") + refresh.format("http://b.net/fr/8")), page(8, "http://e.org/2", canonical.format("http://x.com/")), page(9, None, None), page(10, "no scheme"), page(11, "http://www.EXAMPLE.com/en/a?b#c"),
+        page(12, "http://m.example.com/en/"), page(13, "http://example.com"), page(14, "ftp://notcom/en"), page(3, "https://b.net/es/1"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, verdict string")
+    got = {g.page_id: (g.host, g.path, g.rule, g.verdict) for g in url_filter.filter_urls(df, URL_RULES).collect()}
+    assert got[1] == ("a.org", "/x", None, "block") and got[4][3] == "block" and got[3] == ("b.net", "/es/1", "net/es/", "block")
+    assert got[5] == ("d.org", "/1", None, "allow") and got[6][3] == "block"
+    assert got[7][3] == "allow" and got[8][3] == "allow"  # an allow rule in the group stands above its block rules
+    assert got[9] == got[10] == ("", "", None, "allow")
+    assert got[11] == ("www.example.com", "/en/a", "www.example.com/en/", "allow") and got[12][2:] == ("example.com/en/", "block")
+    assert got[13] == ("example.com", "", None, "allow") and got[14][2] is None
+    extra = spark.createDataFrame([("z.org/", "b.net/es/1")], "src string, dst string")
+    assert url_filter.filter_urls(spark.createDataFrame([page(1, "http://z.org/")], df.schema), URL_RULES, extra).first().verdict == "block"
+    assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_every_query_and_the_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, f in QUERIES.items():
+        if name != "op4_collision_ann":
+            assert f(spark, sf).count() == n["pages" if name.startswith("op9") else "documents"], name
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(corpus_pipeline.STAGES) == 5
+    step = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, sf)
+        assert step.columns == docs.columns
+    assert corpus_pipeline.run(spark, sf).count() > 0.5 * n["documents"]
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    import corpus_pipeline
+
+    step = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    sf = "/root/testdata/sf0.001"
+    for _, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, sf)
+    for r in step.collect():
+        assert r.n_tokens > 0 and len(r.ids_sha256) == len(r.decoded_sha256) == len(hashlib.sha256(b"").hexdigest())
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, sf)
+    assert none.count() == 0
