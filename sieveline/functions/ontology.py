@@ -71,7 +71,7 @@ class Ontology:
 
     def ordered(self, ids: Column) -> Column:
         """Distinct known ids in canonical order."""
-        return F.filter(F.array(*map(F.lit, self.ids)), lambda x: F.array_contains(ids, x))
+        return F.array_intersect(F.array(*map(F.lit, self.ids)), ids)
 
     def extract(self, text: Column, normalised: bool = False) -> Column:
         """Labels whose aliases occur in the text; blank for null."""
