@@ -31,32 +31,47 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, seed: int = 4):
-    """For each query, (query_id, ids, scores) of the best k verified rows, without the query's own id."""
+    """For each query, (query_id, ids, scores) of the best k verified rows, without the query's own id.
+
+    A row is in a query's window of a projection where its rank in the sorted array lies between the window's bounds, so a
+    width is counted by comparing ranks. Widths are FIRST_WIDTH times powers of WIDEN; as candidates only grow with the
+    width, the search for the first that gives enough starts from the last query's.
+    """
     n, dim = rows.shape
-    rng = np.random.default_rng([seed, dim])
-    turn = rng.standard_normal((dim + 1, PROJECTIONS))
+    turn = np.random.default_rng([seed, dim]).standard_normal((dim + 1, PROJECTIONS))
     norms = np.sqrt((rows * rows).sum(axis=1))
     top = norms.max()
-    hashed = rows @ turn[:dim] + np.sqrt(np.maximum(top * top - norms * norms, 0))[:, None] * turn[dim]
-    order = np.argsort(hashed, axis=0, kind="stable").astype(np.int32).T.copy()
-    arrays = np.take_along_axis(hashed.T, order, axis=1).copy()
+    hashed = (rows @ turn[:dim] + np.sqrt(np.maximum(top * top - norms * norms, 0))[:, None] * turn[dim]).T
+    order = np.argsort(hashed, axis=1, kind="stable")
+    ranks = np.empty((PROJECTIONS, n), np.uint16 if n < 1 << 16 else np.uint32)
+    np.put_along_axis(ranks, order, np.arange(n, dtype=ranks.dtype)[None], axis=1)
     centred = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None] * top) @ turn[:dim]
+    # the sorted arrays end to end, each moved past the one before, so that one search finds all bounds of a query
+    apart = 4 * (np.abs(hashed).max() + np.abs(centred).max() + top) * np.arange(PROJECTIONS)
+    arrays = (np.take_along_axis(hashed, order, axis=1) + apart[:, None]).ravel()
+    first = n * np.arange(PROJECTIONS)
+    widest = math.ceil(math.log((np.abs(hashed).max() + np.abs(centred).max()) / (FIRST_WIDTH * top) + 1, WIDEN)) + 1
     need, enough = math.ceil(ALPHA * PROJECTIONS), min(n, k + 1 + math.ceil(BETA * n))
+
+    def candidates(centre: np.ndarray, level: int) -> np.ndarray:
+        width = FIRST_WIDTH * WIDEN**level * top
+        low = np.clip(np.searchsorted(arrays, centre + apart - width) - first, 0, n)
+        high = np.clip(np.searchsorted(arrays, centre + apart + width, "right") - first, 0, n)
+        inside = ranks - low.astype(ranks.dtype)[:, None] < (high - low).astype(ranks.dtype)[:, None]
+        return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= need)
+
+    level = 0
     for q, own, centre in zip(queries, query_ids, centred):
-        counts = np.zeros(n, np.int64)
-        low = high = np.array([np.searchsorted(a, c) for a, c in zip(arrays, centre)])
-        width = FIRST_WIDTH * top
-        while True:
-            new_low = np.array([np.searchsorted(a, c - width) for a, c in zip(arrays, centre)])
-            new_high = np.array([np.searchsorted(a, c + width, "right") for a, c in zip(arrays, centre)])
-            grown = [o[a:b] for o, a, b in zip(order, new_low, low)] + [o[a:b] for o, a, b in zip(order, high, new_high)]
-            counts += np.bincount(np.concatenate(grown), minlength=n)
-            low, high = new_low, new_high
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= enough:
-                break
-            width *= WIDEN
+        found = candidates(centre, level)
+        while len(found) < enough and level < widest:
+            level += 1
+            found = candidates(centre, level)
+        while level > 0 and len(smaller := candidates(centre, level - 1)) >= enough:
+            level, found = level - 1, smaller
         found = found[ids[found] != own]
+        near = rows[found] @ q
+        if len(found) > k:
+            found = found[near >= np.partition(near, len(near) - k)[len(near) - k] - 1e-9 * top * np.sqrt(q @ q)]
         scores = (rows[found] * q).sum(axis=1)
         best = np.lexsort((ids[found], -scores))[:k]
         yield own, ids[found][best], scores[best]
