@@ -38,11 +38,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         ends.where(F.col("x") != F.col("y")).select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct()
     )
     rounds: list[DataFrame] = []
-    while True:
+    while not e.isEmpty():
         forest = _flatten(durable(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))))
         rounds.append(forest)
-        if e.isEmpty():
-            break
         a = forest.select(F.col("node").alias("_a"), F.col("parent").alias("_pa"))
         b = forest.select(F.col("node").alias("_b"), F.col("parent").alias("_pb"))
         half = durable(e.join(a, F.col("hi") == F.col("_a"), "left").select(F.coalesce("_pa", "hi").alias("x"), "lo"))
@@ -52,6 +50,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             .select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo"))
             .distinct()
         )
+    if not rounds:
+        return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     labels = rounds[0]
     for later in rounds[1:]:
         up = later.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
