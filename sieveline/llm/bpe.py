@@ -40,7 +40,7 @@ WITH RECURSIVE t(step, w, p, e, tok) AS (
 SELECT w, tok FROM t SEMI JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p
 """
 DECODE = """
-SELECT d, unhex(string_agg(h, '' ORDER BY p)) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d ORDER BY d
+SELECT d, string_agg(h, '' ORDER BY p) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d ORDER BY d
 """
 
 
@@ -64,7 +64,7 @@ class Coder:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         splits = [(a * 65536 + b, v) for t, v in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self._table("merges", pair=pa.array([x[0] for x in splits], pa.int64()), id=pa.array([x[1] for x in splits], pa.int32()))
-        self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), h=pa.array([t.hex() for t in self.ranks]))
+        self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), h=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.known: dict[str, bytes] = {}
         for token, rank in self.ranks.items():
             try:
@@ -152,7 +152,7 @@ class Coder:
             got = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("ids_in")
             for k, b in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
-                out[k].append(b)
+                out[k].append(b.encode("latin-1"))  # a character stands for a byte
         return [b"".join(x) for x in out]
 
 

@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a worker turns into Python objects at once.
+ROWS = 256
+
+
+def tidy(run):
+    """``run`` over slices of the batches; what it needed goes back to the machine at the end, as workers live on."""
+
+    def wrapped(batches):
+        yield from run(batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not glibc
+            return
+
+    return wrapped
+
+
 def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -19,5 +40,5 @@ def map_last(df: DataFrame, last: str, run, added: dict[str, tuple[str, str]]) -
     names = [c for c in df.columns if c != last and c not in final]
     inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], quoted(last).alias("last"))
     schema = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + [f"{own} {kind}" for own, (_, kind) in added.items()]
-    out = inner.mapInArrow(run, ", ".join(schema))
+    out = inner.mapInArrow(tidy(run), ", ".join(schema))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], *[F.col(own).alias(name) for own, (name, _) in added.items()])

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import map_last, tidy
 from sieveline.llm.wordhash import mix, word_hashes
 from sieveline.plans.durable import delete_folder, shared_folder
 
@@ -66,10 +67,17 @@ def _tokens(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _count(bits: int, hot: np.ndarray):
     """Distinct pairs with counts, one row for each shard and flush."""
 
-    def flush(firsts: list, seconds: list):
-        first, second = np.concatenate(firsts), np.concatenate(seconds)
-        words, at = np.unique(np.concatenate([first, second]), return_inverse=True)
-        keys, counts = np.unique(at[: len(first)].astype(np.uint64) << np.uint64(32) | at[len(first) :].astype(np.uint64), return_counts=True)
+    def flush(seconds: list, begins: list):
+        second = np.concatenate(seconds)
+        seconds.clear()
+        words, at = np.unique(second, return_inverse=True)
+        keys = at.astype(np.uint64)
+        keys[1:] |= keys[:-1] << np.uint64(32)  # the word before, but for a text's first
+        keys[np.concatenate(begins)] &= np.uint64(0xFFFFFFFF)
+        keys[np.concatenate(begins)] |= np.uint64(len(words)) << np.uint64(32)
+        del second, at
+        keys, counts = np.unique(keys, return_counts=True)
+        words = np.append(words, BEGIN)
         first, second = words[(keys >> np.uint64(32)).astype(np.int64)], words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         home = _home(first, _pair(first, second), hot, bits)
         order = np.argsort(home, kind="stable")
@@ -85,18 +93,18 @@ def _count(bits: int, hot: np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["shard", "a", "b", "c", "d"])
 
     def run(batches):
-        firsts, seconds, size = [], [], 0
+        seconds, begins, size = [], [], 0
         for batch in batches:
             for _, _, hashes, ptr in word_hashes(batch.column(0).cast(pa.binary()).to_pylist()):
-                first, second, _ = _tokens(hashes, ptr)
-                firsts.append(first)
+                _, second, starts = _tokens(hashes, ptr)
                 seconds.append(second)
-                size += len(first)
+                begins.append(starts[:-1] + size)
+                size += len(second)
                 if size >= FLUSH:
-                    yield from flush(firsts, seconds)
-                    firsts, seconds, size = [], [], 0
+                    yield from flush(seconds, begins)
+                    seconds, begins, size = [], [], 0
         if size:
-            yield from flush(firsts, seconds)
+            yield from flush(seconds, begins)
 
     return run
 
@@ -251,10 +259,8 @@ class PairModel:
         base_score: log10 of additively smoothed single words; score: log10 of the model, both summed over the text's
         tokens, its end among them. Null and empty texts are their end alone; an untrained model knows no token.
         """
-        names = [c for c in documents.columns if c not in (text_col, "n_tokens", "n_known", "base_score", "score")]
-        fields = [f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names]
-        schema = ", ".join([*fields, "n_tokens long, n_known long, base_score double, score double"])
-        return documents.select(*names, F.col(text_col).alias("_text")).mapInArrow(_scorer(self), schema)
+        kinds = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+        return map_last(documents, text_col, _scorer(self), {name: (name, kind) for name, kind in kinds.items()})
 
 
 def _find(arrays: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +310,9 @@ def _scorer(m: PairModel):
                 count = np.where(known == END, m.texts, np.where(known == BEGIN, 0, uses))
                 base = np.log10((count + 0.1) / (m.tokens + 0.1 * (m.words + 1)))
                 before = traits[:, 3]
-                single = m.spread / (m.words + 1) + (np.maximum(before - m.word_discounts[np.minimum(before, 3)], 0) / m.before if m.before else 0)
+                single = np.full(len(known), m.spread / (m.words + 1))
+                if m.before:
+                    single += np.maximum(before - m.word_discounts[np.minimum(before, 3)], 0) / m.before
                 left = traits[:, :3] @ m.pair_discounts[1:]
                 c = pairs(first, second, (uses[one] > 0) & (before[two] > 0))
                 total = uses[one]
@@ -335,7 +343,7 @@ def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
                 some = counts * (2 << bits) > len(hashes)
                 yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["w", "c"])
 
-    rows = texts.limit(LAYOUT_ROWS).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(1024).collect()
+    rows = texts.limit(LAYOUT_ROWS).mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(1024).collect()
     return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -349,7 +357,7 @@ def train_pairs(documents: DataFrame, text_col: str = "text") -> PairModel:
     atexit.register(_forget, spark, folder)
     hot = _frequent(texts, bits)
     packed = "shard long, a binary, b binary, c binary, d binary"
-    counted = texts.mapInArrow(_count(bits, hot), packed)
+    counted = texts.mapInArrow(tidy(_count(bits, hot)), packed)
     gathered = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits), packed)
     stats = gathered.groupBy("shard").applyInArrow(_merge_words(folder), STATS).toPandas()
     if not len(stats):

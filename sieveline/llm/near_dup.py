@@ -28,6 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import tidy
 from sieveline.llm.wordhash import mix, shingles, word_hashes
 from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
@@ -143,7 +144,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) of classes whose full sets are similar enough. Both tables must be durable."""
     xs, ys = (sets.select(F.col("key").alias(k), F.col("elements").alias(k + "s")) for k in "xy")
     full = pairs.join(xs, "x").join(ys, "y").select("x", "y", "xs", "ys")
-    return full.mapInArrow(_verify(percent), "x binary, y binary")
+    return full.mapInArrow(tidy(_verify(percent)), "x binary, y binary")
 
 
 def near_duplicates(
@@ -168,7 +169,7 @@ def near_duplicates(
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     seen = durable(
-        docs.mapInArrow(_signatures(shingle, bands, rows, seed), f"id {kind}, key binary, n long, bands array<long>")
+        docs.mapInArrow(tidy(_signatures(shingle, bands, rows, seed)), f"id {kind}, key binary, n long, bands array<long>")
     )
     classes = durable(
         seen.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -183,7 +184,7 @@ def near_duplicates(
     near = maybe_in(docs, "id", ids, "_id")
     # an inner join, as the optimizer would push a semi join below the filter; ids are distinct
     texts = near.join(ids, near["id"].eqNullSafe(ids["_id"])).select("id", "text")
-    sets = durable(texts.mapInArrow(_full_sets(shingle, seed), "key binary, elements binary, sketch array<long>").dropDuplicates(["key"]))
+    sets = durable(texts.mapInArrow(tidy(_full_sets(shingle, seed)), "key binary, elements binary, sketch array<long>").dropDuplicates(["key"]))
     hub_n = durable(members.where("key = hub").select("band", F.col("n").alias("hub_n")))
     alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     star = durable(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import map_last
+from sieveline.llm.columns import map_last, tidy
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
 
 DIM_BITS = 18
@@ -140,7 +140,7 @@ def train_quality(
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # at most train_rows ids and labels
     rows = documents.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.xxhash64("_id", text_col).alias("ord"), F.col(text_col).alias("text"), "label")
-    vectors = rows.mapInArrow(_vectors, "ord long, label int, columns binary, values binary").orderBy("ord").limit(train_rows)
+    vectors = rows.mapInArrow(tidy(_vectors), "ord long, label int, columns binary, values binary").orderBy("ord").limit(train_rows)
     examples, features = [], 0
     for r in vectors.toLocalIterator():
         features += len(r["columns"]) // 4
