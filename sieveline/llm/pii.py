@@ -159,11 +159,12 @@ def _date(m: re.Match, key: bytes) -> str | None:
 #: Kind, pattern and rewriter; where patterns overlap, the earlier kind wins. A rewriter gives None for what isn't valid.
 NUMBERS: list[tuple[str, str, Callable[[re.Match, bytes], str | None]]] = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("card", r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", _card),
-    ("ssn", r"(?<![\w-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])", _ssn),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", _ip),
+    ("card", r"(?<![\w.+-])(?:[0-9]{13,19}|[0-9]{4}(?P<s>[ -])[0-9]{4}(?P=s)[0-9]{4}(?P=s)[0-9]{1,7}|[0-9]{4}(?P<a>[ -])[0-9]{6}(?P=a)[0-9]{4,5})(?![\w-])", _card),
+    ("ssn", r"(?<![\w-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])", _ssn),
     ("date", r"(?<![\w./-])(?P<a>[0-9]{4}|[0-9]{1,2})(?P<sep>[-/.])(?P<b>[0-9]{1,2})(?P=sep)(?P<c>[0-9]{4}|[0-9]{1,2})(?![\w/-]|\.[0-9])", _date),
-    ("phone", r"(?<![\w+])(?P<country>\+[0-9]{1,3}[ .-]?|(?=\())(?P<rest>(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4})(?!\w)", _phone),
+    ("phone", r"(?<![\w+])(?P<country>\+1[ .-]?|(?=\())(?P<rest>\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4})(?!\w)", _phone),
+    ("phone", r"(?<![\w+])(?P<country>\+[0-9]{1,3}[ .-]?)(?P<rest>(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){1,4})(?!\w)", _phone),
 ]
 EMAIL = ("email", r"(?<![\w.+-])(?P<local>[A-Za-z0-9][\w.+-]*)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})(?![\w-])", _email)
 
@@ -180,14 +181,17 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int,
     wanted = [mail] if "@" in text else []
     if digit.search(text):
         wanted += numbers
-    taken = bytearray(0)
+    left = text
     for kind, pattern, rewrite in wanted:
-        for m in pattern.finditer(text):
-            if (new := rewrite(m, key)) is not None:
-                taken = taken or bytearray(len(text))
-                if not any(taken[m.start() : m.end()]):
-                    taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-                    found.append((m.start(), m.end(), kind, new))
+        hits = [(m.start(), m.end(), kind, new) for m in pattern.finditer(left) if (new := rewrite(m, key)) is not None]
+        if hits:
+            # what is settled can't be part of another kind's match
+            parts, at = [], 0
+            for start, end, *_ in hits:
+                parts += [left[at:start], "\0" * (end - start)]
+                at = end
+            left = "".join([*parts, left[at:]])
+            found += hits
     if not found:
         return text, []
     out, at = [], 0

@@ -255,6 +255,14 @@ def test_pseudonyms():
         assert pii.pseudonymise(clean) == (clean, [])
 
 
+def test_pseudonyms_of_neighbours():
+    values = ["a.12@mail8.example.com", "4111111111111111", "4111-1111-1111-1111", "27.65.93.188", "+1 (988) 555-2485", "+49 30 1234567", "(988) 555-2485", "123-45-6789", "2001-02-03", "+1 988-555-2485"]
+    for a in values:
+        for b in values:
+            new, spans = pii.pseudonymise(f"x {a} {b}. y")
+            assert len(spans) == 2 and a not in new and b not in new, (a, b, new)
+
+
 def test_pseudonyms_of_documents(docs, rows, empty):
     got = pii.pseudonymise_documents(docs)
     assert got.columns == [*docs.columns, "pii_spans"]
