@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Partitions of a durable table for each core.
+WAVES = 2
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (tests on one machine)."""
@@ -20,10 +23,17 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; files go when Spark's cleaner finds them unused."""
+    """``df`` computed once and written to the shared folder; files go when Spark's cleaner finds them unused.
+
+    There is a file for each partition, and creating one costs a file system more than a small table's rows do, so there
+    are at most WAVES partitions for each core, unless the number of cores changes with the load.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_root(spark))
+    if context.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(WAVES * context.defaultParallelism)
     done = df.checkpoint(eager=True)
     # A checkpoint carries the constraints of the plan behind it, which multiply over the rounds of a loop until the
     # optimizer takes longer than the job; the same rows without them:
