@@ -8,7 +8,7 @@ Plan: texts with equal shingle sets form a class (one partial aggregate), and on
 class is compared to the smallest one, and the links give components. A second pass looks, in buckets that still hold
 several components, at pairs across components that a finer sketch leaves open: 4,096 bits, one for each of as many more
 coordinates, that differ in 410 places on average at a similarity of 0.8. A class is held against each other component
-that it meets in a bucket once, whatever number of buckets they share.
+that it meets in a bucket once, and a pair of other classes comes from its first common band only.
 So a large group of near copies costs a few pairs for each member, texts that merely share a passage drop out before they
 are paired, and no link between two texts of a bucket is lost to the star. Links are confirmed on the full sets. Joins
 read tables cut by ``durable``, so hot buckets and groups can be split by the adaptive planner.
@@ -36,7 +36,7 @@ from sieveline.plans.membership import maybe_in
 
 BANDS, ROWS, UNIVERSE_BITS = 36, 5, 22
 SKETCH_BITS, GLANCES, SIGMAS = 4096, (256, 1024), 4.5
-ALIAS = {"key": "", "n": "n", "at": "a", "sketch": "s"}
+ALIAS = {"key": "", "n": "n", "at": "a", "sketch": "s", "bands": "b"}
 _cache: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -214,9 +214,10 @@ def near_duplicates(
         near = near & (_differing(bits) <= _most_differing(bits, percent, SIGMAS if bits == SKETCH_BITS else 7))
     asks = sided(durable(minor.select("key", "head").distinct().join(traits, "key")), "x")
     to_heads = asks.join(sided(traits, "y"), (F.col("head") == F.col("ya")) & near).select("x", "y")
-    placed_minor = durable(minor.select("band", "key").join(traits, "key"))
+    placed_minor = durable(minor.select("band", "key").join(traits, "key").join(classes.select("key", "bands"), "key"))
+    first = F.element_at(F.array_intersect("xb", "yb"), 1) == F.col("band")
     p, q = sided(placed_minor, "x"), sided(placed_minor, "y").withColumnRenamed("band", "_band")
-    between = p.join(q, (F.col("band") == F.col("_band")) & (F.col("x") < F.col("y")) & (F.col("xa") != F.col("ya")) & near)
+    between = p.join(q, (F.col("band") == F.col("_band")) & (F.col("x") < F.col("y")) & (F.col("xa") != F.col("ya")) & near & first)
     across = durable(to_heads.union(between.select("x", "y")).distinct())
     more = durable(_linked(across, sets, percent))
     groups = durable(connected_components(links.unionByName(more), "x", "y"))
