@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 ROWS = 256
 
 
+def release() -> None:
+    """Give memory that is free in this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return
+
+
 def tidy(run):
     """``run`` over slices of the batches; what it needed goes back to the machine at the end, as workers live on."""
 
     def wrapped(batches):
         yield from run(batch.slice(i, ROWS) for batch in batches for i in range(0, batch.num_rows, ROWS))
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # not glibc
-            return
+        release()
 
     return wrapped
 

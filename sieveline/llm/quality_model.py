@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import map_last, tidy
+from sieveline.llm.columns import map_last, release, tidy
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
 
 DIM_BITS = 18
@@ -100,10 +100,10 @@ def fit_ftrl(examples, epochs: int, alpha: float, beta: float, l1: float, l2: fl
         w[small] = 0
         return w
 
-    examples = [(y, np.append(c, size - 1), np.append(v, np.float32(1)).astype(np.float64)) for y, c, v in examples]
+    examples = [(y, np.append(c, np.int32(size - 1)), np.append(v, np.float32(1))) for y, c, v in examples]
     for _ in range(epochs):
-        for y, at, x in examples:
-            w = weight(at)
+        for y, at, value in examples:
+            x, w = value.astype(np.float64), weight(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -40, 40)))
             g = (p - y) * x
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
@@ -141,10 +141,16 @@ def train_quality(
     # at most train_rows ids and labels
     rows = documents.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.xxhash64("_id", text_col).alias("ord"), F.col(text_col).alias("text"), "label")
     vectors = rows.mapInArrow(tidy(_vectors), "ord long, label int, columns binary, values binary").orderBy("ord").limit(train_rows)
-    examples, features = [], 0
+    model = fit_ftrl(_bounded(vectors, train_features), epochs, alpha, beta, l1, l2)
+    release()
+    return model
+
+
+def _bounded(vectors: DataFrame, most: int):
+    """Examples up to so many features, one at a time, so that only what is kept stays on the driver."""
+    features = 0
     for r in vectors.toLocalIterator():
         features += len(r["columns"]) // 4
-        if features > train_features:
-            break
-        examples.append((r["label"], np.frombuffer(bytes(r["columns"]), np.int32), np.frombuffer(bytes(r["values"]), np.float32)))
-    return fit_ftrl(examples, epochs, alpha, beta, l1, l2)
+        if features > most:
+            return
+        yield r["label"], np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32)
