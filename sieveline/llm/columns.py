@@ -5,12 +5,21 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 #: Rows that a worker turns into Python objects at once.
 ROWS = 256
+#: Rows that are sent to a worker at once.
+BATCH_ROWS = 512
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python of at most BATCH_ROWS, as texts may be long; a session's own smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def release() -> None:
@@ -41,6 +50,7 @@ def map_last(df: DataFrame, last: str, run, added: dict[str, tuple[str, str]]) -
 
     added: what ``run`` calls a new column, to its final name and type. Columns that have such a name are replaced.
     """
+    bound_batches(df.sparkSession)
     final = [name for name, _ in added.values()]
     names = [c for c in df.columns if c != last and c not in final]
     inner = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(names)], quoted(last).alias("last"))

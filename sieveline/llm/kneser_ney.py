@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import map_last, tidy
+from sieveline.llm.columns import bound_batches, map_last, tidy
 from sieveline.llm.wordhash import mix, word_hashes
 from sieveline.plans.durable import delete_folder, shared_folder
 
@@ -350,6 +350,7 @@ def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
 def train_pairs(documents: DataFrame, text_col: str = "text") -> PairModel:
     """Count all pairs of all whole texts of ``documents``. A null text counts as an empty one, which is its end alone."""
     spark = documents.sparkSession
+    bound_batches(spark)
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     partitions = max(1, texts._jdf.queryExecution().toRdd().getNumPartitions())
     bits = (2 * partitions - 1).bit_length()

@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import tidy
+from sieveline.llm.columns import bound_batches, tidy
 from sieveline.llm.wordhash import mix, shingles, word_hashes
 from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
@@ -92,6 +92,7 @@ def _signatures(size: int, bands: int, rows: int, seed: int):
                 ],
                 ["id", "key", "n", "bands"],
             )
+        _cache.clear()  # cheap to make again, and workers live on
 
     return run
 
@@ -110,6 +111,7 @@ def _full_sets(size: int, seed: int):
                 ],
                 ["key", "elements", "sketch"],
             )
+        _cache.clear()
 
     return run
 
@@ -166,6 +168,7 @@ def near_duplicates(
     largest: its component_id is null only where no row of the group has an id, and then the row is kept. An empty table
     gives an empty result; other columns are ignored.
     """
+    bound_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     seen = durable(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import map_last, release, tidy
+from sieveline.llm.columns import bound_batches, map_last, release, tidy
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
 
 DIM_BITS = 18
@@ -136,6 +136,7 @@ def train_quality(
 
     An id with several labels takes the largest; null labels and ids are ignored; without labelled rows every score is 0.5.
     """
+    bound_batches(documents.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # at most train_rows ids and labels
