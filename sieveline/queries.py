@@ -702,6 +702,17 @@ def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.image_index(table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(name.alias("path")))
 
 
+@query("""
+WITH paths AS (SELECT 'x/' || p_brand || '/' || replace(p_name, ' ', '_') || p_partkey // 2 || '.JPG' AS path FROM part),
+keys AS (SELECT DISTINCT unnest([lower(string_split(path, '/')[-1]), regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', '')]) AS key, path FROM paths),
+idx AS (SELECT key, min(path) AS path FROM keys GROUP BY key HAVING count(DISTINCT path) = 1)
+SELECT key, path FROM idx""")
+def image_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of part; two keys share each number, so names of both kinds occur: unique and ambiguous ones."""
+    name = F.concat(F.lit("x/"), "p_brand", F.lit("/"), F.translate("p_name", " ", "_"), F.expr("p_partkey div 2").cast("string"), F.lit(".JPG"))
+    return recipes.image_index(table(spark, sf_dir, "part").select(name.alias("path")))
+
+
 @query("""
 WITH paths AS (SELECT DISTINCT 'x/' || c_custkey || '.png' AS path FROM customer WHERE c_custkey % 2 = 0)
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE path END AS image_path FROM orders LEFT JOIN paths ON path = 'x/' || o_custkey || '.png'""")

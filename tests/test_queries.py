@@ -45,3 +45,11 @@ def test_entry_points(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_image_index_reads_every_part(spark, db):
+    name = "replace(p_name, ' ', '_') || p_partkey // 2"
+    by_name = db.execute(f"SELECT lower({name}), count(DISTINCT p_brand) FROM part GROUP BY ALL").fetchall()
+    got = {r.key for r in QUERIES["image_index_whole"](spark, SF).collect()}
+    assert got == {n + end for n, brands in by_name if brands == 1 for end in ("", ".jpg")}
+    assert any(brands > 1 for _, brands in by_name)
