@@ -223,8 +223,9 @@ def sign_flip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).select("grp", "f1")
-    return rounded(I.bootstrap_custom(rows, I.hashed_weights(rows, 50), lambda df: df["f1"].mean()))
+    """A mean by sums of groups, so an iteration's frame has a row for each draw of a group, not for each sample."""
+    sums = I.group_sums(_scored(spark, sf_dir), []).select("grp", "f1", "n")
+    return rounded(I.bootstrap_custom(sums, I.hashed_weights(sums, ITERATIONS), lambda df: df["f1"].sum() / df["n"].sum()))
 
 
 # ---------------------------------------------------------------------------------------------- ontology

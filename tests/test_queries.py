@@ -6,6 +6,8 @@ import os
 import duckdb
 import pytest
 
+from sieveline import queries as Q
+from sieveline.operators import inference as I
 from sieveline.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +55,10 @@ def test_image_index_reads_every_part(spark, db):
     got = {r.key for r in QUERIES["image_index_whole"](spark, SF).collect()}
     assert got == {n + end for n, brands in by_name if brands == 1 for end in ("", ".jpg")}
     assert any(brands > 1 for _, brands in by_name)
+
+
+def test_bootstrap_custom_has_all_draws(spark):
+    sums = I.group_sums(Q._scored(spark, SF), [])
+    want = I.bootstrap_interval(sums, I.hashed_weights(sums, Q.ITERATIONS), "sample_f1").first()
+    got = QUERIES["bootstrap_custom"](spark, SF).first()
+    assert (got.ci_lower, got.ci_upper) == pytest.approx((want.ci_lower, want.ci_upper), abs=1e-8)
