@@ -668,6 +668,18 @@ def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(T.loss_mask(F.col("ids"), attention, start), " ").alias("mask"))
 
 
+@query("""
+WITH w AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 2 ELSE 4 END AS start, [length(x) FOR x IN string_split(text, ' ')] AS ids FROM conversations)
+SELECT conv_id, turn, CASE WHEN start <= len(ids) THEN array_to_string([CASE WHEN i > start AND i % 5 <> 0 THEN ids[i] ELSE -100 END FOR i IN range(1, len(ids) + 1)], ' ') END AS mask FROM w""")
+def token_mask_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns; the mask is null where a turn ends before its start."""
+    ids = F.transform(F.split("text", " "), lambda x: F.char_length(x))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ids.alias("ids"))
+    attention = F.transform("ids", lambda _, i: F.when((i + 1) % 5 == 0, 0).otherwise(1))
+    start = F.when(F.col("role") == "assistant", 2).otherwise(4)
+    return rows.select("conv_id", "turn", F.array_join(T.loss_mask(F.col("ids"), attention, start), " ").alias("mask"))
+
+
 @query()
 def strict_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made from events, right and wrong in a dozen ways."""

@@ -62,3 +62,9 @@ def test_bootstrap_custom_has_all_draws(spark):
     want = I.bootstrap_interval(sums, I.hashed_weights(sums, Q.ITERATIONS), "sample_f1").first()
     got = QUERIES["bootstrap_custom"](spark, SF).first()
     assert (got.ci_lower, got.ci_upper) == pytest.approx((want.ci_lower, want.ci_upper), abs=1e-8)
+
+
+def test_token_mask_keeps_short_turns(spark, db):
+    turns, short = db.execute("SELECT count(*), count(*) FILTER (len(string_split(text, ' ')) < CASE WHEN role = 'assistant' THEN 2 ELSE 4 END) FROM conversations").fetchone()
+    masks = [r.mask for r in QUERIES["token_mask_whole"](spark, SF).collect()]
+    assert short > 0 and (len(masks), masks.count(None)) == (turns, short)
