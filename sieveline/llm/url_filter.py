@@ -19,6 +19,7 @@ from sieveline.plans.durable import durable
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAG = r"(?i)<(?:link|meta)\b[^>]*>"
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+SCHEME, QUERY = "^[A-Za-z][A-Za-z0-9+.-]*:", r"^[^?#]*(\?[^#]*)"
 REFRESH = r"""(?i)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -46,10 +47,27 @@ def path_of(url: Column) -> Column:
 
 def _address(url: Column) -> Column:
     """What aliases are compared by: host, path and query, without scheme and fragment; null without a host."""
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
+    query = F.regexp_extract(_rest(url), QUERY, 1)
     return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its segments . and .., as RFC 3986 removes them."""
+    up = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", up(done)).otherwise(F.array_append(done, s))
+    left = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(left, F.when(path.rlike(r"/\.\.?$"), "/").otherwise(""))).otherwise(path)
+
+
+def _resolved(url: Column, target: Column) -> Column:
+    """A target without scheme and host as a url on the page's host, its path taken from the page's where it isn't whole."""
+    path, query, base = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, QUERY, 1), path_of(url)
+    folder = F.when(base == "", "/").otherwise(F.regexp_extract(base, "(?s)^.*/", 0))
+    moved = F.concat(_without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))), query)
+    same = F.concat(base, F.when(query != "", query).otherwise(F.regexp_extract(_rest(url), QUERY, 1)))
+    return F.concat(F.lit("http://"), host_of(url), F.when(path == "", same).otherwise(moved))
+
+
 def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> Column:
     """Struct (size, rule, verdict) of the longest rule that fits, or null. The list is a parameter, bounded by the caller."""
     found = [
@@ -63,7 +81,7 @@ def rule_for(host: Column, path: Column, rules: list[UrlRule]) -> Column:
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Distinct (src, dst) addresses joined by a canonical link or a meta refresh; relative targets are on the page's host."""
+    """Distinct (src, dst) addresses joined by a canonical link or a meta refresh; relative targets are resolved on the page."""
     tags = pages.select(F.col(url_col).alias("url"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(TAG), F.lit(0))).alias("tag"))
     tag = F.col("tag")
     target = F.when(tag.rlike(r"""(?i)^<link\b[^>]*\brel\s*=\s*["']?canonical\b"""), F.regexp_extract(tag, HREF, 1)).when(
@@ -71,9 +89,9 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     )
     t = F.col("t")
     full = (
-        F.when(t.contains("://"), t)
+        F.when(t.rlike(SCHEME + "//"), t)
         .when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(t.startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), t))
+        .when(~t.rlike(SCHEME), _resolved(F.col("url"), t))
     )
     return (
         tags.select("url", target.alias("t"))

@@ -388,6 +388,17 @@ def test_url_filter(spark, empty):
     assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
 
 
+def test_alias_targets_are_resolved_on_the_page(spark):
+    at = "http://a.org/d/e/page.html?q=1#top"
+    want = {
+        "page2.html": "a.org/d/e/page2.html", "../x": "a.org/d/x", "./": "a.org/d/e/", "..": "a.org/d/", "../../../../y?z=1#f": "a.org/y?z=1", "?id=3": "a.org/d/e/page.html?id=3", "#there": None,
+        "/go?u=http://b.net/es/1": "a.org/go?u=http://b.net/es/1", "go?u=http://b.net/": "a.org/d/e/go?u=http://b.net/", "/r/../s": "a.org/s", "//C.org/k": "c.org/k", "https://b.net/es/1": "b.net/es/1", "mailto:x@b.net": None, "HTTP://b.net/1": "b.net/1",
+    }
+    rows = [(at, f'<link rel=canonical href="{t}">') for t in want] + [("http://e.org", '<meta http-equiv=refresh content="0; url=f">'), ("none", '<link rel=canonical href="f">')]
+    got = {tuple(r) for r in url_filter.alias_edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {("a.org/d/e/page.html?q=1", v) for v in want.values() if v} | {("e.org", "e.org/f")}
+
+
 def test_every_query_and_the_pipeline(spark):
     import corpus_pipeline
 
