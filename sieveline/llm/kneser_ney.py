@@ -1,6 +1,6 @@
 """Perplexity by an interpolated modified Kneser-Ney model over word pairs.
 
-Counting is one Spark job of two shuffles. Workers turn texts into word hashes and sort out the distinct pairs of a few
+A first pass finds the most frequent words. Counting is one Spark job of two shuffles. Workers turn texts into word hashes and sort out the distinct pairs of a few
 million words at a time; the pairs go, as packed arrays, to shards by their first word (for the few most frequent first
 words by the pair, so that none fills a shard alone). A shard merges its pairs, writes them as sorted hash arrays to the
 shared folder, and sends on what each word gathers as context and as continuation, which the second shuffle merges and
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.columns import bound_batches, map_last, tidy
 from sieveline.llm.wordhash import mix, word_hashes
-from sieveline.plans.durable import delete_folder, shared_folder
+from sieveline.plans.durable import delete_folder, durable, shared_folder
 
-#: Words gathered before their distinct pairs are sorted out; documents looked at for frequent first words.
-FLUSH, LAYOUT_ROWS = 4_000_000, 1000
+#: Words gathered before their distinct pairs are sorted out, and before the frequent ones among them are.
+FLUSH = 4_000_000
 BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB0B0B0B0, 0xE0E0E0E0))
 PAIRS, WORDS = 1, 2
 
@@ -334,16 +334,33 @@ def _scorer(m: PairModel):
 
 
 def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
-    """Words that would fill a good part of a shard, from some documents. This lays pairs out; it changes no count."""
+    """Words that would fill a good part of a shard, from all documents. This lays pairs out; it changes no count.
+
+    Each flush sends on the words above half of that share, so a word above the whole of it over all documents is never
+    missed, and at most 4 << bits words are found.
+    """
+
+    def flush(parts: list, size: int):
+        words, counts = np.unique(np.concatenate(parts), return_counts=True)
+        some = counts * (4 << bits) > size
+        w, c = words[some].view(np.int64), counts[some].astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([*w.tolist(), None], pa.int64()), pa.array([*c.tolist(), size], pa.int64())], ["w", "c"])
 
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             for _, _, hashes, _ in word_hashes(batch.column(0).cast(pa.binary()).to_pylist()):
-                words, counts = np.unique(hashes, return_counts=True)
-                some = counts * (2 << bits) > len(hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["w", "c"])
+                parts.append(hashes)
+                size += len(hashes)
+                if size >= FLUSH:
+                    yield flush(parts, size)
+                    parts, size = [], 0
+        if size:
+            yield flush(parts, size)
 
-    rows = texts.limit(LAYOUT_ROWS).mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(1024).collect()
+    sums = durable(texts.mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
+    size = sums.where("w is null").agg(F.max("c").alias("size")).first()["size"] or 0
+    rows = sums.where(F.col("w").isNotNull() & (F.col("c") * (4 << bits) > size)).collect()
     return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
 
 

@@ -307,6 +307,14 @@ def test_language_model_against_counts(docs, rows, empty):
     assert untrained.score(docs).where("n_known > 0").count() == 0 and untrained.score(empty).count() == 0
 
 
+def test_frequent_words_of_a_later_source_are_found(spark):
+    rows = [(" ".join(f"w{i}x{k}" for k in range(20)),) for i in range(1500)] + [(f"late a{i} late b{i}",) for i in range(1500)]
+    texts = spark.createDataFrame(rows, "text string").coalesce(1)
+    [(_, _, late, _)] = kneser_ney.word_hashes([b"late"])
+    assert kneser_ney._frequent(texts, 3).tolist() == late.tolist()
+    assert not len(kneser_ney._frequent(texts.limit(0), 3))
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((400, 16)).astype(np.float32)
