@@ -195,11 +195,12 @@ def _merge_words(folder: str):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        stats = np.zeros(4, np.int64)
+        stats, paired = np.zeros(4, np.int64), False
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for a, b, c, d in zip(*(table[k].to_pylist() for k in "abcd")):
             if d is not None:
                 stats += np.frombuffer(d, np.int64)
+                paired = True
                 continue
             word = np.frombuffer(a, np.uint64)
             small = np.frombuffer(c, np.uint32).reshape(4, len(word)).astype(np.int64)
@@ -214,6 +215,7 @@ def _merge_words(folder: str):
         return pa.table(
             {
                 "shard": [shard],
+                "paired": [paired],
                 "tokens": [int(columns[0].sum())],
                 "begun": [int(columns[0][~predicted].sum())],
                 "words": [int(predicted.sum())],
@@ -226,7 +228,7 @@ def _merge_words(folder: str):
     return run
 
 
-STATS = "shard long, tokens long, begun long, words long, before long, pairs array<long>, singles array<long>"
+STATS = "shard long, paired boolean, tokens long, begun long, words long, before long, pairs array<long>, singles array<long>"
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -240,7 +242,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass
 class PairModel:
-    """Where the arrays are, and the sums over all shards."""
+    """Where the arrays are, which shards have arrays of words and of pairs, and the sums over all shards."""
 
     folder: str
     bits: int
@@ -252,6 +254,8 @@ class PairModel:
     pair_discounts: np.ndarray = field(default_factory=lambda: discounts(0, 0, 0, 0))
     word_discounts: np.ndarray = field(default_factory=lambda: discounts(0, 0, 0, 0))
     spread: float = 1.0
+    word_shards: frozenset[int] = frozenset()
+    pair_shards: frozenset[int] = frozenset()
 
     def score(self, documents: DataFrame, text_col: str = "text") -> DataFrame:
         """``documents`` with n_tokens, n_known, base_score and score in place of the text.
@@ -283,6 +287,8 @@ def _scorer(m: PairModel):
         uses, traits = np.zeros(len(h), np.int64), np.zeros((len(h), 4), np.int64)
         if m.tokens:
             for shard, places in _by_shard(_shard(h, m.bits), h):
+                if shard not in m.word_shards:
+                    continue
                 at, hit = _find(_get(m.folder, f"words-{shard}", np.uint64), h[places])
                 places, at = places[hit], at[hit]
                 uses[places] = _get(m.folder, f"uses-{shard}", np.int64)[at]
@@ -295,6 +301,8 @@ def _scorer(m: PairModel):
         if m.tokens and len(ask):
             pair = _pair(first[ask], second[ask])
             for shard, places in _by_shard(_home(first[ask], pair, m.hot, m.bits), pair):
+                if shard not in m.pair_shards:
+                    continue
                 at, hit = _find(_get(m.folder, f"pairs-{shard}", np.uint64), pair[places])
                 counts[ask[places[hit]]] = _get(m.folder, f"counts-{shard}", np.uint32)[at[hit]]
         return counts
@@ -385,7 +393,8 @@ def train_pairs(documents: DataFrame, text_col: str = "text") -> PairModel:
     d = discounts(*word_counts)
     n3 = words - word_counts[0] - word_counts[1]
     spread = float(d[1] * word_counts[0] + d[2] * word_counts[1] + d[3] * n3) / before
-    return PairModel(folder, bits, hot, tokens, texts_seen, words, before, discounts(*pair_counts), d, spread)
+    shards = [frozenset(int(x) for x in some["shard"]) for some in (stats, stats[stats["paired"]])]
+    return PairModel(folder, bits, hot, tokens, texts_seen, words, before, discounts(*pair_counts), d, spread, *shards)
 
 
 def _forget(spark, folder: str) -> None:

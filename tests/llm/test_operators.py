@@ -315,6 +315,14 @@ def test_frequent_words_of_a_later_source_are_found(spark):
     assert not len(kneser_ney._frequent(texts.limit(0), 3))
 
 
+def test_unknown_words_of_shards_without_files(spark):
+    model = kneser_ney.train_pairs(spark.createDataFrame([("a b a c",)] * 16, "text string").repartition(8))
+    assert len(model.word_shards) < 1 << model.bits and model.pair_shards <= model.word_shards
+    text = " ".join(["a b c", *(f"unknown{i} a" for i in range(200))])
+    got = model.score(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_tokens, got.n_known) == (404, 204) and got.score < 0
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((400, 16)).astype(np.float32)
