@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
 from sieveline.llm.mixing import mix
-from sieveline.llm.near_dup import near_duplicates
+from sieveline.llm.near_dup import one_of_each
 from sieveline.llm.pii import pseudonymise_documents
 from sieveline.llm.quality_model import train_quality
 from sieveline.plans.durable import durable
@@ -26,9 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8); rows of one id stay together."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), whatever ids its rows have."""
+    return one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm.columns import bound_batches, tidy
@@ -240,3 +240,15 @@ def near_duplicates(
         )
         .withColumn("kept", F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
     )
+
+
+def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``documents``, one for each group of near duplicates: the smallest by id (null the largest) and text hash.
+
+    Of rows that repeat both, one. Null or wordless texts are in no group, so all of them stay.
+    """
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    docs = documents.withColumn("_row", row)
+    kept = near_duplicates(docs, "_row", text_col, **options).where("kept").groupBy(F.col("_row").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
+    repeat = F.row_number().over(Window.partitionBy("_row").orderBy("_kept"))  # by the join's own key: no more shuffles
+    return docs.join(kept, F.col("_row") == F.col("_kept")).withColumn("_repeat", repeat).where("_repeat = 1 or _n = 0").select(*documents.columns)

@@ -445,3 +445,16 @@ def test_pipeline_stages_on_odd_rows(spark, docs):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf)
     assert none.count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    text = lambda a, n=60: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, text("a"))] * 3 + [(1, text("b")), (1, text("b", 59)), (2, text("a", 59))] + [(None, text("c"))] * 2 + [(None, text("c", 59))]
+    rows += [(3, text("d")), (None, text("d")), (4, ""), (4, ""), (5, None), (None, " ")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
+    worded = sorted((str(r.doc_id), r.text[0]) for r in got if (r.text or "").strip())
+    assert worded == [("1", "a"), ("1", "b"), ("3", "d"), ("None", "c")]
+    assert len(got) - len(worded) == 4
