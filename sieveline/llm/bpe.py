@@ -2,18 +2,20 @@
 
 Texts are cut into pieces by the tokenizer's pattern. Pieces that are a token are looked up; each other distinct piece
 becomes token-position rows of a recursive query: the rows join the merge table, every piece contracts its leftmost pair
-of least rank, and pieces without a pair drop out, until none is left. Decoding joins the ids to the vocabulary and
-aggregates the bytes in order. Blocks of pieces and of ids are bounded, so memory doesn't grow with the partition, and a
-bounded memory of pieces serves later texts. A single piece of more than ``LONG`` bytes would need as many steps as it
-has bytes, each over all its rows; it goes through the same merges on a heap instead.
+of least rank, and pieces without a pair drop out, until none is left. The query is keyed by place, so it holds each
+place once, whatever the number of steps. In blocks with pieces of more than ``SHORT`` bytes a step contracts all places
+of a piece's least pair at once, up to one whose new token would come first with a neighbour, so the result is the same
+and a long piece takes about as many steps as it has different pairs. Decoding joins the ids to the vocabulary and
+aggregates the bytes in order. Blocks of pieces and of ids are bounded, so memory doesn't grow with the partition, and a bounded
+memory of pieces serves later texts.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
+import itertools
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +24,58 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.columns import map_last
 
-#: Pieces in a recursive query, bytes of a piece beyond which the heap takes over, remembered pieces, ids decoded at once.
-PIECES, LONG, REMEMBERED, DECODED = 20_000, 512, 400_000, 1_000_000
+#: Pieces and bytes in a recursive query, bytes of a piece from which steps contract many places, remembered pieces,
+#: ids decoded at once, pieces of one long text at once, and memory of a query: so much, and so much for each byte.
+PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE = 20_000, 1 << 18, 64, 400_000, 1_000_000, 200_000
+MEMORY, MEMORY_A_BYTE = 400 << 20, 1024
 IDS, BYTES = {"ids": ("ids", "array<int>")}, {"decoded": ("decoded", "binary")}
 
-CONTRACT = """
-WITH RECURSIVE t(step, w, p, e, tok) AS (
-  SELECT 0, w, p, p + 1, tok FROM bytes_in
+PAIRS = """
+     FROM t a JOIN t b ON a.w = b.w AND a.e = b.p JOIN merges m ON m.pair = CAST(a.tok AS BIGINT) * 65536 + b.tok
+     WHERE a.tok >= 0 AND b.tok >= 0"""
+#: A place whose byte went into the token before it has tok -1.
+CONTRACT = f"""
+WITH RECURSIVE t(w, p, e, tok) USING KEY (w, p) AS (
+  SELECT w, p, p + 1, tok FROM bytes_in
   UNION ALL
-  (WITH pairs AS (
-     SELECT a.w, b.p AS rp, b.e AS re, CAST(m.id AS BIGINT) * 1048576 + a.p AS k
-     FROM t a JOIN t b ON a.w = b.w AND a.e = b.p JOIN merges m ON m.pair = CAST(a.tok AS BIGINT) * 65536 + b.tok),
+  (WITH pairs AS (SELECT a.w, b.p AS rp, b.e AS re, (CAST(m.id AS BIGINT) << 32) + a.p AS k {PAIRS}),
    best AS (SELECT w, min(k) AS k, arg_min(rp, k) AS rp, arg_min(re, k) AS re FROM pairs GROUP BY w)
-   SELECT step + 1, t.w, t.p, CASE WHEN t.p = k & 1048575 THEN re ELSE t.e END,
-          CASE WHEN t.p = k & 1048575 THEN CAST(k >> 20 AS INT) ELSE t.tok END
-   FROM t JOIN best USING (w) WHERE t.p <> rp))
-SELECT w, tok FROM t SEMI JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p
+   SELECT t.w, t.p, CASE WHEN t.p = k & 4294967295 THEN re ELSE t.e END,
+          CASE WHEN t.p = k & 4294967295 THEN CAST(k >> 32 AS INT) WHEN t.p = rp THEN -1 ELSE t.tok END
+   FROM t JOIN best USING (w) WHERE tok >= 0))
+SELECT w, tok FROM t WHERE tok >= 0 ORDER BY w, p
+"""
+#: Of places that overlap, every other one, from the left; none after one whose new token has a pair of lower rank.
+CONTRACT_MANY = f"""
+WITH RECURSIVE t(w, p, e, tok) USING KEY (w, p) AS (
+  SELECT w, p, p + 1, tok FROM bytes_in
+  UNION ALL
+  (WITH pairs AS (SELECT a.w, a.p, b.p AS rp, b.e AS re, m.id {PAIRS}),
+   best AS (SELECT w, min(id) AS id FROM pairs GROUP BY w),
+   places AS (
+     SELECT w, p, rp, re, id, row_number() OVER o AS n, lag(rp) OVER o IS DISTINCT FROM p AS apart
+     FROM pairs SEMI JOIN best USING (w, id) WINDOW o AS (PARTITION BY w ORDER BY p)),
+   runs AS (SELECT *, max(CASE WHEN apart THEN n END) OVER (PARTITION BY w ORDER BY p) AS first FROM places),
+   chosen AS (
+     SELECT w, p, rp, re, id, n, lag(re) OVER (PARTITION BY w ORDER BY p) IS NOT DISTINCT FROM p AS follows
+     FROM runs WHERE (n - first) % 2 = 0),
+   unsafe AS (SELECT chosen.* FROM chosen SEMI JOIN low_merges ON chosen.id = low_merges.part),
+   stop AS (
+     SELECT c.w, min(c.n) AS n
+     FROM unsafe c LEFT JOIN t l ON l.w = c.w AND l.e = c.p AND l.tok >= 0 LEFT JOIN t r ON r.w = c.w AND r.p = c.re AND r.tok >= 0
+     JOIN low_merges m ON m.part = c.id AND m.id < c.id
+      AND m.pair IN (CAST(CASE WHEN follows THEN c.id ELSE l.tok END AS BIGINT) * 65536 + c.id, CAST(c.id AS BIGINT) * 65536 + r.tok)
+     GROUP BY c.w),
+   kept AS (SELECT c.* FROM chosen c LEFT JOIN stop USING (w) WHERE stop.n IS NULL OR c.n <= stop.n),
+   change AS (SELECT w, p, re AS e, id AS tok FROM kept UNION ALL SELECT w, rp, NULL, -1 FROM kept)
+   SELECT t.w, t.p, coalesce(c.e, t.e), coalesce(c.tok, t.tok)
+   FROM t SEMI JOIN best USING (w) LEFT JOIN change c ON c.w = t.w AND c.p = t.p WHERE t.tok >= 0))
+SELECT w, tok FROM t WHERE tok >= 0 ORDER BY w, p
+"""
+#: Merges whose token has a lower rank than one of its parts, by that part.
+LOW_MERGES = """
+CREATE TABLE low_merges AS
+SELECT DISTINCT part, pair, id FROM (SELECT pair // 65536 AS part, * FROM merges UNION ALL SELECT pair % 65536, * FROM merges) WHERE id < part
 """
 DECODE = """
 SELECT d, string_agg(h, '' ORDER BY p) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d ORDER BY d
@@ -59,11 +97,12 @@ class Coder:
         import regex
 
         self.ranks = read_ranks(path)
-        self.cut = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY >> 20}MiB", "temp_directory": ""})
         splits = [(a * 65536 + b, v) for t, v in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
         self._table("merges", pair=pa.array([x[0] for x in splits], pa.int64()), id=pa.array([x[1] for x in splits], pa.int32()))
+        self.con.execute(LOW_MERGES)
         self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), h=pa.array([t.decode("latin-1") for t in self.ranks]))
         self.known: dict[str, bytes] = {}
         for token, rank in self.ranks.items():
@@ -89,57 +128,52 @@ class Coder:
         data = np.frombuffer(b"".join(pieces), np.uint8)
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         p = (np.arange(len(data)) - (np.cumsum(sizes) - sizes)[w]).astype(np.int32)
+        memory = max(MEMORY, MEMORY_A_BYTE * len(data))
+        self.con.execute(f"SET memory_limit = '{memory >> 20}MiB'")
         self.con.register("bytes_in", pa.table({"w": w, "p": p, "tok": self.byte[data]}))
-        out = self.con.sql(CONTRACT).to_arrow_table()
+        out = self.con.sql(CONTRACT if sizes.max() <= SHORT else CONTRACT_MANY).to_arrow_table()
         self.con.unregister("bytes_in")
+        if memory > MEMORY:
+            self.con.execute(f"SET memory_limit = '{MEMORY >> 20}MiB'")
         at = np.searchsorted(out["w"].to_numpy(), np.arange(len(pieces) + 1)) * 4
         flat = out["tok"].to_numpy().astype(np.int32).tobytes()
         return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
-    def _heap(self, piece: bytes) -> bytes:
-        """Leftmost least-rank pairs of one long piece, with links to both neighbours."""
-        n = len(piece)
-        tokens: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: self.ranks.get(tokens[i] + tokens[after[i]]) if after[i] < n else None
-        heap = [(r, i, 2) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, size = heapq.heappop(heap)
-            if tokens[i] is None or after[i] >= n or len(tokens[i]) + len(tokens[after[i]]) != size or rank(i) != r:
-                continue
-            j = after[i]
-            tokens[i], tokens[j], after[i] = tokens[i] + tokens[j], None, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k, len(tokens[k]) + len(tokens[after[k]])))
-        return np.array([self.ranks[t] for t in tokens if t is not None], np.int32).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        short = []
-        for piece in sorted(new):
-            raw = piece.encode()
-            if len(raw) > LONG:
-                self.known[piece] = self._heap(raw)
-            else:
-                short.append((piece, raw))
-        for i in range(0, len(short), PIECES):
-            part = short[i : i + PIECES]
-            self.known.update(zip([x[0] for x in part], self._contract([x[1] for x in part])))
+    def _learn(self, pieces: Iterable[str]) -> None:
+        new = sorted((p.encode() for p in set(pieces).difference(self.known)), key=len)
+        part, size = [], 0
+        for i, raw in enumerate(new):
+            part.append(raw)
+            size += len(raw)
+            if i + 1 == len(new) or len(part) == PIECES or size + len(new[i + 1]) > PIECE_BYTES:
+                self.known.update(zip([x.decode() for x in part], self._contract(part)))
+                part, size = [], 0
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        pieces = list(map(self.pattern.findall, texts))
+        self._learn(itertools.chain.from_iterable(pieces))
+        find = self.known.__getitem__
+        return (b"".join(map(find, p)) for p in pieces)
+
+    def _encode_long(self, text: str) -> bytes:
+        """A text of any length: so many pieces at a time."""
+        found, out = (m[0] for m in self.pattern.finditer(text)), []
+        while part := list(itertools.islice(found, AT_ONCE)):
+            self._tidy()
+            self._learn(part)
+            out.append(b"".join(map(self.known.__getitem__, part)))
+        return b"".join(out)
+
+    def _tidy(self) -> None:
+        if len(self.known) > self.fixed + REMEMBERED:
+            self.known = dict(itertools.islice(self.known.items(), self.fixed))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit numbers side by side."""
-        pieces = [self.cut(t) for t in texts]
-        if len(self.known) > self.fixed + REMEMBERED:
-            self.known = dict(list(self.known.items())[: self.fixed])
-        new: set[str] = set()
-        for p in pieces:
-            new.update(p)
-        self._learn(new.difference(self.known))
-        find = self.known.__getitem__
-        return [b"".join(map(find, p)) for p in pieces]
+        self._tidy()
+        if len(texts) == 1 and len(texts[0]) > GROUP:
+            return [self._encode_long(texts[0])]
+        return list(self._encode(texts))
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
@@ -156,7 +190,11 @@ class Coder:
         return [b"".join(x) for x in out]
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+#: Characters of the texts that are encoded together; a longer text is alone.
+GROUP = 1 << 20
+
+
+def _groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
     i = 0
     while i < len(texts):
         j, size = i, 0
