@@ -7,38 +7,60 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Partitions of a durable table for each core.
-WAVES = 2
+#: A durable table has at most so many files for each core, or one for so many bytes read, whichever is more.
+WAVES, FILE_BYTES = 2, 16 << 20
+
+#: Bytes of the durable tables of this driver, by the number of their RDD.
+_sizes: dict[int, int] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; one of our own only where that is unset (tests on one machine)."""
+    """The folder named in ``spark.checkpoint.dir``. On one machine a folder of our own where that is unset; on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return "file://" + tempfile.gettempdir() + "/sieveline-shared"
 
 
+def _bytes_read(df: DataFrame) -> int:
+    """Bytes of the files and durable tables that a plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            total += _sizes.get(leaf.rdd().id(), 0)
+        else:
+            total += int(leaf.stats().sizeInBytes())
+    return total
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; files go when Spark's cleaner finds them unused.
 
-    There is a file for each partition, and creating one costs a file system more than a small table's rows do, so there
-    are at most WAVES partitions for each core, unless the number of cores changes with the load.
+    There is a file for each partition, and creating one costs a file system more than a small table's rows do, so small
+    tables get few. The number of files, and of tasks, grows with the bytes that the plan reads, so no task does.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(spark))
-    if context.getConf().get("spark.dynamicAllocation.enabled", "false") != "true":
-        df = df.coalesce(WAVES * context.defaultParallelism)
-    done = df.checkpoint(eager=True)
+    files = max(WAVES * context.defaultParallelism, -(-_bytes_read(df) // FILE_BYTES))
+    done = df.coalesce(min(files, (1 << 31) - 1)).checkpoint(eager=True)
+    kept = done._jdf.queryExecution().analyzed().rdd()
     # A checkpoint carries the constraints of the plan behind it, which multiply over the rounds of a loop until the
     # optimizer takes longer than the job; the same rows without them:
     rows = done._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+    if kept.getCheckpointFile().isDefined():
+        path = context._jvm.org.apache.hadoop.fs.Path(kept.getCheckpointFile().get())
+        _sizes[rows.id()] = path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return out
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
