@@ -45,6 +45,18 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, each not one of the frame's in either case."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def map_last(df: DataFrame, last: str, run, added: dict[str, tuple[str, str]]) -> DataFrame:
     """``df`` without ``last``, with new columns: ``run`` gets the other columns as c0, c1, ... and ``last`` at the end.
 

@@ -5,9 +5,10 @@ of pieces and matches give code-point offsets. Sums run in blocks, so a text wit
 
 Entropy: a candidate is a run of at least ``window`` characters of the base64 alphabets that holds both letters and
 digits. Its class is hex or base64. A window slides over it; the count of the entering character rises, that of the
-leaving one falls, and the sum of c*log2(c) follows by a table of whole numbers, so the result is exact. Windows whose
-entropy reaches the class's threshold, and that hold two letters and two digits, merge into spans. Candidates that match
-the allow-list are dropped, and so are spans inside one that a pattern found.
+leaving one falls, and the sum of c*log2(c) follows by a table of whole numbers, so the result is exact. Counts are kept
+side by side in a few longs, and a candidate is split into characters once, so work is in proportion to its length.
+Windows whose entropy reaches the class's threshold, and that hold two letters and two digits, merge into spans.
+Candidates that match the allow-list are dropped, and so are spans inside one that a pattern found.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import fresh, quoted
+
 #: Kind, pattern, least length, and the group that the length is taken of.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so the least length can stand in the pattern for these two, which is far cheaper.
@@ -27,7 +30,7 @@ ALLOW = (
     r"(?i)example|placeholder|dummy|changeme|your[_-]",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)0123456789|9876543210|abcdefghij",
-    r"(?i)^(?:[a-z]+[/_-])*[a-z]+[/_-]?[0-9]{1,4}$",
+    r"(?i)^[a-z]++(?:[/_-][a-z]++)*+[/_-]?[0-9]{1,4}$",
 )
 ALPHABET = {"hex": "0123456789abcdef", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="}
 THRESHOLD = {"hex": 2.8, "base64": 3.6}
@@ -56,75 +59,109 @@ def match_spans(text: Column, pattern: str) -> Column:
 
 
 def _windows(hit: Column, kind: str, window: int) -> Column:
-    """Merged spans, within the candidate, of the windows with enough entropy."""
+    """Merged spans (a, b), within the candidate, of the windows with enough entropy."""
     alphabet = ALPHABET[kind]
+    bits = (window + 1).bit_length()
+    in_long = 62 // bits
     table = F.array(*[F.lit(round(c * math.log2(c) * SCALE) if c else 0) for c in range(window + 2)])  # the entering character comes first
     most = math.floor(window * (math.log2(window) - THRESHOLD[kind]) * SCALE)
-    text = F.lower(hit) if kind == "hex" else hit
-    places = F.transform(F.split(text, ""), lambda ch: F.instr(F.lit(alphabet), ch))
-    first_digit = alphabet.index("0") + 1
-    is_digit = lambda p: p.between(first_digit, first_digit + 9)
-    is_letter = lambda p: ~is_digit(p) & (p <= (16 if kind == "hex" else 62))
+    first_digit = alphabet.index("0")
     one = lambda b: F.when(b, 1).otherwise(0)
 
-    def step(s: Column, i: Column) -> Column:
-        come, gone = F.element_at(places, i), F.when(i > window, F.element_at(places, F.greatest(i - window, F.lit(1)))).otherwise(0)
-        a = F.element_at(s["counts"], come)
-        up = F.element_at(table, a + 2) - F.element_at(table, a + 1)
-        b = F.when(gone > 0, F.element_at(s["counts"], F.greatest(gone, F.lit(1))) + one(gone == come)).otherwise(0)
-        down = F.when(gone > 0, F.element_at(table, b) - F.element_at(table, b + 1)).otherwise(0)
+    def cell(ch: Column) -> Column:
+        """A character's place in the alphabet: which long, how far in it, and whether it is a digit or a letter."""
+        at = F.instr(F.lit(alphabet), ch) - 1
+        digit = at.between(first_digit, first_digit + 9)
+        letter = ~digit & (at < (16 if kind == "hex" else 62))
+        return F.struct(F.floor(at / in_long).cast("int").alias("long"), (at % in_long * bits).alias("shift"), one(digit).alias("digit"), one(letter).alias("letter"))
+
+    def count(s: Column, c: Column) -> Column:
+        shifted = F.call_function("shiftright", F.element_at(s["counts"], c["long"] + 1), c["shift"])
+        return shifted.bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+
+    unit = lambda c, k: F.when(c["long"] == k, F.call_function("shiftleft", F.lit(1).cast("long"), c["shift"])).otherwise(F.lit(0).cast("long"))
+
+    def judged(s: Column) -> Column:
+        """The state with the window that ends at s.at, if it is rich, in the open span or in a new one."""
+        rich = (s["at"] >= window) & (s["sum"] <= most) & (s["digits"] >= 2) & (s["letters"] >= 2)
+        apart = s["b"] < s["at"] - window
         return F.struct(
-            F.transform(s["counts"], lambda c, k: c + one(k + 1 == come) - one(k + 1 == gone)).alias("counts"),
-            (s["sum"] + up + down).alias("sum"),
-            (s["digits"] + one(is_digit(come)) - one((gone > 0) & is_digit(gone))).alias("digits"),
-            (s["letters"] + one(is_letter(come)) - one((gone > 0) & is_letter(gone))).alias("letters"),
-            s["spans"].alias("spans"),
+            *[s[k].alias(k) for k in ("counts", "sum", "digits", "letters", "at")],
+            F.when(rich & apart, s["at"] - window).otherwise(s["a"]).alias("a"),
+            F.when(rich, s["at"]).otherwise(s["b"]).alias("b"),
+            F.when(rich & apart & (s["b"] > 0), F.array_append(s["spans"], F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(s["spans"]).alias("spans"),
         )
 
-    def judged(s: Column, i: Column) -> Column:
-        rich = (i >= window) & (s["sum"] <= most) & (s["digits"] >= 2) & (s["letters"] >= 2)
-        n = F.size(s["spans"])
-        last = F.element_at(s["spans"], -1)
-        span = lambda a: F.array(F.struct(a.alias("a"), i.alias("b")))
-        joins = (n > 0) & (F.when(n > 0, last["b"]).otherwise(-1) >= i - window)
-        grown = F.when(joins, F.concat(F.slice(s["spans"], 1, F.greatest(n - 1, F.lit(0))), span(F.when(n > 0, last["a"])))).otherwise(
-            F.concat(s["spans"], span(i - window))
+    def enter(s: Column, come: Column) -> Column:
+        a = count(s, come)
+        return F.struct(
+            F.transform(s["counts"], lambda n, k: n + unit(come, k)).alias("counts"),
+            (s["sum"] + F.element_at(table, a + 2) - F.element_at(table, a + 1)).alias("sum"),
+            (s["digits"] + come["digit"]).alias("digits"),
+            (s["letters"] + come["letter"]).alias("letters"),
+            (s["at"] + 1).alias("at"),
+            *[s[k].alias(k) for k in ("a", "b", "spans")],
         )
-        return F.struct(s["counts"], s["sum"], s["digits"], s["letters"], F.when(rich, grown).otherwise(s["spans"]).alias("spans"))
 
+    def leave(s: Column, gone: Column) -> Column:
+        b = count(s, gone)
+        left = F.struct(
+            F.transform(s["counts"], lambda n, k: n - unit(gone, k)).alias("counts"),
+            (s["sum"] + F.element_at(table, b) - F.element_at(table, b + 1)).alias("sum"),
+            (s["digits"] - gone["digit"]).alias("digits"),
+            (s["letters"] - gone["letter"]).alias("letters"),
+            *[s[k].alias(k) for k in ("at", "a", "b", "spans")],
+        )
+        return F.when(s["at"] > window, left).otherwise(s)
+
+    # each step is a value of its own, as a field of an expression would be computed once for each use
+    chained = lambda s, *steps: s if not steps else F.element_at(F.transform(F.array(chained(s, *steps[:-1])), steps[-1]), 1)
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-        F.lit(0).alias("sum"),
-        F.lit(0).alias("digits"),
-        F.lit(0).alias("letters"),
+        F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // in_long)).alias("counts"),
+        *[F.lit(0).alias(k) for k in ("sum", "digits", "letters", "at", "a")],
+        F.lit(-1).alias("b"),
         F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
     )
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(hit)), zero, lambda s, i: judged(step(s, i), i), lambda s: s["spans"])
+    done = lambda s: F.when(s["b"] > 0, F.array_append(s["spans"], F.struct(s["a"].alias("a"), s["b"].alias("b")))).otherwise(s["spans"])
+
+    def slide(cells: Column) -> Column:
+        step = lambda s, i: chained(
+            s,
+            lambda s: enter(s, F.element_at(cells, i)),
+            lambda s: leave(s, F.element_at(cells, F.greatest(i - window, F.lit(1)))),
+            judged,
+        )
+        return F.aggregate(F.sequence(F.lit(1), F.size(cells)), zero, step, done)
+
+    text = F.lower(hit) if kind == "hex" else hit
+    return F.element_at(F.transform(F.array(F.transform(F.split(text, ""), cell)), slide), 1)
 
 
 def find_secrets(documents: DataFrame, text_col: str = "text", window: int = 20, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """``documents`` with base_spans and spans, arrays of (start, rank, end, kind) in order.
 
     Kinds by rank: assign, access, hex, then the method's entropy_hex and entropy_base64. Null or empty texts have none.
-    Whole texts are scanned, and rows stay as they are, so repeated rows and other columns need no care; a column named
-    base_spans or spans is replaced.
+    Whole texts are scanned, and rows stay as they are, so repeated rows stay equal; columns named base_spans or spans are
+    replaced, other columns of any name are kept; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kinds = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": CANDIDATE % window}
-    found = documents.withColumns({f"_{k}": match_spans(text, p) for k, p in kinds.items()})
+    text = F.coalesce(quoted(text_col), F.lit(""))
+    names = [c for c in documents.columns if c.lower() not in ("base_spans", "spans")]
+    assign, access, hexes, run = own = fresh(documents, "_assign", "_access", "_hex", "_run")
+    patterns = (ASSIGN, ACCESS, HEX, CANDIDATE % window)
+    found = documents.withColumns({k: match_spans(text, p) for k, p in zip(own, patterns)}).drop("base_spans", "spans")
 
     def spans(of: Column, rank: int, kind: str) -> Column:
         return F.transform(of, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    strong = F.filter("_assign", lambda m: F.char_length(F.regexp_extract(m["hit"], ASSIGN, 1)) >= 6)
-    base = F.array_sort(F.concat(spans(strong, 0, "assign"), spans(F.col("_access"), 1, "access"), spans(F.col("_hex"), 2, "hex")))
+    strong = F.filter(assign, lambda m: F.char_length(F.regexp_extract(m["hit"], ASSIGN, 1)) >= 6)
+    base = F.array_sort(F.concat(spans(strong, 0, "assign"), spans(F.col(access), 1, "access"), spans(F.col(hexes), 2, "hex")))
     allowed = lambda h: F.greatest(*[h.rlike(p) for p in allow], F.lit(False))
     worth = lambda m: m["hit"].rlike("[0-9]") & m["hit"].rlike("[A-Za-z]") & ~allowed(m["hit"])
     is_hex = lambda m: m["hit"].rlike("^[0-9A-Fa-f]+$")
-    found = found.withColumns({"base_spans": base, "_run": F.filter("_run", worth)})
+    found = found.withColumns({"base_spans": base, run: F.filter(run, worth)})
 
     def rich(rank: int, kind: str) -> Column:
-        mine = F.filter("_run", is_hex if kind == "hex" else lambda m: ~is_hex(m))
+        mine = F.filter(run, is_hex if kind == "hex" else lambda m: ~is_hex(m))
         parts = lambda m: F.transform(
             _windows(m["hit"], kind, window),
             lambda w: F.struct(
@@ -137,8 +174,8 @@ def find_secrets(documents: DataFrame, text_col: str = "text", window: int = 20,
         F.concat(rich(3, "hex"), rich(4, "base64")),
         lambda s: ~F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])),
     )
-    more = F.when(F.size("_run") > 0, F.array_sort(F.concat("base_spans", new))).otherwise(F.col("base_spans"))
-    return found.withColumn("spans", more).drop(*[f"_{k}" for k in kinds])
+    more = F.when(F.size(run) > 0, F.array_sort(F.concat("base_spans", new))).otherwise(F.col("base_spans"))
+    return found.withColumn("spans", more).select(*map(quoted, names), "base_spans", "spans")
 
 
 def joined(spans: Column) -> Column:
