@@ -1,11 +1,11 @@
 """Mixing sources to target weights by pivotal dependent rounding, in built-in expressions only.
 
-A source's documents are each due target/size copies. The whole part is certain; the fraction is rounded so that the
-mass in words is kept: a document and the pool of those after it exchange words at random until the document's fraction,
-or all of the pool's, are 0 or 1. The pool's fractions move together, by an affine map, so a block of about ``FAN``
-documents is one fold, largest first, that leaves at most one small document with a fraction. These residuals are the
-next level of the reduction tree. So a hot source is spread over as many blocks as it needs, and each source misses its
-target by less than one, mostly small, document. Random numbers are hashes of what is paired, so reruns agree.
+A source's documents are each due target/size copies. The whole part is certain; the fractions are rounded in pairs: two
+documents exchange words at random, so that their sum in words and each one's expectation stay, until one of the two
+fractions is 0 or 1; the other meets the next document. A block of about ``FAN`` documents is one fold, largest first,
+that leaves one document, mostly a small one, with a fraction. These residuals are the next level of the reduction tree.
+So a hot source is spread over as many blocks as it needs, and each source misses its target by less than one document.
+Random numbers are hashes of what is paired, so reruns agree.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.llm.columns import fresh, quoted
 from sieveline.plans.durable import durable
+from sieveline.plans.membership import maybe_in
 
-FAN = 128
+#: Documents in a block, and copies of a repeated row that one task makes at once.
+FAN, COPIES = 128, 4096
 #: Words are runs of other characters than these; the repeating weights; the most copies.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -28,20 +31,33 @@ MOST = 3
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Add target to (source, source_size, ...): shares of the total by weight, none above ``most`` times its size.
 
-    Sources count by code point, null last. The level at which uncapped sources meet follows from running sums over
-    sources by the level that caps them. One row for each source, so one task is enough.
+    Sources count by code point, null last. There may be as many sources as hosts: places come from sorted partitions and
+    their sizes, and the level at which uncapped sources meet from rounds of sums, in each of which more sources reach
+    their cap, until none is above. The driver gets a row for each partition, and sums.
     """
-    ranked = Window.orderBy(F.asc_nulls_last("source"))
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(ranked) - 1) % len(weights) + 1)
-    by_cap = Window.orderBy("_at", F.asc_nulls_last("source"))
-    so_far, rest = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    df = sizes.withColumns({"_w": weight, "_cap": (most * F.col("source_size")).cast("double")})
-    df = df.withColumn("_at", F.col("_cap") / F.col("_w"))
-    left = F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(so_far), F.lit(0.0))
-    df = df.withColumn("_level", left / F.sum("_w").over(rest))
-    level = F.max(F.when(F.col("_level") < F.col("_at"), F.col("_level"))).over(everything)
-    return df.withColumn("target", F.least("_cap", F.coalesce(level * F.col("_w"), "_cap"))).drop("_w", "_cap", "_at", "_level")
+    order = F.asc_nulls_last("source")
+    parted = durable(sizes.orderBy(order).withColumn("_part", F.spark_partition_id()))
+    before, start = [], 0
+    for r in parted.groupBy("_part").count().orderBy("_part").collect():
+        before.append((r["_part"], start))
+        start += r["count"]
+    if not before:
+        return sizes.withColumn("target", F.lit(0.0))
+    starts = sizes.sparkSession.createDataFrame(before, "_at int, _start long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_start")
+    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
+    df = durable(
+        parted.join(F.broadcast(starts), F.col("_part") == F.col("_at")).withColumns({"_w": weight, "_cap": (most * F.col("source_size")).cast("double")})
+    )
+    total = df.agg(F.sum("source_size")).first()[0]
+    level, capped = 0.0, -1
+    while True:
+        over = level * F.col("_w") > F.col("_cap")
+        free, taken, now = df.agg(F.sum(F.when(~over, F.col("_w"))), F.sum(F.when(over, F.col("_cap"))), F.count_if(over)).first()
+        if now == capped or not free:
+            break
+        level, capped = (total - (taken or 0.0)) / free, now
+    return df.withColumn("target", F.least("_cap", F.lit(level) * F.col("_w"))).drop("_w", "_cap", "_part", "_at", "_start")
 
 
 def _chance(*parts: Column) -> Column:
@@ -49,30 +65,20 @@ def _chance(*parts: Column) -> Column:
 
 
 def _exchange(state: Column, item: Column, level: int, seed: int) -> Column:
-    """Settle one item against the pool: mass and room are the words that the items after it could give and take."""
-    a = item["size"].cast("double")
-    x = F.greatest(F.lit(0.0), F.least(F.lit(1.0), state["slope"] * item["x"] + state["base"]))
-    own = a * item["x"] * state["slope"] + a * state["base"]
-    mass = F.greatest(F.lit(0.0), state["mass"] - own)
-    room = F.greatest(F.lit(0.0), state["room"] - (a - own))
-    up, down = F.least(a * (1 - x), mass), F.least(a * x, room)
-    gain = _chance(F.lit(seed), F.lit(level), item["k1"], item["k2"]) * (up + down) < down
+    """Pair the pending item with the next one: words move until one of the two fractions is 0 or 1, which is then done."""
+    p = state["pending"]
+    a, b, x, y = p["size"].cast("double"), item["size"].cast("double"), p["x"], item["x"]
+    up, down = F.least(a * (1 - x), b * y), F.least(a * x, b * (1 - y))
+    gain = _chance(F.lit(seed), F.lit(level), p["k1"], p["k2"], item["k1"], item["k2"]) * (up + down) < down
+    first = F.when(gain, a * (1 - x) <= b * y).otherwise(a * x <= b * (1 - y))  # whose fraction becomes whole
+    whole = F.when(gain == first, 1.0).otherwise(0.0)
+    inner = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
+    kept_x = inner(F.when(gain, x + up / a).otherwise(x - down / a))
+    kept_y = inner(F.when(gain, y - up / b).otherwise(y + down / b))
     settled = (x == 0) | (x == 1)
-    alone = up + down == 0
-    whole = settled | (~alone & F.when(gain, a * (1 - x) <= mass).otherwise(a * x <= room))
-    # the pool's fractions shrink towards 0 or towards 1
-    keep = F.when(settled | alone, 1.0).when(~whole, 0.0).when(gain, 1 - up / mass).otherwise(1 - down / room)
-    grown = F.when(settled | alone | gain, 0.0).otherwise(1 - keep)
-    moved = F.when(settled | alone, 0.0).when(gain, -up).otherwise(down)
-    at = F.when(settled, x).when(whole, F.when(gain, 1.0).otherwise(0.0)).otherwise(x - F.when(alone, 0.0).otherwise(moved) / a)
-    put = F.array(item.withField("x", at))
     return F.struct(
-        (state["slope"] * keep).alias("slope"),
-        (state["base"] * keep + grown).alias("base"),
-        (mass + moved).alias("mass"),
-        (room - moved).alias("room"),
-        F.when(whole, state["carry"]).otherwise(F.concat(state["carry"], put)).alias("carry"),
-        F.when(whole, F.concat(state["done"], put)).otherwise(state["done"]).alias("done"),
+        F.when(settled, item).when(first, item.withField("x", kept_y)).otherwise(p.withField("x", kept_x)).alias("pending"),
+        F.array_append(state["done"], F.when(settled, p).when(first, p.withField("x", whole)).otherwise(item.withField("x", whole))).alias("done"),
     )
 
 
@@ -90,32 +96,35 @@ def round_fractions(items: DataFrame, most_in_a_source: int, fan: int = FAN, see
         block = F.pmod(F.xxhash64(F.lit(seed + level), "item.k1", "item.k2"), blocks)
         order = F.struct((-F.col("item.size")).alias("o"), F.col("item.k1").alias("a"), F.col("item.k2").alias("b"), "item")
         grouped = items.groupBy("source", "in_source", block.alias("block")).agg(F.sort_array(F.collect_list(order)).alias("xs"))
-        xs = F.transform("xs", lambda s: s["item"])
-        total = lambda f: F.aggregate("xs", F.lit(0.0), lambda t, i: t + i["size"] * f(i["x"]))
-        none = F.array().cast(f"array<{fields}>")
-        start = F.struct(
-            F.lit(1.0).alias("slope"),
-            F.lit(0.0).alias("base"),
-            total(lambda x: x).alias("mass"),
-            total(lambda x: 1 - x).alias("room"),
-            none.alias("carry"),
-            none.alias("done"),
-        )
+        start = F.struct(F.element_at("xs", 1).alias("pending"), F.array().cast(f"array<{fields}>").alias("done"))
         folded = durable(
-            grouped.withColumn("xs", xs)
-            .select("source", "in_source", F.aggregate("xs", start, _folder(level, seed)).alias("s"))
-            .select("source", "in_source", "s.carry", "s.done")
+            grouped.withColumn("xs", F.transform("xs", lambda s: s["item"]))
+            .select("source", "in_source", F.aggregate(F.slice("xs", 2, F.size("xs")), start, _folder(level, seed)).alias("s"))
+            .select("source", "in_source", "s.pending", "s.done")
         )
         done.append(folded.select("source", F.explode("done").alias("item")))
-        items = folded.select("source", "in_source", F.explode("carry").alias("item"))
+        items = folded.select("source", "in_source", F.col("pending").alias("item"))
     final = F.when(_chance(F.lit(seed), F.lit(0), "item.k1", "item.k2") < F.col("item.x"), 1.0).otherwise(0.0)
     done.append(items.select("source", F.col("item").withField("x", final).alias("item")))
     return functools.reduce(DataFrame.unionByName, done)
 
 
-def _keyed(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    parts = [c for name in (id_col, source_col, text_col) for c in (F.col(name), F.col(name).isNull())]
-    return documents.withColumns({"k1": F.xxhash64(*parts), "k2": F.xxhash64(F.lit(1), *parts)})
+def _keys(id_col: str, text_col: str, source_col: str) -> tuple[Column, Column]:
+    """128 bits that stand for a row's id, source and text."""
+    parts = [c for name in (id_col, source_col, text_col) for c in (quoted(name), quoted(name).isNull())]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
+def _repeated(rows: DataFrame, n: str) -> DataFrame:
+    """Each row as often as its column ``n`` says; a row with many copies is dealt to tasks that make some of them each."""
+    part, i = fresh(rows, "_part", "_i")
+    count, last = F.col(n), F.lit(COPIES - 1).cast("long")
+    numbers = lambda low, high: F.explode(F.sequence(low.cast("long"), high.cast("long")))
+    few = rows.where((count > 0) & (count <= COPIES)).withColumn(i, numbers(F.lit(1), count)).drop(i)
+    many = rows.where(count > COPIES).withColumn(part, numbers(F.lit(0), F.floor((count - 1) / COPIES)))
+    dealt = many.repartition(F.xxhash64(part, *[quoted(c) for c in rows.columns[:2]]))
+    start = F.col(part) * COPIES + 1
+    return few.unionByName(dealt.withColumn(i, numbers(start, F.least(start + last, count))).drop(part, i))
 
 
 def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -124,10 +133,9 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     m rows share it; ``extra`` of them get whole + 1 copies and the rest ``whole``. Texts without words have no weight and
     get no copy. Equal rows are counted before anything else moves, so a hot group of them is one row here.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = _keyed(documents.select(id_col, source_col, text_col), id_col, text_col, source_col).select(
-        "k1", "k2", F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")
-    )
+    size = F.coalesce(F.regexp_count(quoted(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    k1, k2 = _keys(id_col, text_col, source_col)
+    rows = documents.select(k1.alias("k1"), k2.alias("k2"), quoted(id_col).alias("id"), quoted(source_col).alias("source"), size.alias("size"))
     units = durable(rows.groupBy("source", "k1", "k2", "id", "size").agg(F.count("*").alias("m")))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("in_source"))
     targets = durable(source_targets(sizes, weights, most))
@@ -147,27 +155,43 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mix_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``documents``: id_col, size, source_size, target, taken (size times copies)."""
+    """One row for each row of ``documents``: id_col, size, source_size, target, taken (size times copies).
+
+    Null and empty texts have size 0; repeated rows have a row each; other columns, whatever their names, are ignored; an
+    empty table gives an empty result.
+    """
     plan = mix_plan(documents, id_col, text_col, source_col)
-    each = plan.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
-    copies = F.col("whole") + F.when(F.col("_i") <= F.col("extra"), 1).otherwise(0)
-    return each.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    row = lambda n, copies: plan.select("k1", "k2", F.col("id").alias("_id"), "size", "source_size", "target", n.alias("n"), copies.alias("copies"))
+    each = _repeated(row(F.col("extra"), F.col("whole") + 1).unionByName(row(F.col("m") - F.col("extra"), F.col("whole"))), "n")
+    return each.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``documents`` with each row repeated as often as the mix takes it (0 to ``most`` times), all columns kept.
 
-    A null source is a source of its own; null or empty texts have no weight and are not taken; of repeated rows each gets
-    its own number of copies; an empty table gives an empty result.
+    A null source is a source of its own; null or empty texts have no weight and are not taken; rows equal in id, source
+    and text are counted as one with many copies, and in the order of their other columns some of them get one copy more;
+    columns of any name are kept; an empty table gives an empty result.
     """
+    names = documents.columns
+    k1, k2, p1, p2, m, whole, extra, copies, rows, upto = fresh(documents, "_k1", "_k2", "_p1", "_p2", "_m", "_whole", "_extra", "_copies", "_rows", "_upto")
     plan = mix_plan(documents, id_col, text_col, source_col, weights, most).select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("m").alias("_m"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")
+        F.col("k1").alias(p1), F.col("k2").alias(p2), F.col("m").alias(m), F.col("whole").alias(whole), F.col("extra").alias(extra)
     )
-    names = documents.columns
-    parts = [c for name in (id_col, source_col, text_col) for c in (F.col(name), F.col(name).isNull())]
-    keyed = documents.withColumns({"_r1": F.xxhash64(*parts), "_r2": F.xxhash64(F.lit(1), *parts)})
-    joined = keyed.join(plan.where("_whole > 0 or _extra > 0"), (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")))
-    nth = F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_m"))
-    copies = F.col("_whole") + F.when(nth <= F.col("_extra"), 1).otherwise(0)
-    counted = joined.withColumn("_copies", copies).where("_copies > 0")
-    return counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*names)
+    plan = durable(plan.where(F.col(whole) + F.col(extra) > 0))
+    same = (F.col(k1) == F.col(p1)) & (F.col(k2) == F.col(p2))
+    one, two = _keys(id_col, text_col, source_col)
+    keyed = documents.withColumns({k1: one, k2: two})
+    single = keyed.join(plan.where(F.col(m) == 1), same).withColumn(copies, F.col(whole) + F.col(extra))
+    out = single.select(*map(quoted, names), F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copies)).drop(copies)
+    hot = plan.where(F.col(m) > 1)
+    if hot.isEmpty():
+        return out
+    # equal rows meet as counts: partial sums come before the shuffle, after a filter of fixed size by the keys
+    kinds = maybe_in(keyed, k1, hot, p1).groupBy(k1, k2, *map(quoted, names)).agg(F.count("*").alias(rows))
+    known = kinds.join(hot, same)
+    order = Window.partitionBy(k1, k2).orderBy(F.xxhash64(*[quoted(c) for c in names]), *map(quoted, names))
+    known = known.withColumn(upto, F.sum(rows).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    more = F.greatest(F.lit(0), F.least(F.col(rows), F.col(extra) - (F.col(upto) - F.col(rows))))
+    known = known.withColumn(copies, F.col(rows) * F.col(whole) + more)
+    return out.unionByName(_repeated(known.select(k1, k2, *map(quoted, names), copies), copies).select(*map(quoted, names)))
