@@ -4,7 +4,8 @@ A source's documents are each due target/size copies. The whole part is certain;
 documents exchange words at random, so that their sum in words and each one's expectation stay, until one of the two
 fractions is 0 or 1; the other meets the next document. A block of about ``FAN`` documents is one fold, largest first,
 that leaves one document, mostly a small one, with a fraction. These residuals are the next level of the reduction tree.
-So a hot source is spread over as many blocks as it needs, and each source misses its target by less than one document.
+So a hot source is spread over as many blocks as it needs. Documents far above their source's mean size go first, then
+those above it, and the others are due what these leave, so each source misses its target by about one small document.
 Random numbers are hashes of what is paired, so reruns agree.
 """
 
@@ -20,8 +21,9 @@ from sieveline.llm.columns import fresh, quoted
 from sieveline.plans.durable import durable
 from sieveline.plans.membership import maybe_in
 
-#: Documents in a block, and copies of a repeated row that one task makes at once.
-FAN, COPIES = 128, 4096
+#: Documents in a block, copies of a repeated row that one task makes at once, and from how many means of its source's
+#: sizes a document is in the first or the second class that is settled.
+FAN, COPIES, LARGE = 128, 4096, (4, 1)
 #: Words are runs of other characters than these; the repeating weights; the most copies.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
@@ -137,16 +139,39 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     k1, k2 = _keys(id_col, text_col, source_col)
     rows = documents.select(k1.alias("k1"), k2.alias("k2"), quoted(id_col).alias("id"), quoted(source_col).alias("source"), size.alias("size"))
     units = durable(rows.groupBy("source", "k1", "k2", "id", "size").agg(F.count("*").alias("m")))
-    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count("*").alias("in_source"))
+    n, mass = F.sum("m"), F.sum(F.col("size") * F.col("m"))
+    means = F.col("size") * F.col("docs") / F.greatest("source_size", F.lit(1))
+    turn = F.when(means > LARGE[0], 0).when(means > LARGE[1], 1).otherwise(2)
+    sizes = units.groupBy("source").agg(mass.alias("source_size"), F.count("*").alias("in_source"), n.alias("docs"))
     targets = durable(source_targets(sizes, weights, most))
     most_in_a_source = targets.agg(F.max("in_source")).first()[0] or 0
-    by = targets.withColumnRenamed("source", "_s")
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    due = F.when(F.abs(due - F.round(due)) < 1e-12, F.round(due)).otherwise(due)
-    parts = units.join(by, units["source"].eqNullSafe(by["_s"])).drop("_s").withColumn("due", due)
-    parts = parts.withColumn("whole", F.when(F.col("size") > 0, F.floor("due")).otherwise(0).cast("long"))
+    left = durable(_of_source(units, targets.withColumn("due", due)).withColumn("turn", turn))
+    done: list[DataFrame] = []
+    for k in range(len(LARGE)):
+        done.append(durable(_settled(left.where(F.col("turn") == k), most_in_a_source)))
+        copies = F.col("m") * F.col("whole") + F.col("extra")
+        taken = done[-1].groupBy("source").agg(F.sum(F.col("size") * copies).alias("taken"), mass.alias("mass"))
+        rest = left.where(F.col("turn") > k).groupBy("source").agg(F.max("due").alias("due"), mass.alias("rest"))
+        owed = F.col("due") * (F.col("rest") + F.coalesce("mass", F.lit(0))) - F.coalesce("taken", F.lit(0))
+        share = F.when(F.col("rest") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), owed / F.col("rest")))).otherwise(0.0)
+        shares = durable(_of_source(rest, taken, "left").select("source", share.alias("due")))
+        left = durable(_of_source(left.where(F.col("turn") > k).drop("due"), shares))
+    return functools.reduce(DataFrame.unionByName, [*done, _settled(left, most_in_a_source)])
+
+
+def _of_source(rows: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their source, which may be null."""
+    by = of.withColumnRenamed("source", "_s")
+    return rows.join(by, rows["source"].eqNullSafe(by["_s"]), how).drop("_s")
+
+
+def _settled(parts: DataFrame, most_in_a_source: int) -> DataFrame:
+    """Rows due so many copies, with whole and extra: ``extra`` of the m rows get one copy more."""
+    due = F.when(F.abs(F.col("due") - F.round("due")) < 1e-12, F.round("due")).otherwise(F.col("due"))
+    parts = parts.withColumn("due", due).withColumn("whole", F.when(F.col("size") > 0, F.floor("due")).otherwise(0).cast("long"))
     parts = parts.withColumn("_f", F.when(F.col("size") > 0, F.col("m") * (F.col("due") - F.col("whole"))).otherwise(0.0))
-    parts = durable(parts.withColumn("certain", F.floor("_f").cast("long")).withColumn("x", F.col("_f") - F.col("certain")).drop("_f", "due"))
+    parts = durable(parts.withColumn("certain", F.floor("_f").cast("long")).withColumn("x", F.col("_f") - F.col("certain")))
     names = ["size", "k1", "k2", "x", "id", "m", "source_size", "target", "whole", "certain"]
     loose = parts.where("x > 0").select("source", "in_source", F.struct(*names).alias("item"))
     rounded = round_fractions(loose, most_in_a_source).select("source", "item.*")

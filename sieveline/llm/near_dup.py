@@ -28,7 +28,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import bound_batches, tidy
+from sieveline.llm.columns import bound_batches, fresh, quoted, tidy
 from sieveline.llm.wordhash import mix, shingles, word_hashes
 from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
@@ -169,7 +169,7 @@ def near_duplicates(
     gives an empty result; other columns are ignored.
     """
     bound_batches(documents.sparkSession)
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = documents.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
     seen = durable(
         docs.mapInArrow(tidy(_signatures(shingle, bands, rows, seed)), f"id {kind}, key binary, n long, bands array<long>")
@@ -247,8 +247,10 @@ def one_of_each(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of rows that repeat both, one. Null or wordless texts are in no group, so all of them stay.
     """
-    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    docs = documents.withColumn("_row", row)
-    kept = near_duplicates(docs, "_row", text_col, **options).where("kept").groupBy(F.col("_row").alias("_kept")).agg(F.max("n_shingles").alias("_n"))
-    repeat = F.row_number().over(Window.partitionBy("_row").orderBy("_kept"))  # by the join's own key: no more shuffles
-    return docs.join(kept, F.col("_row") == F.col("_kept")).withColumn("_repeat", repeat).where("_repeat = 1 or _n = 0").select(*documents.columns)
+    own, kept_row, n, repeat = fresh(documents, "_row", "_kept", "_n", "_repeat")
+    row = F.struct(quoted(id_col).isNull().alias("none"), quoted(id_col).alias("id"), F.xxhash64(quoted(text_col)).alias("hash"))
+    docs = documents.withColumn(own, row)
+    kept = near_duplicates(docs, own, text_col, **options).where("kept").groupBy(F.col(own).alias(kept_row)).agg(F.max("n_shingles").alias(n))
+    nth = F.row_number().over(Window.partitionBy(own).orderBy(kept_row))  # by the join's own key: no more shuffles
+    found = docs.join(kept, F.col(own) == F.col(kept_row)).withColumn(repeat, nth).where((F.col(repeat) == 1) | (F.col(n) == 0))
+    return found.select(*map(quoted, documents.columns))

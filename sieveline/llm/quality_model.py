@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import bound_batches, map_last, release, tidy
+from sieveline.llm.columns import bound_batches, map_last, quoted, release, tidy
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
 
 DIM_BITS = 18
@@ -140,7 +140,8 @@ def train_quality(
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(train_rows)
     # at most train_rows ids and labels
-    rows = documents.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.xxhash64("_id", text_col).alias("ord"), F.col(text_col).alias("text"), "label")
+    texts = documents.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    rows = texts.join(F.broadcast(sample), F.col("id") == F.col("_id")).select(F.xxhash64("_id", "text").alias("ord"), "text", "label")
     vectors = rows.mapInArrow(tidy(_vectors), "ord long, label int, columns binary, values binary").orderBy("ord").limit(train_rows)
     model = fit_ftrl(_bounded(vectors, train_features), epochs, alpha, beta, l1, l2)
     release()

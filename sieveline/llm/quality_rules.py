@@ -24,8 +24,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rows of the sample on which costs and selectivity are estimated, its partitions, and runs of each rule.
 SAMPLE_ROWS, SAMPLE_PARTS, RUNS = 2000, 8, 3
-#: Seconds below which costs aren't told apart.
-LEAST_S = 0.005
+#: Costs below this share of what nothing takes aren't told apart.
+LEAST = 0.5
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -122,7 +122,7 @@ def rule_order(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     # in turns, so that none runs on a colder engine than the others; the first turn doesn't count
     tried = [F.lit(None).cast("boolean"), *(r.rejects for r in rules)]
     nothing, *runs = [min(times) for times in zip(*[[seconds(t) for t in tried] for _ in range(RUNS + 1)][1:])]
-    cost = [max(t - nothing, LEAST_S) for t in runs]
+    cost = [max(t - nothing, LEAST * nothing) for t in runs]
     order: list[int] = []
     while len(order) < len(rules):
         left = [i for i in range(len(rules)) if i not in order]
