@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.columns import bound_batches, map_last, quoted, release, tidy
 from sieveline.llm.wordhash import mix, word_hashes, words_and_shapes
+from sieveline.plans.durable import durable
 
 DIM_BITS = 18
 #: The sample's bounds: rows, and features over all rows.
@@ -134,7 +135,8 @@ def train_quality(
 ) -> QualityModel:
     """Fit on at most ``train_rows`` labelled rows that aren't held out, in the order of a hash of their id.
 
-    An id with several labels takes the largest; null labels and ids are ignored; without labelled rows every score is 0.5.
+    An id with several labels takes the largest; rows equal in id and text teach once; null labels and ids are ignored;
+    without labelled rows every score is 0.5.
     """
     bound_batches(documents.sparkSession)
     known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("label"))
@@ -142,17 +144,16 @@ def train_quality(
     # at most train_rows ids and labels
     texts = documents.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), F.col("id") == F.col("_id")).select(F.xxhash64("_id", "text").alias("ord"), "text", "label")
-    vectors = rows.mapInArrow(tidy(_vectors), "ord long, label int, columns binary, values binary").orderBy("ord").limit(train_rows)
-    model = fit_ftrl(_bounded(vectors, train_features), epochs, alpha, beta, l1, l2)
+    vectors = durable(rows.dropDuplicates(["ord"]).mapInArrow(tidy(_vectors), "ord long, label int, columns binary, values binary"))
+    # the bounds are settled by numbers alone, so only what is kept comes to the driver
+    upto, features = None, 0
+    for r in vectors.select("ord", F.octet_length("columns").alias("bytes")).orderBy("ord").limit(train_rows).collect():
+        features += r["bytes"] // 4
+        if features > train_features:
+            break
+        upto = r["ord"]
+    examples = vectors.where(F.col("ord") <= F.lit(upto).cast("long")).orderBy("ord").toLocalIterator()
+    decoded = ((r["label"], np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32)) for r in examples)
+    model = fit_ftrl(decoded, epochs, alpha, beta, l1, l2)
     release()
     return model
-
-
-def _bounded(vectors: DataFrame, most: int):
-    """Examples up to so many features, one at a time, so that only what is kept stays on the driver."""
-    features = 0
-    for r in vectors.toLocalIterator():
-        features += len(r["columns"]) // 4
-        if features > most:
-            return
-        yield r["label"], np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32)
