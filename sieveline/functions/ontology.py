@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import normalize_ascii
+from sieveline.functions.text import normalize
 
 
 def _plain(text: str) -> str:
@@ -75,7 +75,7 @@ class Ontology:
 
     def extract(self, text: Column, normalised: bool = False) -> Column:
         """Labels whose aliases occur in the text; blank for null."""
-        plain = F.coalesce(text if normalised else normalize_ascii(text), F.lit(""))
+        plain = F.coalesce(text if normalised else normalize(text), F.lit(""))
         hits = F.regexp_extract_all(plain, F.lit(self.pattern), F.lit(1))
         return self.ordered(F.transform(F.array_distinct(hits), lambda a: F.element_at(self._map(), a)))
 
@@ -85,7 +85,7 @@ class Ontology:
 
     def canonical(self, value: Column) -> Column:
         """The id of an alias, or null."""
-        return F.try_element_at(self._map(), normalize_ascii(value))
+        return F.try_element_at(self._map(), normalize(value))
 
     def parse_cell(self, cell: Column) -> Column:
         """Struct of labels (canonical order) and unknown (parts without a label) of a cell separated by |, comma or semicolon."""
@@ -122,7 +122,7 @@ class Ontology:
 
 def names_match(name: Column, of_class: Column, aliases: dict[str, list[str]]) -> Column:
     """Whether a name is an alias of its class; a class without aliases has its own name only."""
-    plain = normalize_ascii(name)
+    plain = normalize(name)
     cases = [(of_class == k) & plain.isin(*sorted({_plain(a) for a in [k, *v]})) for k, v in aliases.items()]
     own = ~of_class.isin(*aliases) if aliases else F.lit(True)
-    return functools.reduce(operator.or_, cases, own & (plain == normalize_ascii(of_class)))
+    return functools.reduce(operator.or_, cases, own & (plain == normalize(of_class)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,20 +11,19 @@ HOST_PREFIX = r"^(?:www|m|amp)\."
 
 
 def normalize_ascii(c: Column) -> Column:
-    """Lower case, _ and - as spaces, white space collapsed and stripped; equals ``normalize`` for text in NFKC form."""
+    """``normalize`` for text that is in compatibility form already."""
     return F.trim(F.regexp_replace(F.lower(F.translate(c, "_-", "  ")), r"(?U)\s+", " "))
 
 
-def _nfkc(c: Column) -> Column:
-    def nfkc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return F.pandas_udf(nfkc, "string")(c)
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form, by the normaliser in the JVM that Spark brings along for its collations."""
+    form = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), form).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
-    """NFKC first, which Spark has no function for, then as ``normalize_ascii``; only texts beyond ASCII leave the JVM's answer."""
-    return normalize_ascii(F.when(c.rlike(r"[^\x00-\x7f]"), _nfkc(c)).otherwise(c))
+    """In compatibility form, lower case, _ and - as spaces, white space collapsed and stripped."""
+    return normalize_ascii(nfkc(c))
 
 
 def parse_boolean(c: Column) -> Column:
@@ -58,8 +54,8 @@ def short_id(sha: Column, prefix: str = "") -> Column:
 def slug(title: Column, fallback: Column) -> Column:
     """Words of the title, or of the fallback where it is blank, joined by -; the normalised fallback where none is left."""
     of = F.coalesce(F.nullif(F.trim(title), F.lit("")), fallback)
-    made = F.regexp_replace(F.regexp_replace(normalize_ascii(of), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.coalesce(F.nullif(made, F.lit("")), normalize_ascii(fallback))
+    made = F.regexp_replace(F.regexp_replace(normalize(of), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.coalesce(F.nullif(made, F.lit("")), normalize(fallback))
 
 
 def domain(url: Column) -> Column:
@@ -71,7 +67,7 @@ def domain(url: Column) -> Column:
 def evidence_hash(title: Column, snippet: Column, url: Column) -> Column:
     """SHA-256 of the normalised title and snippet and the trimmed url, a line each."""
     blank = lambda c: F.coalesce(c, F.lit(""))
-    return F.sha2(F.concat_ws("\n", normalize_ascii(blank(title)), normalize_ascii(blank(snippet)), F.trim(blank(url))), 256)
+    return F.sha2(F.concat_ws("\n", normalize(blank(title)), normalize(blank(snippet)), F.trim(blank(url))), 256)
 
 
 def special_status(unreadable: Column, non_food: Column, no_label: Column) -> Column:

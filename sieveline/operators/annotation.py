@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.ontology import Ontology
 from sieveline.functions.text import parse_boolean, tidy
-from sieveline.operators.validation import FLAGS
+from sieveline.operators.validation import FLAGS, check, same_keys, sheet_rules, violations
 
 CELLS = ("visible_ingredients", "uncertain_ingredients")
 IDS = ("sample_id", "relative_path", "food_class", "split")
@@ -50,7 +50,8 @@ def is_complete(ontology: Ontology) -> Column:
 
 def annotation_progress(sheet: DataFrame, ontology: Ontology) -> DataFrame:
     """completed, remaining, total."""
-    return sheet.agg(F.count_if(is_complete(ontology)).alias("completed"), F.count("*").alias("total")).select("completed", (F.col("total") - F.col("completed")).alias("remaining"), "total")
+    read = sheet.select(is_complete(ontology).alias("_done"))
+    return read.agg(F.count_if("_done").alias("completed"), F.count("*").alias("total")).select("completed", (F.col("total") - F.col("completed")).alias("remaining"), "total")
 
 
 def _pair(a: DataFrame, b: DataFrame, ontology: Ontology, id_col: str) -> DataFrame:
@@ -113,17 +114,29 @@ def unresolved(queue: DataFrame) -> DataFrame:
 
 
 def finalised(queue: DataFrame, ontology: Ontology) -> DataFrame:
-    """The resolved columns under their own names; ``unresolved`` and ``sheet_rules`` of the result must be empty."""
+    """The resolved columns under their own names; fails on a disagreement without a note or a row that breaks a sheet's rules."""
+    if rows := unresolved(queue).orderBy("sample_id").take(1):
+        raise ValueError(f"disagreements are open, first {rows[0]['sample_id']}")
     out = queue.select(*IDS, *[F.col(f"resolved_{c}").alias(c) for c in (*CELLS, *FLAGS)], "resolution_notes")
+    check(sheet_rules(out, ontology, complete=True))
     return normalised(out, ontology)
 
 
-def combined(primary_train: DataFrame, adjudicated: DataFrame) -> DataFrame:
-    """Training rows of the first annotator and adjudicated evaluation rows, each with its annotation_source."""
-    first = primary_train.where("split = 'train'").withColumn("resolution_notes", F.col("notes")).withColumn("annotation_source", F.lit("primary_annotator_only"))
-    second = adjudicated.where("split <> 'train'").withColumn("annotation_source", F.lit("double_annotated_adjudicated"))
-    names = [*IDS, *CELLS, *FLAGS, "resolution_notes", "annotation_source"]
-    return first.select(*names).unionByName(second.select(*names))
+def combined(primary: DataFrame, adjudicated: DataFrame, manifest: DataFrame | None = None, evaluation: tuple[str, ...] = ("validation", "test")) -> DataFrame:
+    """Training rows of the first annotator and adjudicated evaluation rows, each with its annotation_source.
+
+    Which rows are for evaluation is the manifest's word. Fails unless the two cover its rows, each once. Without a manifest
+    the first annotator's sheet stands for it, and adjudicated training rows are left out.
+    """
+    names = [*IDS, *CELLS, *FLAGS]
+    for_evaluation = F.col("split").isin(*evaluation)
+    if manifest is None:
+        manifest, adjudicated = primary, adjudicated.where(for_evaluation)
+    training, held = (manifest.where(c).select("sample_id") for c in (~for_evaluation, for_evaluation))
+    first = primary.join(training, "sample_id", "left_semi").select(*names, F.col("notes").alias("resolution_notes"), F.lit("primary_annotator_only").alias("annotation_source"))
+    second = adjudicated.select(*names, "resolution_notes", F.lit("double_annotated_adjudicated").alias("annotation_source"))
+    check(violations(same_keys(first, training, "sample_id", "training"), same_keys(second, held, "sample_id", "evaluation")))
+    return first.unionByName(second)
 
 
 def evaluable(labels: DataFrame) -> DataFrame:

@@ -131,6 +131,22 @@ def pos_weights(truth: DataFrame, most: float = 20.0) -> DataFrame:
     return truth.groupBy("label").agg(F.least(F.lit(most), F.greatest(F.lit(1.0), (n - pos) / F.greatest(pos, F.lit(1)))).cast("float").alias("pos_weight"))
 
 
+def select_model(candidates: DataFrame, metric: str, simplest: str, name: str = "name") -> DataFrame:
+    """The candidate of largest metric; of equal ones the one that counts as simplest, then the first by name."""
+    return candidates.orderBy(F.desc(metric), F.desc(F.col(name) == simplest), name).limit(1)
+
+
+def label_coverage(df: DataFrame, labels: str, id_col: str) -> DataFrame:
+    """labels, samples: how many different labels occur, and in how many samples any does."""
+    return df.select(id_col, F.explode(labels).alias("_l")).agg(F.count_distinct("_l").alias("labels"), F.count_distinct(id_col).alias("samples"))
+
+
+def rates(df: DataFrame, by: list[str] = [], **of: Column) -> DataFrame:
+    """The share of rows in which each condition holds (a null doesn't), and rows."""
+    each = [F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias(n) for n, c in of.items()]
+    return df.groupBy(*by).agg(*each, F.count("*").alias("rows"))
+
+
 def first_best(history: DataFrame, metric: str, step: str = "epoch") -> DataFrame:
     """The first step that attains the largest value of a metric."""
     return history.orderBy(F.desc(metric), step).limit(1)

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sieveline.plans.durable import durable
+
 #: Two sums closer than this count as tied.
 TIE = 1e-12
 
@@ -82,16 +84,19 @@ def bootstrap_custom(rows: DataFrame, weights: DataFrame, metric: Callable[[pd.D
     return _interval(repeated.groupBy("iteration").applyInPandas(value, "iteration long, value double"), [], confidence)
 
 
-def sign_flip_test(samples: DataFrame, group: str | None = "grp", iterations: int = 10_000, seed: int = 42) -> DataFrame:
-    """observed, p_value, method, permutations for paired differences (column diff), flipped by group or by row.
+def sign_flip_test(samples: DataFrame, group: str | None = "grp", iterations: int = 10_000, seed: int = 42, row: str = "sample_id") -> DataFrame:
+    """observed, p_value, method, permutations for paired differences (column diff), flipped by group, or without one by
+    the key ``row``, so that reruns agree; rows without that column are numbered once.
 
     All 2^G sign vectors where there are at most ``iterations``, else as many random ones with the usual correction. Sums
     within TIE of the observed one count as reached, so p doesn't hang on the order of additions.
     """
     spark = samples.sparkSession
     prefix = "group_clustered" if group else "sample_level"
-    grouped = samples.groupBy(group) if group else samples.withColumn("_row", F.monotonically_increasing_id()).groupBy("_row")
-    key = group or "_row"
+    key = group or row
+    if key not in samples.columns:
+        samples = durable(samples.withColumn(key, F.monotonically_increasing_id()))
+    grouped = samples.groupBy(key)
     sums = grouped.agg(F.sum("diff").alias("d"), F.count("*").alias("n"))
     n_groups = sums.count()
     exact = n_groups < 62 and 2**n_groups <= iterations

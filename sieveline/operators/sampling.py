@@ -38,7 +38,8 @@ def sealed_split(accepted: DataFrame, by: str, id_col: str, splits: tuple[tuple[
     for name, n in reversed(splits):
         split = F.when(F.col("_n") <= upto, name).otherwise(split)
         upto -= n
-    return accepted.withColumn("_n", rank).withColumn("split", split).where("split is not null").drop("_n")
+    first = accepted.withColumn("_n", rank).where(F.col("_n") <= total)  # by rank, so that no task sorts a whole class
+    return first.withColumn("split", split).drop("_n")
 
 
 def sample_and_split(df: DataFrame, by: str, id_col: str, splits: tuple[tuple[str, int], ...] = SPLITS, seed: int = 42) -> DataFrame:

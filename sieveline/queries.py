@@ -17,9 +17,12 @@ from sieveline.operators import annotation as A
 from sieveline.operators import duplicates as D
 from sieveline.operators import evaluation as E
 from sieveline.operators import inference as I
+from sieveline.operators import joins as J
 from sieveline.operators import records as R
 from sieveline.operators import sampling as S
 from sieveline.operators import validation as V
+from sieveline.operators.evidence import source_votes
+from sieveline.plans.durable import durable
 from sieveline.plans.provenance import table_digest
 from sieveline.sources import recipes
 from sieveline.streaming.incremental import pending
@@ -264,15 +267,14 @@ def phrase_extract_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PHRASES + "SELECT replace(a, ' ', '_') AS label, count(DISTINCT brand) AS independent_sources, count(DISTINCT brand) >= 2 AS accepted FROM lab GROUP BY a")
 def phrase_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = part_ontology(spark, sf_dir)
-    votes = part_texts(spark, sf_dir).where("p_brand <> ''").select("p_brand", F.explode(o.extract(F.col("t"))).alias("label")).distinct()
-    return votes.groupBy("label").agg(F.count("*").alias("independent_sources")).withColumn("accepted", F.col("independent_sources") >= 2)
+    evidence = part_texts(spark, sf_dir).select(F.lit("all").alias("food_class"), F.col("t").alias("title"), F.lit("").alias("snippet"), F.col("p_brand").alias("domain"))
+    return source_votes(evidence, o).select("label", "independent_sources", "accepted")
 
 
 @query(PHRASES + "SELECT count(DISTINCT a) AS labels, count(DISTINCT k) AS samples FROM lab")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = part_ontology(spark, sf_dir)
-    each = part_texts(spark, sf_dir).select("p_partkey", F.explode(o.extract(F.col("t"))).alias("label"))
-    return each.agg(F.count_distinct("label").alias("labels"), F.count_distinct("p_partkey").alias("samples"))
+    return E.label_coverage(part_texts(spark, sf_dir).select("p_partkey", o.extract(F.col("t")).alias("ls")), "ls", "p_partkey")
 
 
 @query("""
@@ -321,15 +323,18 @@ def special_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- duplicates
 
 def content_hash(text: Column) -> Column:
-    """64 bits, 16 hex characters: four minima over the words' MD5."""
+    """64 bits, 16 hex characters: four minima over the words' MD5, each word's taken once."""
     words = F.transform(F.array_distinct(F.split(F.coalesce(text, F.lit("")), " ")), lambda w: F.md5(w))
-    least = lambda i: F.substring(F.array_min(F.transform(words, lambda h: F.substring(h, 8 * i + 1, 8))), 5, 4)
-    return F.concat(*[least(i) for i in range(4)])
+    least = lambda ws, i: F.substring(F.array_min(F.transform(ws, lambda h: F.substring(h, 8 * i + 1, 8))), 5, 4)
+    return F.element_at(F.transform(F.array(words), lambda ws: F.concat(*[least(ws, i) for i in range(4)])), 1)
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("lang").alias("food_class"), F.sha2("text", 256).alias("sha256"), content_hash(F.col("text")).alias("dhash"), F.lit("ok").alias("status")
+    """Kept, as filters and both sides of a join would compute the hashes again."""
+    return durable(
+        table(spark, sf_dir, "documents").select(
+            "doc_id", F.col("lang").alias("food_class"), F.sha2("text", 256).alias("sha256"), content_hash(F.col("text")).alias("dhash"), F.lit("ok").alias("status")
+        )
     )
 
 
@@ -587,7 +592,7 @@ def combine_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     open_rows = F.col("status") == "needs_adjudication"
     settle = {f"resolved_{c}": F.when(open_rows, F.col(f"{c}_b")).otherwise(F.col(f"resolved_{c}")) for c in (*A.CELLS, *V.FLAGS)}
     queue = A.adjudication_queue(manifest, a, b, MARKS).withColumns(settle | {"resolution_notes": F.when(open_rows, "second reading").otherwise("")})
-    final = A.combined(A.normalised(a, MARKS), A.finalised(queue, MARKS))
+    final = A.combined(A.normalised(a, MARKS), A.finalised(queue, MARKS).where("split <> 'train'"), manifest)
     return final.select("sample_id", "split", F.col("visible_ingredients").alias("visible"), "annotation_source", "resolution_notes")
 
 
@@ -656,22 +661,10 @@ def energy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.energy_check(rows, "e", "p", "c", "f").select("p_partkey", F.array_join("errors", ",").alias("errors"), "relative_error"))
 
 
-@query("""
-WITH w AS (SELECT conv_id, turn, role, [length(x) FOR x IN string_split(text, ' ')] AS ids FROM conversations)
-SELECT conv_id, turn, array_to_string([CASE WHEN i > CASE WHEN role = 'assistant' THEN 2 ELSE 4 END AND i % 5 <> 0 THEN ids[i] ELSE -100 END FOR i IN range(1, len(ids) + 1)], ' ') AS mask
-FROM w WHERE len(ids) >= 4""")
-def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.split("text", " "), lambda x: F.char_length(x))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ids.alias("ids")).where("size(ids) >= 4")
-    attention = F.transform("ids", lambda _, i: F.when((i + 1) % 5 == 0, 0).otherwise(1))
-    start = F.when(F.col("role") == "assistant", 2).otherwise(4)
-    return rows.select("conv_id", "turn", F.array_join(T.loss_mask(F.col("ids"), attention, start), " ").alias("mask"))
-
-
 @query("""
 WITH w AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 2 ELSE 4 END AS start, [length(x) FOR x IN string_split(text, ' ')] AS ids FROM conversations)
 SELECT conv_id, turn, CASE WHEN start <= len(ids) THEN array_to_string([CASE WHEN i > start AND i % 5 <> 0 THEN ids[i] ELSE -100 END FOR i IN range(1, len(ids) + 1)], ' ') END AS mask FROM w""")
-def token_mask_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All turns; the mask is null where a turn ends before its start."""
     ids = F.transform(F.split("text", " "), lambda x: F.char_length(x))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", ids.alias("ids"))
@@ -705,32 +698,22 @@ def strict_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("event_id", F.array_join("visible", "|").alias("visible"), F.array_join("unknown_labels", "|").alias("unknown"), "abstain", "parse_ok", "parse_error")
 
 
-@query("""
-WITH paths AS (SELECT 'x/' || p_brand || '/' || replace(p_name, ' ', '_') || p_partkey % 20 || '.JPG' AS path FROM part WHERE p_partkey % 3 = 0),
-keys AS (SELECT DISTINCT unnest([lower(string_split(path, '/')[-1]), regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', '')]) AS key, path FROM paths),
-idx AS (SELECT key, min(path) AS path FROM keys GROUP BY key HAVING count(DISTINCT path) = 1)
-SELECT key, path FROM idx""")
-def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.concat(F.lit("x/"), "p_brand", F.lit("/"), F.translate("p_name", " ", "_"), (F.col("p_partkey") % 20).cast("string"), F.lit(".JPG"))
-    return recipes.image_index(table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(name.alias("path")))
-
-
 @query("""
 WITH paths AS (SELECT 'x/' || p_brand || '/' || replace(p_name, ' ', '_') || p_partkey // 2 || '.JPG' AS path FROM part),
 keys AS (SELECT DISTINCT unnest([lower(string_split(path, '/')[-1]), regexp_replace(lower(string_split(path, '/')[-1]), '\\.[^.]*$', '')]) AS key, path FROM paths),
 idx AS (SELECT key, min(path) AS path FROM keys GROUP BY key HAVING count(DISTINCT path) = 1)
 SELECT key, path FROM idx""")
-def image_index_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def image_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of part; two keys share each number, so names of both kinds occur: unique and ambiguous ones."""
     name = F.concat(F.lit("x/"), "p_brand", F.lit("/"), F.translate("p_name", " ", "_"), F.expr("p_partkey div 2").cast("string"), F.lit(".JPG"))
     return recipes.image_index(table(spark, sf_dir, "part").select(name.alias("path")))
 
 
 @query("""
-WITH paths AS (SELECT DISTINCT 'x/' || c_custkey || '.png' AS path FROM customer WHERE c_custkey % 2 = 0)
+WITH paths AS (SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 'x/' ELSE 'x/no' END || c_custkey || '.png' AS path FROM customer)
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE path END AS image_path FROM orders LEFT JOIN paths ON path = 'x/' || o_custkey || '.png'""")
 def image_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("x/"), "c_custkey", F.lit(".png")).alias("path"))
+    paths = table(spark, sf_dir, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "x/").otherwise("x/no"), "c_custkey", F.lit(".png")).alias("path"))
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     wanted = F.when(k % 4 == 0, F.concat(F.lit("x\\"), c, F.lit(".png"))).when(k % 4 == 1, F.concat(F.lit("y/"), c, F.lit(".PNG"))).when(k % 4 == 2, c).otherwise("")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", wanted.alias("image"))
@@ -761,5 +744,76 @@ def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(avg(CASE WHEN json_valid(props) THEN 1.0 ELSE 0.0 END), 9) AS parse_success_rate, count(*) AS rows FROM events GROUP BY event_type")
 def parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.try_parse_json("props").isNotNull()
-    return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(ok.cast("double")).alias("parse_success_rate"), F.count("*").alias("rows")))
+    return rounded(E.rates(table(spark, sf_dir, "events"), ["event_type"], parse_success_rate=F.try_parse_json("props").isNotNull()))
+
+
+# ---------------------------------------------------------------------------------------------- checked joins, further operators
+
+
+@query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
+def many_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    return J.many_to_one(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), customers, ["o_custkey"])
+
+
+@query("SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+def one_to_one_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.one_to_one(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), ["doc_id"])
+
+
+@query("SELECT count(*) AS rows, count(doc_id) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS matched FROM documents")
+def join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.coverage(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT * FROM (SELECT l_returnflag AS name, round(avg(CASE WHEN l_tax < 0.04 THEN 1.0 ELSE 0.0 END), 9) AS metric FROM lineitem GROUP BY l_returnflag) ORDER BY metric DESC, name = 'N' DESC, name LIMIT 1")
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = rounded(E.rates(table(spark, sf_dir, "lineitem"), ["l_returnflag"], metric=F.col("l_tax") < 0.04)).withColumnRenamed("l_returnflag", "name")
+    return E.select_model(scored.select("name", "metric"), "metric", "N")
+
+
+@query("SELECT doc_id, i AS idx, ['quality', 'toxic'][i + 1] AS label, CASE WHEN i = 0 THEN quality ELSE toxic END AS y FROM labels, range(2) AS r(i)")
+def label_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = Ontology((Label("quality"), Label("toxic")))
+    marks = F.filter(F.array(F.when(F.col("toxic") == 1, "toxic"), F.when(F.col("quality") == 1, "quality")), lambda x: x.isNotNull())
+    cells = two.cells(table(spark, sf_dir, "labels").select("doc_id", marks.alias("marks")), "marks")
+    return cells.select("doc_id", F.col("idx").cast("long").alias("idx"), "label", "y")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('42:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 10 AND doc_id % 3 = 0")
+def accepted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = S.reserve_pool(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 10)
+    screen = pool.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "accept").otherwise("").alias("decision"))
+    return S.accepted_rows(pool, screen, "source", "doc_id").select("doc_id", "source")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'view' AND event_id > 10 ORDER BY event_id LIMIT 1")
+def next_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.next_pending(table(spark, sf_dir, "events"), "event_id", 10, F.col("event_type") != "view").select("event_id")
+
+
+@query("SELECT 'metric_' || rule AS rule, n FROM (SELECT 'binary' AS rule, count(*) FILTER (o_orderkey % 5 = 0) AS n FROM orders UNION ALL SELECT 'score_range', count(*) FILTER (o_orderkey % 7 = 0) FROM orders)")
+def metric_input_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    bad = table(spark, sf_dir, "orders").select(k.alias("sample_id"), F.when(k % 5 == 0, 2).otherwise(k % 2).cast("int").alias("y"), F.when(k % 7 == 0, float("nan")).otherwise(0.5).alias("p"))
+    return V.metric_inputs(bad).groupBy(F.concat(F.lit("metric_"), "rule_id").alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT doc_id, source, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE lang END AS lang FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, source, lang FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, source, lang, 'old' AS side FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT CAST(doc_id AS VARCHAR), source, lang, 'new' FROM (FROM b EXCEPT ALL FROM a)""")
+def stale_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    old = new.where("doc_id % 11 <> 0").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("lang")))
+    return V.stale_rows(old, new, ["doc_id", "source", "lang"])
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 'x' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 13 = 0 AND doc_id % 8 <> 0)
+SELECT 'repeated' AS kind, count(*) AS n FROM (SELECT doc_id FROM c GROUP BY ALL HAVING count(*) > 1) UNION ALL SELECT 'class', count(*) FROM c WHERE doc_id % 8 = 0""")
+def model_cache_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("food_class"))
+    wrong = manifest.withColumn("food_class", F.when(F.col("sample_id") % 8 == 0, "x").otherwise(F.col("food_class")))
+    cache = wrong.unionByName(manifest.where("sample_id % 13 = 0 and sample_id % 8 <> 0")).withColumn("model", F.lit("m"))
+    kind = F.when(F.col("rule_id") == "repeated_id", "repeated").otherwise("class")
+    return V.model_cache(cache, manifest, ["model"]).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

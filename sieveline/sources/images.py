@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Extensions of images.
 EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 
 
@@ -32,7 +33,8 @@ def _decode(data: bytes) -> tuple[int, int, str]:
 
     with Image.open(io.BytesIO(data)) as image:
         image.load()
-        grey = image.convert("L").resize((9, 8), Image.Resampling.LANCZOS)
+        # by way of RGB, and with the filter that resizing takes by default
+        grey = image.convert("RGB").convert("L").resize((9, 8))
         return *image.size, difference_bits(np.asarray(grey))
 
 

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -15,10 +16,12 @@ from sieveline.operators import annotation as A
 from sieveline.operators import duplicates as D
 from sieveline.operators import evaluation as E
 from sieveline.operators import inference as I
+from sieveline.operators import joins as J
 from sieveline.operators import records as R
 from sieveline.operators import sampling as S
 from sieveline.operators import validation as V
 from sieveline.operators.components import connected_components
+from sieveline.operators.evidence import source_votes
 from sieveline.plans import provenance as P
 from sieveline.plans.membership import maybe_in
 from sieveline.sources import config, images, recipes, tables
@@ -431,3 +434,81 @@ def test_streaming_dedup(spark, tmp_path):
 def test_quantile_and_rounding_agree_with_numpy(spark):
     x = spark.createDataFrame([(0.5,), (1.5,), (2.5,)], "x double")
     assert x.select(F.sum(F.bround("x", 0))).first()[0] == sum(map(round, (0.5, 1.5, 2.5))) and math.isclose(x.agg(F.percentile("x", 0.025)).first()[0], np.quantile([0.5, 1.5, 2.5], 0.025))
+
+
+def test_compatibility_characters_get_labels(spark):
+    df = spark.createDataFrame([("ＲＩＣＥ and ｅgg",), ("rice　egg",), (None,), ("",)], "t string")
+    got = [r.x for r in df.select(FOOD.extract(F.col("t")).alias("x")).collect()]
+    assert got == [["rice", "egg"], ["rice", "egg"], [], []]
+    assert df.select(FOOD.canonical(F.lit("Ｒice")).alias("c")).first().c == "rice"
+    assert df.select(FOOD.parse_cell(F.lit("ｅgg|？")).alias("c")).first().c.asDict()["labels"] == ["egg"]
+    forms = ["ﬁ ½ Å é", "ﾊﾝ", "①", "plain"]
+    shown = spark.createDataFrame([(x,) for x in forms], "t string").select(T.nfkc(F.col("t")).alias("n")).collect()
+    assert [r.n for r in shown] == [unicodedata.normalize("NFKC", x) for x in forms]
+
+
+def test_checked_joins(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, x string")
+    right = spark.createDataFrame([(1, "r"), (3, "s")], "k int, y string")
+    assert sorted((r.x, r.y) for r in J.many_to_one(left, right, ["k"]).collect()) == [("a", "r"), ("b", "r"), ("c", None)]
+    assert tuple(J.coverage(left, right, ["k"]).first()) == (3, 2)
+    for wrong in (lambda: J.many_to_one(left, right, ["k"], covered=True), lambda: J.many_to_one(right, left, ["k"]), lambda: J.one_to_one(left, right, ["k"])):
+        with pytest.raises(ValueError):
+            wrong()
+    assert J.one_to_one(left.where("x <> 'b'"), right, ["k"]).count() == 1
+
+
+def test_combining_needs_full_cover(spark):
+    manifest, a, b = sheets(spark)
+    queue = A.adjudication_queue(manifest, a, b, FOOD)
+    with pytest.raises(ValueError, match="open"):
+        A.finalised(queue, FOOD)
+    noted = queue.withColumn("resolution_notes", F.lit("seen"))
+    with pytest.raises(ValueError, match="blank_row"):
+        A.finalised(noted, FOOD)
+    final = A.finalised(noted.withColumn("resolved_visible_ingredients", F.lit("egg")), FOOD)
+    first = A.normalised(a, FOOD)
+    held = final.where("split = 'test'")
+    assert A.combined(first, held, manifest).count() == 2
+    for one, two in ((first.where("split = 'test'"), held), (first, held.limit(0)), (first, final), (first, held.union(held))):
+        with pytest.raises(ValueError):
+            A.combined(one, two, manifest)
+
+
+def test_votes_rates_and_selection(spark):
+    rows = [("A", "rice", "egg", "x.org"), ("A", "rice", None, "y.org"), ("A", "rice rice", "", "x.org"), ("A", "tofu", "", " "), ("B", None, "tofu", "x.org")]
+    evidence = spark.createDataFrame(rows, "food_class string, title string, snippet string, domain string")
+    got = {tuple(r) for r in source_votes(evidence, FOOD, minimum=2).collect()}
+    assert got == {("A", "rice", 2, True), ("A", "egg", 1, False), ("B", "tofu", 1, False)}
+    seen = spark.createDataFrame([("g", True, None), ("g", False, True), ("h", True, False)], "g string, ok boolean, idle boolean")
+    assert {tuple(r) for r in E.rates(seen, ["g"], ok=F.col("ok"), idle=F.col("idle")).collect()} == {("g", 0.5, 0.5, 2), ("h", 1.0, 0.0, 1)}
+    runs = spark.createDataFrame([("big", 0.5), ("small", 0.5), ("bad", 0.1)], "name string, ap double")
+    assert E.select_model(runs, "ap", "small").first().name == "small" and E.select_model(runs, "ap", "bad").first().name == "big"
+
+
+def test_a_blank_group_represents_nothing(spark):
+    df = spark.createDataFrame([("A", "g", "1"), ("B", "g", "2"), ("A", "", ""), ("B", "", "")], "food_class string, duplicate_group string, sha256 string")
+    assert [tuple(r) for r in D.representatives(df).collect()] == [("A", "g", "1")]
+
+
+def test_large_groups_are_named_in_any_order(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "one", f"v{i}") for i in range(50)] + [(99, "two", "w")], "id int, a string, b string")
+    few = {r.id: r.connected_group for r in D.constraint_components(df, ["a", "b"], "id").collect()}
+    monkeypatch.setattr(D, "MOST_TOKENS", 10)
+    many = {r.id: r.connected_group for r in D.constraint_components(df.repartition(3), ["a", "b"], "id").collect()}
+    assert few[99] == many[99] and len(set(many.values())) == 2 and many[0] != few[0] and many[0].startswith("connected-")
+
+
+def test_sign_flips_of_rows_repeat(spark):
+    df = spark.createDataFrame([(i, (-1) ** i * i / 50) for i in range(40)], "sample_id int, diff double")
+    one, two = (I.sign_flip_test(d, group=None, iterations=500).first() for d in (df, df.repartition(5)))
+    assert one.p_value == two.p_value and one.method == "sample_level_monte_carlo_sign_flip"
+
+
+def test_durable_tables_grow_with_what_they_read(spark, monkeypatch):
+    from sieveline.plans import durable as P
+
+    wide = spark.range(100_000).repartition(32)
+    assert P.durable(wide).rdd.getNumPartitions() <= P.WAVES * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(P, "FILE_BYTES", 10_000)
+    assert P.durable(P.durable(wide).where("id > 5").repartition(32)).rdd.getNumPartitions() == 32

@@ -52,7 +52,7 @@ def test_entry_points(spark):
 def test_image_index_reads_every_part(spark, db):
     name = "replace(p_name, ' ', '_') || p_partkey // 2"
     by_name = db.execute(f"SELECT lower({name}), count(DISTINCT p_brand) FROM part GROUP BY ALL").fetchall()
-    got = {r.key for r in QUERIES["image_index_whole"](spark, SF).collect()}
+    got = {r.key for r in QUERIES["image_index"](spark, SF).collect()}
     assert got == {n + end for n, brands in by_name if brands == 1 for end in ("", ".jpg")}
     assert any(brands > 1 for _, brands in by_name)
 
@@ -66,5 +66,5 @@ def test_bootstrap_custom_has_all_draws(spark):
 
 def test_token_mask_keeps_short_turns(spark, db):
     turns, short = db.execute("SELECT count(*), count(*) FILTER (len(string_split(text, ' ')) < CASE WHEN role = 'assistant' THEN 2 ELSE 4 END) FROM conversations").fetchone()
-    masks = [r.mask for r in QUERIES["token_mask_whole"](spark, SF).collect()]
+    masks = [r.mask for r in QUERIES["token_mask"](spark, SF).collect()]
     assert short > 0 and (len(masks), masks.count(None)) == (turns, short)
