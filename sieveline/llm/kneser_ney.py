@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass, field
@@ -147,15 +148,19 @@ _mapped: dict[tuple[str, str], np.ndarray] = {}
 def _get(folder: str, name: str, kind) -> np.ndarray:
     """Map a file into memory; from a store that can't be mapped it is fetched to the worker's own folder first."""
     if (folder, name) not in _mapped:
+        own = None
         if folder.startswith("file:") or folder.startswith("/"):
             path = f"{folder.removeprefix('file://')}/{name}"
         else:
             from pyarrow import fs
 
             system, root = fs.FileSystem.from_uri(folder)
-            path = f"{tempfile.mkdtemp()}/{name}"
+            own = tempfile.mkdtemp()
+            path = f"{own}/{name}"
             fs.copy_files(f"{root}/{name}", path, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
         _mapped[folder, name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        if own:
+            shutil.rmtree(own)  # the mapping stays, and the space goes with it
     return _mapped[folder, name]
 
 

@@ -35,23 +35,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
     Sources count by code point, null last. There may be as many sources as hosts: places come from sorted partitions and
     their sizes, and the level at which uncapped sources meet from rounds of sums, in each of which more sources reach
-    their cap, until none is above. The driver gets a row for each partition, and sums.
+    their cap, until none is above. The driver gets sums.
     """
     order = F.asc_nulls_last("source")
     parted = durable(sizes.orderBy(order).withColumn("_part", F.spark_partition_id()))
-    before, start = [], 0
-    for r in parted.groupBy("_part").count().orderBy("_part").collect():
-        before.append((r["_part"], start))
-        start += r["count"]
-    if not before:
-        return sizes.withColumn("target", F.lit(0.0))
-    starts = sizes.sparkSession.createDataFrame(before, "_at int, _start long")
+    # a row for each partition
+    upto = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parted.groupBy(F.col("_part").alias("_at")).agg(F.count("*").alias("_n")).select("_at", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1 + F.col("_start")
     weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int"))
     df = durable(
         parted.join(F.broadcast(starts), F.col("_part") == F.col("_at")).withColumns({"_w": weight, "_cap": (most * F.col("source_size")).cast("double")})
     )
-    total = df.agg(F.sum("source_size")).first()[0]
+    total = df.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
     while True:
         over = level * F.col("_w") > F.col("_cap")
