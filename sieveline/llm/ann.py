@@ -4,8 +4,8 @@ Inner products become distances by one more coordinate that brings all vectors o
 query to the same. Each hash function is one random projection, kept as a sorted array. A query's windows, centred on its
 own projections, widen together (virtual rehashing: the arrays stay, only the bounds move). Only the rows between a
 window's old and new bounds are visited: each collides once more, and rows with at least ``ALPHA`` of all collisions are
-candidates. Windows stop widening once ``BETA`` of the block's rows, and k more, are candidates; these are verified on
-the original vectors, in double precision.
+candidates. Windows stop widening once ``BETA`` of the block's rows, and ``MORE`` times k more, are candidates; these are
+verified on the original vectors, in double precision.
 
 Every row is indexed, in one block, whose sorted arrays are made once. Rows are dealt to blocks of bounded size by a hash
 of their id, queries go to each block, and only each block's best k for a query are shuffled again.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, ALPHA, BETA, FIRST_WIDTH, WIDEN = 112, 0.4, 0.25, 0.1, 1.15
+PROJECTIONS, ALPHA, BETA, MORE, FIRST_WIDTH, WIDEN = 112, 0.4, 0.25, 12, 0.1, 1.15
 #: Rows and queries of a block, rows from which there is a block for each core, and queries that a task holds at once.
 BLOCK_ROWS, BLOCK_QUERIES, LEAST_ROWS, QUERIES = 32768, 32768, 4096, 1024
 
@@ -56,7 +56,7 @@ class Block:
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
         """Rows with enough collisions, at the first width with enough of them; the first one tried is a bit less than the last query's."""
         n = len(self.ids)
-        need, enough = math.ceil(ALPHA * PROJECTIONS), min(n, k + 1 + math.ceil(BETA * n))
+        need, enough = math.ceil(ALPHA * PROJECTIONS), min(n, MORE * k + 1 + math.ceil(BETA * n))
         centre = np.clip(query / np.sqrt(query @ query) * self.top @ self.turn[:-1], -32 * self.top, 32 * self.top) + self.apart
         low = high = np.clip(np.searchsorted(self.arrays, centre) - self.first, 0, n) + self.first
         counts = np.zeros(n, np.int64)
