@@ -145,7 +145,8 @@ class Coder:
         for i, raw in enumerate(new):
             part.append(raw)
             size += len(raw)
-            if i + 1 == len(new) or len(part) == PIECES or size + len(new[i + 1]) > PIECE_BYTES:
+            # pieces of up to SHORT bytes apart, for their cheaper query
+            if i + 1 == len(new) or len(part) == PIECES or size + len(new[i + 1]) > PIECE_BYTES or len(raw) <= SHORT < len(new[i + 1]):
                 self.known.update(zip([x.decode() for x in part], self._contract(part)))
                 part, size = [], 0
 
