@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.ann import nearest
 from sieveline.llm.bpe import bpe_digests, encode_and_decode
+from sieveline.llm.ego_join import linked_vectors
+from sieveline.llm.filter_audit import audit_filters
 from sieveline.llm.kneser_ney import train_pairs
 from sieveline.llm.mixing import mix_sizes
 from sieveline.llm.near_dup import near_duplicates
@@ -170,3 +172,66 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_pairs(docs.where(~held_out(folds=10)))
     scored = model.score(docs.withColumn("held_out", held_out(folds=10)))
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+marked AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN marked USING (doc_id)),
+cells AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+orders(o) AS (
+  SELECT '' UNION ALL
+  SELECT o || x FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS l(x) WHERE length(o) < 5 AND NOT contains(o, x)),
+steps AS (SELECT o, k, substr(o, k, 1) AS x, substr(o, 1, k - 1) AS before FROM orders, range(1, 6) AS r(k) WHERE length(o) = 5),
+hit AS (
+  SELECT part, o, k, x, n, good, toxic, contains(fails, x) AS here, fails = x AS alone, fails <> '' AND before <> '' AND regexp_matches(fails, '[' || before || ']') AS earlier
+  FROM cells, (SELECT o, k, x, CASE WHEN before = '' THEN '-' ELSE before END AS before FROM steps)),
+each AS (
+  SELECT part, o AS filter_order, k, x,
+         coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed,
+         coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(n) FILTER (here AND NOT earlier AND good), 0) AS good_lost, coalesce(sum(n) FILTER (here AND NOT earlier AND toxic), 0) AS toxic_lost
+  FROM hit GROUP BY part, o, k, x)
+SELECT part, filter_order, CAST(k AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM each
+"""
+
+
+@query
+def op13_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES["op13_ego_join"] = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                   AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e
+  FROM embeddings),
+near AS (
+  SELECT a.r AS x, b.r AS y FROM v AS a JOIN v AS b
+  ON a.r < b.r AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.9),
+both_ways AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(x, y) AS (SELECT r, r FROM v UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
+least AS (SELECT reach.x AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.y GROUP BY reach.x),
+counted AS (SELECT x AS r, count(*) AS n FROM both_ways GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, component_id IS NULL) AS kept
+FROM v JOIN least USING (r) LEFT JOIN counted USING (r)
+"""
