@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sieveline.plans.durable import durable
 
 
-def _flatten(forest: DataFrame) -> DataFrame:
-    """(node, parent) with every parent a root; ``forest`` must be durable."""
+def flatten_forest(forest: DataFrame) -> DataFrame:
+    """(node, parent) with every parent a root, by pointer jumping; ``forest`` must be durable and without cycles."""
     while True:
         up = forest.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
         jumped = durable(
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     rounds: list[DataFrame] = []
     while not e.isEmpty():
-        forest = _flatten(durable(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))))
+        forest = flatten_forest(durable(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("parent"))))
         rounds.append(forest)
         a = forest.select(F.col("node").alias("_a"), F.col("parent").alias("_pa"))
         b = forest.select(F.col("node").alias("_b"), F.col("parent").alias("_pb"))
