@@ -18,6 +18,7 @@ from sieveline.llm.pii import pseudonymise_documents
 from sieveline.llm.quality_model import held_out, train_quality
 from sieveline.llm.quality_rules import quality_filter
 from sieveline.llm.secrets import count_kind, find_secrets, joined
+from sieveline.llm.spelling import spelling_groups, word_counts
 from sieveline.llm.url_filter import UrlRule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,6 +175,45 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(model.tokens).cast("long"))
 
 
+@query
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), thinned=199))
+
+
+ORACLES["op11_spelling_groups"] = r"""
+WITH RECURSIVE step(b, i, c) AS (
+  SELECT CAST(range AS UBIGINT), 0, CAST(range AS UBIGINT) FROM range(256)
+  UNION ALL SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE i < 8),
+crc AS (SELECT list(c ORDER BY b) AS tab FROM step WHERE i = 8),
+runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+bytes AS (
+  SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(x), 2), lambda i: CAST(('0x' || substr(x, i, 2)) AS UBIGINT))),
+                                 lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295) AS h
+  FROM bytes, crc),
+kept AS (
+  SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || '.' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM v, range(1, length(word) + 1) AS r(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM cut AS a JOIN cut AS b USING (hole) WHERE a.word <> b.word
+  UNION SELECT v.word, cut.word, cut.n FROM v JOIN cut ON cut.rest = v.word
+  UNION SELECT cut.word, v.word, v.n FROM v JOIN cut ON cut.rest = v.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other COLLATE C) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form, CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+follow(word, root) AS (SELECT word, word FROM v UNION ALL SELECT follow.word, form FROM follow JOIN formed ON formed.word = follow.root WHERE form IS NOT NULL),
+ends AS (SELECT follow.word, root FROM follow JOIN formed ON formed.word = follow.root WHERE formed.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
