@@ -248,7 +248,7 @@ def near_words(vocabulary: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> D
             half = F.floor(of / 2).cast("int")
             keep = of - half if side else half
             sides.append(F.struct(F.lit(side).alias("side"), F.lit(role).alias("role"), of.alias("length"), keep.alias("keep")))
-    rows = words.select("word", "n", F.explode(F.array(*sides)).alias("s")).select("word", "n", "s.*").where("length > 0 and (role = 1 or char_length(word) > 0)")
+    rows = words.select("word", "n", F.explode(F.array(*sides)).alias("s")).select("word", "n", "s.*").where("keep < length")
     rows = rows.withColumn("text", F.when(F.col("side") == 1, F.reverse("word")).otherwise(F.col("word"))).withColumn("half", F.expr("substring(text, 1, keep)"))
     rows = durable(rows.drop("word"))
     shared = rows.where(F.col("role") == INDEXED).groupBy("side", "length", "half").agg(F.count("*").alias("c")).where(F.col("c") > hot)
