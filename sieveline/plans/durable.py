@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: A durable table has at most so many files for each core, or one for so many bytes read, whichever is more.
 WAVES, FILE_BYTES = 2, 16 << 20
 
-#: Bytes of the durable tables of this driver, by the number of their RDD.
+#: Bytes of the last durable tables of this driver, by the number of their RDD, and how many are remembered.
 _sizes: dict[int, int] = {}
+REMEMBERED = 4096
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,7 +42,10 @@ def _bytes_read(df: DataFrame) -> int:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared folder; files go when Spark's cleaner finds them unused.
+    """``df`` computed once and written to the shared folder; its files go once the driver's JVM has collected the table.
+
+    They are given to Spark's context cleaner, which by default cleans shuffles but not checkpoints; so a table lives as
+    long as a plan reads it, and a lost executor's rows can be read again until then.
 
     There is a file for each partition, and creating one costs a file system more than a small table's rows do, so small
     tables get few. The number of files, and of tasks, grows with the bytes that the plan reads, so no task does.
@@ -58,6 +62,10 @@ def durable(df: DataFrame) -> DataFrame:
     rows = done._jdf.queryExecution().toRdd()
     out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
     if kept.getCheckpointFile().isDefined():
+        if not context._jsc.sc().cleaner().isEmpty():
+            context._jsc.sc().cleaner().get().registerRDDCheckpointDataForCleanup(kept, kept.id())
+        while len(_sizes) >= REMEMBERED:
+            del _sizes[next(iter(_sizes))]
         path = context._jvm.org.apache.hadoop.fs.Path(kept.getCheckpointFile().get())
         _sizes[rows.id()] = path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     return out
