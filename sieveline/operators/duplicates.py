@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.text import hamming, hash_bits, short_id
 from sieveline.operators.components import connected_components
+from sieveline.plans.durable import durable
+from sieveline.plans.folds import ordered_digests
 
 #: Bit ranges (shift, width) that split 64 bits; hashes two bits apart agree on one of three.
 BANDS = ((43, 21), (21, 22), (0, 21))
 MOST_DISTANCE = len(BANDS) - 1
-#: Tokens of a group that are sorted to name it.
-MOST_TOKENS = 100_000
 
 
 def _check(distance: int, least: int = 0) -> None:
@@ -115,20 +115,16 @@ def constraint_components(rows: DataFrame, columns: list[str], id_col: str) -> D
     """``rows`` with connected_group: rows that share a non-blank value in any of the columns are one group, transitively.
 
     Values of different columns never meet. A null is no value. The group's name is a hash of its sorted column=value
-    tokens, or singleton_row=id for a row without values. A group of more than MOST_TOKENS different ones is named by a
-    sum of their hashes, in any order, so that no task holds them all.
+    tokens, or singleton_row=id for a row without values; it is carried over a group's tokens as they are read in order, so
+    no task holds them all.
     """
     tokens = F.array(*[F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(c + "="), F.trim(F.col(c).cast("string")))) for c in columns])
     base = rows.withColumn("_tokens", F.filter(tokens, lambda t: t.isNotNull()))
     each = base.select(F.col(id_col).alias("_id"), F.explode("_tokens").alias("t"))
     edges = base.where("size(_tokens) > 1").select(F.element_at("_tokens", 1).alias("src"), F.explode(F.slice("_tokens", 2, len(columns))).alias("dst"))
     linked = connected_components(edges)
-    values = each.select("t").distinct().join(linked, F.col("t") == F.col("node"), "left").select("t", F.coalesce("component", "t").alias("root"))
-    total = F.sum(F.xxhash64("t").cast("decimal(38,0)")).cast("string")
-    sized = values.groupBy("root").agg(F.count("*").alias("n"), total.alias("total"))
-    few = values.join(sized.where(F.col("n") <= MOST_TOKENS).select("root"), "root").groupBy("root").agg(F.array_join(F.array_sort(F.collect_set("t")), "\n").alias("of"))
-    many = sized.where(F.col("n") > MOST_TOKENS).select("root", F.concat_ws(":", "n", "total").alias("of"))
-    names = few.unionByName(many).select("root", F.concat(F.lit("connected-"), F.substring(F.sha2("of", 256), 1, 16)).alias("g"))
+    values = durable(each.select("t").distinct().join(linked, F.col("t") == F.col("node"), "left").select("t", F.coalesce("component", "t").alias("root")))
+    names = ordered_digests(values, "root", ["t"], "t", "\n").select("root", F.concat(F.lit("connected-"), F.substring("digest", 1, 16)).alias("g"))
     of = values.join(names, "root").select(F.col("t").alias("_t"), "g")
     joined = base.withColumn("_first", F.try_element_at("_tokens", F.lit(1))).join(of, F.col("_first") == F.col("_t"), "left")
     return joined.select(*rows.columns, F.coalesce("g", F.concat(F.lit("singleton_row="), F.col(id_col).cast("string"))).alias("connected_group"))

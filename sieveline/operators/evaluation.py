@@ -131,9 +131,19 @@ def pos_weights(truth: DataFrame, most: float = 20.0) -> DataFrame:
     return truth.groupBy("label").agg(F.least(F.lit(most), F.greatest(F.lit(1.0), (n - pos) / F.greatest(pos, F.lit(1)))).cast("float").alias("pos_weight"))
 
 
+def _finite(metric: str) -> Column:
+    """The metric, or an error for a null, NaN or infinite one; to be used in an order, where it is evaluated for every row."""
+    value = F.col(metric).cast("double")
+    good = F.coalesce(F.abs(value) < float("inf"), F.lit(False)) & ~F.isnan(value)
+    return F.when(good, value).otherwise(F.raise_error(F.concat(F.lit(f"{metric} isn't finite: "), F.coalesce(value.cast("string"), F.lit("null")))).cast("double"))
+
+
 def select_model(candidates: DataFrame, metric: str, simplest: str, name: str = "name") -> DataFrame:
-    """The candidate of largest metric; of equal ones the one that counts as simplest, then the first by name."""
-    return candidates.orderBy(F.desc(metric), F.desc(F.col(name) == simplest), name).limit(1)
+    """The candidate of largest metric; of equal ones the one that counts as simplest, then the first by name.
+
+    A null or non-finite metric of any candidate is an error.
+    """
+    return candidates.orderBy(F.desc(_finite(metric)), F.desc(F.col(name) == simplest), name).limit(1)
 
 
 def label_coverage(df: DataFrame, labels: str, id_col: str) -> DataFrame:
@@ -148,5 +158,5 @@ def rates(df: DataFrame, by: list[str] = [], **of: Column) -> DataFrame:
 
 
 def first_best(history: DataFrame, metric: str, step: str = "epoch") -> DataFrame:
-    """The first step that attains the largest value of a metric."""
-    return history.orderBy(F.desc(metric), step).limit(1)
+    """The first step that attains the largest value of a metric; a null or non-finite value at any step is an error."""
+    return history.orderBy(F.desc(_finite(metric)), step).limit(1)

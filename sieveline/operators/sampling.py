@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sieveline.plans.durable import durable
+
 SPLITS = (("train", 12), ("validation", 4), ("test", 4))
 
 
@@ -76,53 +78,78 @@ def next_pending(items: DataFrame, position: str, current: int, pending: Column)
     return items.where(pending).orderBy(F.desc(F.col(position) > current), position).limit(1)
 
 
-def stratified_groups(groups: list[tuple[str, frozenset[str], int]], fractions: dict[str, float], seed: int = 42) -> dict[str, str]:
-    """Iterative stratification (Sechidis et al., 2011) of (group, labels, size): the rarest label goes first, to the split that lacks it most."""
-    import hashlib
-
-    mixed = lambda g: hashlib.sha256(f"{seed}:{g}".encode()).hexdigest()
-    left = {g: (labels, n) for g, labels, n in sorted(groups, key=lambda x: mixed(x[0]))}
-    room = {s: f * sum(n for *_, n in groups) for s, f in fractions.items()}
-    totals: dict[str, int] = defaultdict(int)
-    for labels, n in left.values():
-        for x in labels:
-            totals[x] += n
-    want = {s: {x: f * t for x, t in totals.items()} for s, f in fractions.items()}
-    out: dict[str, str] = {}
-
-    def put(g: str, split: str) -> None:
-        labels, n = left.pop(g)
-        out[g] = split
-        room[split] -= n
-        for x in labels:
-            want[split][x] -= n
-            totals[x] -= n
+def _cut_points(want: dict[str, float], total: int) -> list[tuple[str, float]]:
+    """Upper ends, in rows, of each split's part of ``total`` rows: in proportion to what the splits still want."""
+    open_ = {s: max(w, 0.0) for s, w in want.items()}
+    whole = sum(open_.values())
+    if not whole:
+        open_, whole = {s: 1.0 for s in want}, float(len(want))
+    upto, out = 0.0, []
+    for split, w in open_.items():
+        upto += w
+        out.append((split, upto * total / whole))
+    return out
 
-    while left:
-        live = [x for x, t in totals.items() if t > 0]
-        rare = min(live, key=lambda x: (totals[x], x)) if live else None
-        for g in [g for g, (labels, _) in left.items() if rare is None or rare in labels]:
-            put(g, max(fractions, key=lambda s: (want[s].get(rare, 0.0) if rare else room[s], room[s], mixed(g + s))))
+
+def _split_at(middle: Column, cuts: list[tuple[str, float]]) -> Column:
+    """The split whose part holds the middle of a group's rows; twice the middle, as it stays whole."""
+    out = F.lit(cuts[-1][0])
+    for split, upto in reversed(cuts[:-1]):
+        out = F.when(middle < 2 * upto, split).otherwise(out)
     return out
 
 
 def grouped_split(df: DataFrame, group: str, labels: str, fractions: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """``df`` with split; a group never crosses splits, and each label is spread by the fractions.
 
-    Groups with equal label sets are dealt out together on the driver: first into bundles of one label set, by hash, so
-    that what the driver sees is bounded by label sets times BUNDLES, not by the number of groups.
+    Iterative stratification (Sechidis et al., 2011) by quotas. A round takes the label with the fewest rows left and all
+    groups left that have it, in the order of a hash, and deals them to the splits in proportion to what each still wants of
+    that label: a group goes where the middle of its rows falls in the running sum. Groups without labels come last, by
+    the rows that a split still wants. All rows with a null group are one group; null labels are none.
+
+    The driver sees counts of labels and of DEALT parts of the hash's range. Groups stay where they are: what a round takes
+    follows from the labels of the rounds before it, and running sums are formed within a part.
     """
     fractions = fractions or {"train": 0.70, "validation": 0.15, "test": 0.15}
-    each = df.select(group, F.explode_outer(labels).alias("_x")).groupBy(group).agg(F.array_sort(F.collect_set("_x")).alias("_set"))
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
-    bundle = F.concat_ws("|", F.array_join("_set", ","), F.pmod(F.xxhash64(group), F.lit(BUNDLES)).cast("string"))
-    bundled = each.join(sizes, group).withColumn("_bundle", bundle)
-    rows = bundled.groupBy("_bundle").agg(F.first("_set").alias("s"), F.sum("_n").alias("n")).collect()
-    placed = stratified_groups([(r["_bundle"], frozenset(r["s"]), r["n"]) for r in rows], fractions, seed)
-    table = df.sparkSession.createDataFrame([*placed.items()], "_bundle string, split string")
-    named = bundled.select(group, "_bundle").join(table, "_bundle").select(F.col(group).alias("_g"), "split")
+    each = df.select(F.col(group).alias("_g"), F.coalesce(labels, F.array().cast(df.schema[labels].dataType)).alias("_l"))
+    sets = each.select("_g", F.explode_outer("_l").alias("_x")).groupBy("_g").agg(F.array_sort(F.collect_set("_x")).alias("_set"))
+    sizes = each.groupBy(F.col("_g").alias("_h")).agg(F.count("*").alias("_n"))
+    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col("_g").cast("string")), 256)
+    joined = sets.join(sizes, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_set", "_n", order.alias("_order"))
+    groups = durable(joined.withColumn("_part", F.substring("_order", 1, DEALT)))
+    every = groups.select(F.explode("_set").alias("x"), "_n").groupBy("x").agg(F.sum("_n").alias("n")).collect()
+    left = {r["x"]: r["n"] for r in every}
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    want = {s: {x: f * n for x, n in left.items()} for s, f in fractions.items()}
+    room = {s: f * total for s, f in fractions.items()}
+    within = Window.partitionBy("_part").orderBy("_order", "_g").rowsBetween(Window.unboundedPreceding, 0)
+    placed, done = [], []
+    while True:
+        rare = min(left, key=lambda x: (left[x], x)) if left else None
+        mine = groups if rare is None else groups.where(F.array_contains("_set", rare))
+        taken = mine.where(~F.arrays_overlap("_set", F.array(*map(F.lit, done)))) if done else mine
+        parts = sorted(map(tuple, taken.groupBy("_part").agg(F.sum("_n").alias("n")).collect()))
+        begins, upto = {}, 0
+        for part, n in parts:
+            begins[part], upto = upto, upto + n
+        cuts = _cut_points({s: want[s][rare] for s in fractions} if rare is not None else room, upto)
+        table = df.sparkSession.createDataFrame([*begins.items()], "_p string, _begin long")
+        middle = 2 * (F.col("_begin") + F.sum("_n").over(within)) - F.col("_n")
+        dealt = taken.join(F.broadcast(table), F.col("_part") == F.col("_p")).withColumn("split", _split_at(middle, cuts)).select("_g", "_set", "_n", "split")
+        placed.append(durable(dealt) if begins else None)
+        if rare is None:
+            break
+        for split, x, n in placed[-1].select("split", F.explode("_set").alias("x"), "_n").groupBy("split", "x").agg(F.sum("_n")).collect():
+            want[split][x] -= n
+            left[x] -= n
+        for split, n in placed[-1].groupBy("split").agg(F.sum("_n")).collect():
+            room[split] -= n
+        done.append(rare)
+        left = {x: n for x, n in left.items() if n > 0}
+    rounds = [p.select("_g", "split") for p in placed if p is not None]
+    named = functools.reduce(DataFrame.unionByName, rounds) if rounds else groups.select("_g", F.lit(None).cast("string").alias("split"))
     return df.join(named, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
-#: Parts into which the groups of one label set are bundled.
-BUNDLES = 64
+#: Hexadecimal digits of the hash that tell the parts apart in which running sums are formed: 4,096 parts.
+DEALT = 3

@@ -6,13 +6,16 @@ and toxic its labels, hashes of the text its contents. Predictions are simple fu
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.functions.ontology import Label, Ontology, names_match
+from sieveline.operators import aggregates as G
 from sieveline.operators import annotation as A
 from sieveline.operators import duplicates as D
 from sieveline.operators import evaluation as E
@@ -22,10 +25,12 @@ from sieveline.operators import records as R
 from sieveline.operators import sampling as S
 from sieveline.operators import validation as V
 from sieveline.operators.evidence import source_votes
-from sieveline.plans.durable import durable
+from sieveline.plans.durable import delete_folder, durable, shared_folder
 from sieveline.plans.provenance import table_digest
 from sieveline.sources import recipes
-from sieveline.streaming.incremental import pending
+from sieveline.streaming.incremental import pending, upsert
+from sieveline.streaming.state import last_decisions, work_queue
+from sieveline.streaming.store import BucketedStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,11 +229,54 @@ def sign_flip_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(I.sign_flip_test(diffs))
 
 
-@query()
+@query(CELLS + WEIGHTS + """,
+vals AS (SELECT iteration, sum(w * f1) / sum(w * n) AS v FROM drawn GROUP BY iteration)
+SELECT round((SELECT sum(f1) / sum(n) FROM sums), 9) AS estimate, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM vals""")
 def bootstrap_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mean by sums of groups, so an iteration's frame has a row for each draw of a group, not for each sample."""
-    sums = I.group_sums(_scored(spark, sf_dir), []).select("grp", "f1", "n")
-    return rounded(I.bootstrap_custom(sums, I.hashed_weights(sums, ITERATIONS), lambda df: df["f1"].sum() / df["n"].sum()))
+    """A mean as a user's own aggregate over samples."""
+    mean = G.sums(("f1",), lambda s: s[:, 1] / s[:, 0])
+    return rounded(_resampled(spark, sf_dir, mean))
+
+
+def _resampled(spark: SparkSession, sf_dir: str, aggregate: G.Aggregate) -> DataFrame:
+    samples = _scored(spark, sf_dir)
+    return I.bootstrap_aggregate(samples, I.hashed_weights(samples, ITERATIONS), aggregate)
+
+
+@query(CELLS + WEIGHTS + """,
+squares AS (SELECT source AS grp, sum(f1 * f1) AS q FROM by_sample GROUP BY ALL),
+spread AS (SELECT iteration, sqrt(greatest(sum(w * q) / sum(w * n) - pow(sum(w * f1) / sum(w * n), 2), 0)) AS v FROM drawn JOIN squares USING (grp) GROUP BY iteration)
+SELECT round((SELECT stddev_pop(f1) FROM by_sample), 9) AS estimate, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM spread""")
+def bootstrap_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard deviation of sample F1 as a user's own aggregate: count, mean and squared deviations, merged pairwise."""
+
+    def update(state: np.ndarray, rows: dict[str, np.ndarray]) -> np.ndarray:
+        x = rows["f1"]
+        return merge(state, np.array([len(x), x.mean(), ((x - x.mean()) ** 2).sum()]))
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = a[..., 0] + b[..., 0]
+        share = b[..., 0] / np.maximum(n, 1)
+        apart = b[..., 1] - a[..., 1]
+        return np.stack([n, a[..., 1] + apart * share, a[..., 2] + b[..., 2] + apart * apart * a[..., 0] * share], axis=-1)
+
+    spread = G.Aggregate(("f1",), lambda: np.zeros(3), update, merge, lambda s: np.sqrt(s[:, 2] / np.maximum(s[:, 0], 1)))
+    return rounded(_resampled(spark, sf_dir, spread))
+
+
+@query(CELLS + "," + OTHER + """,
+d AS (SELECT a.source AS g, sum(b.f1 - a.f1) AS d FROM by_sample a JOIN by_sample2 b USING (sample_id) GROUP BY ALL),
+obs AS (SELECT sum(d) AS o FROM d), n AS (SELECT count(*) AS n FROM by_sample),
+flips AS (
+  SELECT i, sum(CASE WHEN (CAST('0x' || substr(md5('42:' || g || ':' || i // 128), (i % 128) // 4 + 1, 1) AS INT) >> (3 - i % 4)) & 1 = 1 THEN -d ELSE d END) AS s
+  FROM d, range(0, 10000) AS r(i) GROUP BY i)
+SELECT round(o / n, 9) AS observed, round((count(*) FILTER (abs(s) >= abs(o) - 1e-12 * n) + 1) / CAST(count(*) + 1 AS DOUBLE), 9) AS p_value,
+       'group_clustered_monte_carlo_sign_flip' AS method, count(*) AS permutations FROM flips, obs, n GROUP BY o, n""")
+def sign_flip_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty sources have more sign vectors than iterations, so these are drawn."""
+    a, b = (_scored(spark, sf_dir, t) for t in (THRESHOLD, 0.3))
+    pair = a.select("sample_id", "grp", F.col("f1").alias("f1a")).join(b.select("sample_id", "f1"), "sample_id")
+    return rounded(I.sign_flip_test(pair.select("grp", (F.col("f1") - F.col("f1a")).alias("diff"))))
 
 
 # ---------------------------------------------------------------------------------------------- ontology
@@ -460,7 +508,32 @@ def worklist_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.worklist_head(screen, "food_class", 1_000_000, "MACHINERY", 50).select("food_class", "candidate_rank")
 
 
-@query()
+def _quotas(x: str, taken: str, wants: str) -> str:
+    """SQL of a round of the grouped split: its groups with a split, by the middle of their rows in the running sum."""
+    return f"""
+{x}t AS (SELECT *, 2 * sum(n) OVER (ORDER BY h, g) - n AS mid, sum(n) OVER () AS whole FROM grps WHERE {taken}),
+{x}w AS (SELECT {wants.format(0)} AS w1, {wants.format(1)} AS w2, {wants.format(2)} AS w3),
+{x}v AS (SELECT greatest(w1, 0) AS a, greatest(w2, 0) AS b, greatest(w3, 0) AS c FROM {x}w),
+{x} AS (SELECT g, q, t, n, CASE WHEN mid < 2 * (a * whole / (a + b + c)) THEN 'train' WHEN mid < 2 * ((a + b) * whole / (a + b + c)) THEN 'validation' ELSE 'test' END AS split FROM {x}t, {x}v)"""
+
+
+def _wanted(weight: str, *rounds: str) -> str:
+    """SQL of a split's share of the rows with a condition, less those that rounds have given it; {{0}} is the split's number."""
+    return f"(SELECT [0.7, 0.15, 0.15][{{0}} + 1]::DOUBLE * coalesce(sum(n) FILTER ({weight}), 0) FROM grps)" + "".join(
+        f" - (SELECT coalesce(sum(n) FILTER ({weight} AND split = ['train', 'validation', 'test'][{{0}} + 1]), 0) FROM {r})" for r in rounds
+    )
+
+
+@query("""
+WITH d AS (SELECT doc_id, sha256(text) AS g, quality = 1 AS q, toxic = 1 AS t FROM documents JOIN labels USING (doc_id)),
+grps AS (SELECT g, bool_or(q) AS q, bool_or(t) AS t, count(*) AS n, sha256('42:' || g) AS h FROM d GROUP BY g),
+"""
++ _quotas("toxic1", "t AND (SELECT sum(n) FILTER (t) < sum(n) FILTER (q) FROM grps)", _wanted("t")) + ","
++ _quotas("good1", "q AND NOT (t AND (SELECT sum(n) FILTER (t) < sum(n) FILTER (q) FROM grps))", _wanted("q", "toxic1")) + ","
++ _quotas("toxic2", "t AND NOT q AND NOT (SELECT sum(n) FILTER (t) < sum(n) FILTER (q) FROM grps)", _wanted("t", "good1")) + ","
++ _quotas("rest", "NOT t AND NOT q", _wanted("true", "toxic1", "good1", "toxic2"))
++ """
+SELECT doc_id, g, split FROM d JOIN (FROM toxic1 UNION ALL FROM good1 UNION ALL FROM toxic2 UNION ALL FROM rest) USING (g)""")
 def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     labels = F.filter(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
@@ -468,6 +541,22 @@ def grouped_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.grouped_split(rows, "g", "labels").select("doc_id", "g", "split")
 
 
+@query("""
+WITH d AS (SELECT event_id, CASE WHEN user_id % 3 > 0 THEN user_id // 3 END AS g, event_type FROM events)
+SELECT event_type AS label, CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS groups_in_two_splits, true AS near_quotas FROM d GROUP BY event_type""")
+def grouped_split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by user, a third of them without one (a single group): no row is lost, no group is in two splits, and each
+    label's rows in a split are within the largest groups' rows of its quota."""
+    user = F.when(F.col("user_id") % 3 > 0, F.expr("user_id div 3"))
+    rows = table(spark, sf_dir, "events").select("event_id", user.alias("g"), F.array("event_type").alias("labels"))
+    split = durable(S.grouped_split(rows, "g", "labels").select(F.col("labels")[0].alias("label"), "g", "split"))
+    crossing = split.groupBy("g").agg(F.count_distinct("split").alias("s")).agg(F.count_if(F.col("s") > 1).alias("groups_in_two_splits"))
+    widest = split.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("label").agg(F.max("c").alias("widest"))
+    counts = split.groupBy("label").agg(F.count("*").alias("rows"), *[F.count_if(F.col("split") == s).alias(s) for s in ("train", "validation", "test")])
+    off = F.greatest(*[F.abs(F.col(s) - f * F.col("rows")) for s, f in (("train", 0.7), ("validation", 0.15), ("test", 0.15))])
+    return counts.join(widest, "label").crossJoin(crossing).select("label", "rows", "groups_in_two_splits", (off <= F.col("widest")).alias("near_quotas"))
+
+
 # ---------------------------------------------------------------------------------------------- validation, annotation
 
 def _screen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -742,6 +831,53 @@ def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.latest(log, "user_id", "seq")
 
 
+@contextlib.contextmanager
+def _few_states(spark: SparkSession):
+    """A stream's states live in as many stores as there are shuffle partitions when it starts; these small ones need few."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 8)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _run_into_store(spark: SparkSession, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """Run a stream over all that is there into a bucketed store; the store's last rows, kept on their own."""
+    folder = shared_folder(spark, "stream")
+    try:
+        with _few_states(spark):
+            run = upsert(changes, f"{folder}/store", key, order, f"{folder}/checkpoint", 16).outputMode("update").trigger(availableNow=True).start()
+            run.awaitTermination()
+        return durable(BucketedStore(spark, f"{folder}/store", key, order).table())
+    finally:
+        delete_folder(spark, folder)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a pattern, so that the table may be a file or a folder
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+@query("SELECT user_id AS key, event_id AS seq, event_type AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def decision_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``latest_decisions`` as a stream with keyed state, whose changes go to a bucketed store."""
+    return _run_into_store(spark, last_decisions(_event_stream(spark, sf_dir), "user_id", "event_id", "event_type"), "key", "seq").select("key", "seq", "decision")
+
+
+@query("""
+SELECT event_id // 5 AS key, CASE WHEN bool_or(event_type = 'purchase') THEN 'done' ELSE 'todo' END AS state
+FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL""")
+def work_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of five events as items: a view asks for one, a purchase is its result."""
+    events = _event_stream(spark, sf_dir).where("event_type in ('view', 'purchase')").withColumn("item", F.expr("event_id div 5"))
+    states = work_queue(events.withColumn("ts", F.col("ts").cast("timestamp")), "item", "ts", "event_type = 'purchase'")
+    # of an item's states done is the last, and a later try comes after an earlier one
+    ranked = states.withColumn("rank", F.when(F.col("state") == "done", 1 << 40).otherwise(F.col("tries")))
+    return _run_into_store(spark, ranked, "key", "rank").select("key", "state")
+
+
 @query("SELECT event_type, round(avg(CASE WHEN json_valid(props) THEN 1.0 ELSE 0.0 END), 9) AS parse_success_rate, count(*) AS rows FROM events GROUP BY event_type")
 def parse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.rates(table(spark, sf_dir, "events"), ["event_type"], parse_success_rate=F.try_parse_json("props").isNotNull()))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.streaming.store import BUCKETS, BucketedStore
+
 
 def pending(items: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
     """Items without a result; safe for nulls, which are never done."""
@@ -28,26 +30,10 @@ def windowed_counts(events: DataFrame, time: str, by: list[str], size: str = "10
     return events.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n"))
 
 
-def upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """A query that keeps the last row of each key as Parquet; a batch that comes again changes nothing.
+def upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = BUCKETS):
+    """A query, not yet started, that keeps the last row of each key in a ``BucketedStore``.
 
-    Each batch writes a new version beside the old one and the version's number is part of its name, so a reader or a
-    restarted query takes the last whole one.
+    A batch reads and writes only the buckets of its keys; one that comes again changes nothing.
     """
-    spark = stream.sparkSession
-
-    def version(n: int) -> str:
-        return f"{path}/v={n}"
-
-    def merge(batch: DataFrame, n: int) -> None:
-        jvm = spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        whole = lambda k: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{version(k)}/_SUCCESS"))
-        before = next((k for k in range(n - 1, -1, -1) if whole(k)), None)
-        rows = batch if before is None else spark.read.parquet(version(before)).unionByName(batch)
-        others = [c for c in rows.columns if c != key]
-        last = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_v")).select(key, "_v.*")
-        last.write.mode("overwrite").parquet(version(n))
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    store = BucketedStore(stream.sparkSession, path, key, order, buckets)
+    return stream.writeStream.foreachBatch(store.merge).option("checkpointLocation", checkpoint)
