@@ -26,7 +26,7 @@ from sieveline.operators import sampling as S
 from sieveline.operators import validation as V
 from sieveline.operators.evidence import source_votes
 from sieveline.plans.durable import delete_folder, durable, shared_folder
-from sieveline.plans.provenance import table_digest
+from sieveline.plans.provenance import differing_leaves, table_digest, tree_root
 from sieveline.sources import recipes
 from sieveline.streaming.incremental import pending, upsert
 from sieveline.streaming.state import last_decisions, work_queue
@@ -814,11 +814,33 @@ def image_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT count(*) AS rows, array_to_string([CAST(sum(('0x' || substr(h, 1, 8))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 9, 8))::BIGINT) AS VARCHAR), CAST(sum(('0x' || substr(h, 17, 8))::BIGINT) AS VARCHAR),
   CAST(sum(('0x' || substr(h, 25, 8))::BIGINT) AS VARCHAR)], '-') AS digest
-FROM (SELECT md5('1' || doc_id || chr(31) || '1' || lang || chr(31) || '1' || source) AS h FROM documents)""")
+FROM (SELECT md5(array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN [CAST(doc_id AS VARCHAR), lang, source]], '')) AS h FROM documents)""")
 def manifest_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_digest(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"))
 
 
+_TREE = """
+cells AS (SELECT CAST(doc_id AS VARCHAR) AS k, array_to_string([coalesce(strlen(x) || ':' || x, '-') FOR x IN [CAST(doc_id AS VARCHAR), lang, source, text]], '') AS r FROM {docs}),
+leaves AS (SELECT substr(sha256(k), 1, 2) AS leaf, count(*) AS n, sha256(string_agg(r, '' ORDER BY k, r)) AS digest FROM cells GROUP BY ALL)"""
+
+
+@query("WITH " + _TREE.format(docs="documents") + """,
+inner1 AS (SELECT substr(leaf, 1, 1) AS node, sum(n) AS n, sha256(string_agg(leaf || ':' || digest, chr(10) ORDER BY leaf)) AS digest FROM leaves GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS rows, sha256('6:doc_id4:lang6:source4:text' || chr(10) || sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node))) AS digest FROM inner1""")
+def manifest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_root(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+
+
+@query("WITH changed AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 97 = 5 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 211 <> 7)," + _TREE.format(docs="documents")
+    + "," + _TREE.format(docs="changed").replace("cells", "cells2").replace("leaves", "leaves2") + """
+SELECT leaf, coalesce(leaves.n, 0) AS left_rows, coalesce(leaves2.n, 0) AS right_rows FROM leaves FULL JOIN leaves2 USING (leaf) WHERE leaves.digest IS DISTINCT FROM leaves2.digest""")
+def manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaves in which documents differ from themselves with some texts changed and some rows gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    changed = docs.where("doc_id % 211 <> 7").withColumn("text", F.when(F.col("doc_id") % 97 == 5, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return differing_leaves(docs, changed, "doc_id")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE turn >= 2 OR conv_id % 3 <> 0")
 def incremental_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
