@@ -19,7 +19,7 @@ from sieveline.llm.quality_model import held_out, train_quality
 from sieveline.llm.quality_rules import quality_filter
 from sieveline.llm.secrets import count_kind, find_secrets, joined
 from sieveline.llm.spelling import spelling_groups, word_counts
-from sieveline.llm.url_filter import UrlRule, filter_urls
+from sieveline.llm.url_filter import REFERENCES, UrlRule, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,38 +112,88 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-ORACLES["op9_url_filter"] = r"""
+def _rest(u: str) -> str:
+    """SQL of what follows the first :// of a url."""
+    return f"(CASE WHEN instr({u}, '://') > 0 THEN substr({u}, instr({u}, '://') + 3) ELSE '' END)"
+
+
+def _host(u: str) -> str:
+    return rf"translate(regexp_extract({_rest(u)}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path(u: str) -> str:
+    return rf"regexp_extract({_rest(u)}, '^[^/?#]*([^?#]*)', 1)"
+
+
+def _query(u: str) -> str:
+    return rf"regexp_extract({u}, '^[^?#]*(\?[^#]*)', 1)"
+
+
+def _address(u: str) -> str:
+    """SQL of what aliases are compared by."""
+    port = f"CASE WHEN regexp_matches({u}, '(?i)^https:') THEN regexp_replace({_host(u)}, ':443$', '') WHEN regexp_matches({u}, '(?i)^http:') THEN regexp_replace({_host(u)}, ':80$', '') ELSE regexp_replace({_host(u)}, ':(?:80|443)$', '') END"
+    return f"CASE WHEN {_host(u)} <> '' THEN {port} || CASE WHEN {_path(u)} = '/' THEN '' ELSE {_path(u)} END || {_query(_rest(u))} END"
+
+
+def _plain(t: str) -> str:
+    """SQL of an attribute's text with its character references resolved."""
+    for pattern, character in REFERENCES:
+        t = f"regexp_replace({t}, '{pattern}', '{character.replace(chr(39), chr(39) * 2)}', 'g')"
+    return t
+
+
+def _without_dots(p: str) -> str:
+    folded = rf"list_reduce(string_split({p}, '/'), lambda a, s: CASE WHEN s = '.' THEN a WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') ELSE a || '/' || s END)"
+    return rf"CASE WHEN regexp_matches({p}, '/\.\.?(/|$)') THEN {folded} || CASE WHEN regexp_matches({p}, '/\.\.?$') THEN '/' ELSE '' END ELSE {p} END"
+
+
+def _resolving(source: str, name: str, url: str, target: str) -> str:
+    """SQL of tables ``name``_1 to _3 and ``name``: the rows of source, and as column ``name`` a target as a browser resolves it on a url."""
+    scheme = "'^[A-Za-z][A-Za-z0-9+.-]*:'"
+    return rf"""
+{name}_1 AS (SELECT *, regexp_extract({target}, '^[^?#]*') AS tp, {_query(target)} AS tq, {_path(url)} AS up, regexp_extract({url}, {scheme}) AS us FROM {source}),
+{name}_2 AS (SELECT *, CASE WHEN starts_with(tp, '/') THEN tp WHEN up = '' THEN '/' || tp ELSE regexp_extract(up, '(?s)^.*/') || tp END AS whole FROM {name}_1),
+{name}_3 AS (SELECT *, 'http://' || {_host(url)} || CASE WHEN tp = '' THEN up || CASE WHEN tq <> '' THEN tq ELSE {_query(_rest(url))} END ELSE {_without_dots('whole')} || tq END AS moved FROM {name}_2),
+{name} AS (
+  SELECT * EXCLUDE (tp, tq, up, us, whole, moved),
+         CASE WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {target} WHEN starts_with({target}, '//') THEN CASE WHEN us = '' THEN 'http:' ELSE us END || {target}
+              WHEN NOT regexp_matches({target}, {scheme}) THEN moved END AS {name}
+  FROM {name}_3)"""
+
+
+def _ruled(source: str, host: str, path: str) -> str:
+    """SQL of source's rows with ``best``, the longest rule that fits, or null."""
+    return f"""SELECT *, (SELECT max(struct_pack(n := length(h || p), r := h || p, v := v)) FROM rules
+          WHERE ({host} = h OR ends_with({host}, '.' || h)) AND starts_with({path}, p)) AS best FROM {source}"""
+
+
+HREF = r"""'(?i)\bhref\s*=\s*["'']?([^"''\s>]+)'"""
+ORACLES["op9_url_filter"] = rf"""
 WITH RECURSIVE rules(v, h, p) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-tags AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM pages),
-found AS (
-  SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b')
-                   THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-                   WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b')
-                   THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) END AS t
-  FROM tags),
-urls AS (
-  SELECT url AS u, url AS of_url, CAST(NULL AS VARCHAR) AS target FROM pages
-  UNION
-  SELECT CASE WHEN instr(t, '://') > 0 THEN t WHEN starts_with(t, '//') THEN 'http:' || t
-              WHEN starts_with(t, '/') THEN regexp_replace(url, '^(.*?://[^/?#]*).*$', '\1') || t END, url, t FROM found WHERE t <> ''),
-cut AS (SELECT DISTINCT u, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM urls WHERE u IS NOT NULL),
-parts AS (
-  SELECT u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) AS q FROM cut),
-ruled AS (
-  SELECT u, host, path, CASE WHEN host <> '' THEN host || path || q END AS address,
-         (SELECT max(struct_pack(n := length(h || p), r := h || p, v := v)) FROM rules
-          WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
-  FROM parts),
-e AS (
-  SELECT a.address AS x, b.address AS y FROM urls JOIN ruled a ON a.u = urls.of_url JOIN ruled b ON b.u = urls.u
-  WHERE target IS NOT NULL AND a.address <> b.address),
+linked AS (
+  SELECT url, html, trim({_plain(f"regexp_extract(regexp_extract(html, '(?i)<base{chr(92)}b[^>]*{chr(92)}bhref{chr(92)}s*=[^>]*>'), {HREF}, 1)")}) AS href
+  FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+{_resolving("linked", "based", "url", "href")},
+tags AS (
+  SELECT url, CASE WHEN href <> '' THEN coalesce(based, url) ELSE url END AS base_url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM based),
+targets AS (
+  SELECT url, base_url, {_plain("t")} AS target
+  FROM (SELECT url, base_url, CASE WHEN regexp_matches(tag, '(?i)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, {HREF}, 1)
+                     WHEN regexp_matches(tag, '(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b')
+                     THEN regexp_extract(tag, '(?i)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags)
+  WHERE t <> ''),
+{_resolving("targets", "found", "base_url", "target")},
+e AS (SELECT DISTINCT x, y FROM (SELECT {_address("url")} AS x, {_address("found")} AS y FROM found) WHERE x <> y),
 both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON both_ways.x = reach.y),
-shared AS (SELECT reach.x AS address, min(best.v) AS v FROM reach JOIN ruled ON ruled.address = reach.y GROUP BY reach.x)
-SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, best.r AS rule, coalesce(best.v, shared.v, 'allow') AS verdict
-FROM pages LEFT JOIN ruled ON ruled.u = pages.url LEFT JOIN shared USING (address)
+nodes AS (SELECT DISTINCT y AS node, 'x://' || regexp_replace(y, '^([^/?]*)(\?|$)', '\1/\2') AS u FROM reach),
+placed AS (SELECT node, {_host("u")} AS nh, {_path("u")} AS np FROM nodes),
+judged AS ({_ruled("placed", "nh", "np")}),
+shared AS (SELECT reach.x AS address, min(best.v) AS v FROM reach JOIN judged ON judged.node = reach.y GROUP BY reach.x),
+own AS (SELECT page_id, coalesce({_host("url")}, '') AS host, coalesce({_path("url")}, '') AS path, {_address("url")} AS address FROM pages),
+ruled AS ({_ruled("own", "host", "path")})
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, shared.v, 'allow') AS verdict FROM ruled LEFT JOIN shared USING (address)
 """
 
 
