@@ -1,11 +1,12 @@
 """Nearest neighbours by largest inner product, by collision-counting hashing.
 
 Inner products become distances by one more coordinate that brings all vectors of a block to its largest norm, and the
-query to the same. Each hash function is one random projection, kept as a sorted array. A query's windows, centred on its
-own projections, widen together (virtual rehashing: the arrays stay, only the bounds move). Only the rows between a
-window's old and new bounds are visited: each collides once more, and rows with at least ``ALPHA`` of all collisions are
-candidates. Windows stop widening once ``BETA`` of the block's rows, and ``MORE`` times k more, are candidates; these are
-verified on the original vectors, in double precision.
+query to the same. Each hash function is one random projection, kept as a sorted array. A query uses the ``USED`` arrays
+that it lies farthest out in, where rows apart from it are few and a collision tells most. Its windows, centred on its own
+projections, widen together (virtual rehashing: the arrays stay, only the bounds move), from one width for all queries.
+Only the rows between a window's old and new bounds are visited: each collides once more. Windows stop widening once
+``BETA`` of the block's rows, and ``MORE`` times k more, have at least ``ALPHA`` of all collisions; the threshold is then
+the highest that leaves so many. They are verified on the original vectors, in double precision.
 
 Every row is indexed, in one block, whose sorted arrays are made once. Rows are dealt to blocks of bounded size by a hash
 of their id, queries go to each block, and only each block's best k for a query are shuffled again.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, ALPHA, BETA, MORE, FIRST_WIDTH, WIDEN = 112, 0.4, 0.25, 12, 0.1, 1.15
+PROJECTIONS, USED, ALPHA, BETA, MORE, FIRST_WIDTH, WIDEN = 256, 80, 0.4, 0.08, 12, 0.3, 1.2
 #: Rows and queries of a block, rows from which there is a block for each core, and queries that a task holds at once.
 BLOCK_ROWS, BLOCK_QUERIES, LEAST_ROWS, QUERIES = 32768, 32768, 4096, 1024
 
@@ -36,13 +37,13 @@ class Block:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, seed: int = 4) -> None:
         n, dim = rows.shape
-        self.rows, self.ids, self.visits, self.width = rows, ids, 0, FIRST_WIDTH
+        self.rows, self.ids, self.visits, self.verified = rows, ids, 0, 0
         self.turn = np.random.default_rng([seed, dim]).standard_normal((dim + 1, PROJECTIONS))
         norms = np.sqrt((rows * rows).sum(axis=1))
         self.top = norms.max()
         hashed = (rows @ self.turn[:dim] + np.sqrt(np.maximum(self.top**2 - norms * norms, 0))[:, None] * self.turn[dim]).T
         order = np.argsort(hashed, axis=1, kind="stable")
-        self.order = order.ravel()
+        self.order = order.ravel().astype(np.int32)
         # the sorted arrays end to end, each moved past the one before, so that one search finds all bounds of a query
         self.reach = np.abs(hashed).max()
         self.apart = 8 * (self.reach + 64 * self.top) * np.arange(PROJECTIONS)
@@ -54,23 +55,26 @@ class Block:
         return np.concatenate([self.order[a:b] for a, b in zip(low.tolist(), high.tolist())])
 
     def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows with enough collisions, at the first width with enough of them; the first one tried is a bit less than the last query's."""
+        """The rows with the most collisions, at the first width at which enough rows have enough of them."""
         n = len(self.ids)
-        need, enough = math.ceil(ALPHA * PROJECTIONS), min(n, MORE * k + 1 + math.ceil(BETA * n))
-        centre = np.clip(query / np.sqrt(query @ query) * self.top @ self.turn[:-1], -32 * self.top, 32 * self.top) + self.apart
-        low = high = np.clip(np.searchsorted(self.arrays, centre) - self.first, 0, n) + self.first
+        need, enough = math.ceil(ALPHA * USED), min(n, MORE * k + 1 + math.ceil(BETA * n))
+        centre = np.clip(query / np.sqrt(query @ query) * self.top @ self.turn[:-1], -32 * self.top, 32 * self.top)
+        used = np.argsort(-np.abs(centre), kind="stable")[:USED]
+        centre, first = centre[used] + self.apart[used], self.first[used]
+        low = high = np.clip(np.searchsorted(self.arrays, centre) - first, 0, n) + first
         counts = np.zeros(n, np.int64)
-        width = max(FIRST_WIDTH, self.width / WIDEN**2) * self.top
+        width = FIRST_WIDTH * self.top
         while True:
-            lower = np.clip(np.searchsorted(self.arrays, centre - width) - self.first, 0, n) + self.first
-            upper = np.clip(np.searchsorted(self.arrays, centre + width, "right") - self.first, 0, n) + self.first
+            lower = np.clip(np.searchsorted(self.arrays, centre - width) - first, 0, n) + first
+            upper = np.clip(np.searchsorted(self.arrays, centre + width, "right") - first, 0, n) + first
             entered = self._visit(np.concatenate([lower, high]), np.concatenate([low, upper]))
             counts += np.bincount(entered, minlength=n)
             self.visits += len(entered)
             low, high = lower, upper
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= enough or (high - low).min() == n:
-                self.width = width / self.top
+            if np.count_nonzero(counts >= need) >= enough or (high - low).min() == n:
+                having = np.bincount(counts, minlength=USED + 1)[::-1].cumsum()[::-1]  # rows with so many collisions or more
+                found = np.flatnonzero(counts >= np.flatnonzero(having >= enough)[-1])
+                self.verified += len(found)
                 return found
             width *= WIDEN
 
@@ -92,6 +96,7 @@ def _search(k: int):
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asked) or not len(held):
             return schema.empty_table()
+        held = held.sort_by("vec_id")  # as equal candidates are summed in the same order then
         block, parts = Block(_matrix(held["vector"]), held["vec_id"].to_numpy()), []
         for i in range(0, len(asked), QUERIES):
             part = asked.slice(i, QUERIES)

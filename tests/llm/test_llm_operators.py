@@ -547,10 +547,40 @@ def test_bpe_of_long_pieces():
     texts += ["la" * 3000, "é" * 4000, "x" * 5001, " " * 3000, word(2000)]
     for text, got in zip(texts, [coder.encode([t])[0] for t in texts]):
         assert np.frombuffer(got, np.int32).tolist() == own.encode_ordinary(text)
+    long = {"x" * 40_001, word(20_000), word(300) + "x" * 9000 + word(300) + "abc" * 3001, "".join(r.choice("abcd") for _ in range(20_000))}
+    assert all(np.frombuffer(coder.encode([t])[0], np.int32).tolist() == own.encode_ordinary(t) for t in long)
+    for _ in range(300):
+        text = "".join(r.choice(["ab", "abc", "aé", "the", "tion", "x", "中"]) for _ in range(r.randint(60, 200)))
+        assert np.frombuffer(coder.encode([text])[0], np.int32).tolist() == own.encode_ordinary(text)
     for text in ("ab" * 60_000, "x" * 1_200_000):
         assert coder.decode([np.frombuffer(coder.encode([text])[0], np.int32)]) == [text.encode()]
 
 
+def test_an_unbroken_run_of_a_megabyte_needs_no_more_memory(monkeypatch):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    coder, r = bpe.Coder(path, P.PATTERN), random.Random(7)
+    monkeypatch.setattr(bpe, "MEMORY_A_BYTE", 0)  # queries stay within MEMORY
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    assert np.frombuffer(coder.encode([text])[0], np.int32).tolist() == own.encode_ordinary(text)
+
+
+def test_pieces_are_remembered_for_two_generations(monkeypatch):
+    import public_tokenizers as P
+
+    coder = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    asked = []
+    plain = coder._contract
+    coder._contract = lambda pieces, *a: asked.extend(pieces) or plain(pieces, *a)
+    texts = ["qxzv qwzx", "wvvq", "qxzv xqxq", "qxzv", "wvvq"]
+    first = [coder.encode([t])[0] for t in texts]
+    assert asked.count(b"qxzv") == 1 and [coder.encode([t])[0] for t in texts] == first
+
+
 def test_a_slow_rule_goes_after_a_fast_one(spark):
     sample = spark.createDataFrame([(f"text {i} " * 200, i) for i in range(400)], "text string, n_words int")
     hits = F.col("n_words") % 2 == 0
@@ -587,12 +617,26 @@ def test_sources_reach_their_targets(spark):
     assert len(by) == 5 and all(abs(t - target) <= 0.005 * target for (_, target), t in by.items())
 
 
-def test_neighbours_count_only_rows_that_enter():
-    x = np.random.default_rng(3).standard_normal((3000, 64))
-    block = ann.Block(x, np.arange(3000))
-    for q in range(0, 3000, 100):
-        block.search(x[q], q, 20)
-    assert block.visits < 30 * x.size  # brute force reads each component of each row
+def test_neighbours_visit_and_verify_few_rows():
+    x = np.random.default_rng(3).standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block, asked, hit = ann.Block(x, np.arange(20_000)), range(0, 20_000, 250), 0
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -1
+        hit += len(set(block.search(x[q], q, 20)[0].tolist()) & set(np.argsort(-s)[:20].tolist()))
+    assert hit >= 0.9 * 20 * len(asked)
+    assert block.verified <= 0.15 * len(x) * len(asked)
+    assert block.visits < 0.5 * x.size * len(asked)  # brute force reads each component of each row
+
+
+def test_candidates_dont_hang_on_earlier_queries():
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.standard_normal((2000, 32)), r.standard_normal(32) + 0.01 * r.standard_normal((2000, 32))])
+    one, two = ann.Block(x, np.arange(4000)), ann.Block(x, np.arange(4000))
+    asked = range(0, 4000, 40)
+    first = {q: one.candidates(x[q], 20).tolist() for q in asked}
+    assert first == {q: two.candidates(x[q], 20).tolist() for q in reversed(asked)}
 
 
 def test_training_by_a_plain_version():
