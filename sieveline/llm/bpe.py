@@ -3,11 +3,17 @@
 Texts are cut into pieces by the tokenizer's pattern. Pieces that are a token are looked up; each other distinct piece
 becomes token-position rows of a recursive query: the rows join the merge table, every piece contracts its leftmost pair
 of least rank, and pieces without a pair drop out, until none is left. The query is keyed by place, so it holds each
-place once, whatever the number of steps. In blocks with pieces of more than ``SHORT`` bytes a step contracts all places
-of a piece's least pair at once, up to one whose new token would come first with a neighbour, so the result is the same
-and a long piece takes about as many steps as it has different pairs. Decoding joins the ids to the vocabulary and
-aggregates the bytes in order. Blocks of pieces and of ids are bounded, so memory doesn't grow with the partition, and a bounded
-memory of pieces serves later texts.
+place once, whatever the number of steps. Decoding joins the ids to the vocabulary and aggregates the bytes in order.
+Blocks of pieces and of ids are bounded, so memory doesn't grow with the partition or with a piece, and a bounded memory of
+pieces serves later texts.
+
+A piece longer than ``WINDOW`` bytes is cut into windows that overlap, which are contracted side by side, and two windows
+are spliced at a token that both have at the same place. That gives the piece's own ids: a row of tokens is what contraction
+yields exactly if no merge joins any two neighbours of it contracted on their own (the first merge across a border would
+have come in those two as well), and each two neighbours of the spliced row are neighbours in one of the windows. Windows
+without a common token, as in a long run of one character, are done over as one stretch, in windows of ``LARGE`` bytes that
+begin at a token of the one before; there a step contracts all places of the least pair at once, up to one whose new token
+would come first with a neighbour.
 """
 
 from __future__ import annotations
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.columns import map_last
 
-#: Pieces and bytes in a recursive query, bytes of a piece from which steps contract many places, remembered pieces,
-#: ids decoded at once, pieces of one long text at once, and memory of a query: so much, and so much for each byte.
-PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE = 20_000, 1 << 18, 64, 400_000, 1_000_000, 200_000
-MEMORY, MEMORY_A_BYTE = 400 << 20, 1024
+#: Pieces and bytes in a recursive query, bytes of pieces that go together, remembered pieces of each of two generations,
+#: ids decoded at once, pieces of one long text at once, and memory of a query.
+PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 18, 64, 400_000, 1_000_000, 200_000, 400 << 20
+#: Bytes of a window, from one to the next, and of a window in stretches without a common token. More than MEMORY is used
+#: only where such a window has to grow: so much for each byte.
+WINDOW, STEP, LARGE, MEMORY_A_BYTE = 160, 96, 1 << 15, 1024
 IDS, BYTES = {"ids": ("ids", "array<int>")}, {"decoded": ("decoded", "binary")}
 
 PAIRS = """
@@ -87,6 +95,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class Part:
+    """Ids of a stretch of a piece, from a byte of it on."""
+
+    def __init__(self, begin: int, ids: np.ndarray) -> None:
+        self.begin, self.ids = begin, ids
+
+    def ends(self, sizes: np.ndarray) -> np.ndarray:
+        return self.begin + np.cumsum(sizes[self.ids])
+
+    def spans(self, sizes: np.ndarray) -> np.ndarray:
+        """Where each token ends and how long it is, as one number."""
+        return (self.ends(sizes) << 20) + sizes[self.ids]
+
+
 class Coder:
     """One for each worker process; holds the vocabulary and a DuckDB connection with bounded memory."""
 
@@ -110,7 +132,9 @@ class Coder:
                 self.known[token.decode()] = np.int32(rank).tobytes()
             except UnicodeDecodeError:
                 continue
-        self.fixed = len(self.known)
+        self.fixed, self.older = len(self.known), {}
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.ranks.values())] = [len(t) for t in self.ranks]
 
     @classmethod
     def get(cls, path: str, pattern: str) -> Coder:
@@ -123,32 +147,93 @@ class Coder:
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM _new")
         self.con.unregister("_new")
 
-    def _contract(self, pieces: list[bytes]) -> list[bytes]:
+    def _contract(self, pieces: list[bytes], query: str = CONTRACT) -> list[np.ndarray]:
+        """Ids of each piece, by one recursive query."""
         sizes = np.array([len(x) for x in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
         p = (np.arange(len(data)) - (np.cumsum(sizes) - sizes)[w]).astype(np.int32)
         memory = max(MEMORY, MEMORY_A_BYTE * len(data))
-        self.con.execute(f"SET memory_limit = '{memory >> 20}MiB'")
+        if memory > MEMORY:
+            self.con.execute(f"SET memory_limit = '{memory >> 20}MiB'")
         self.con.register("bytes_in", pa.table({"w": w, "p": p, "tok": self.byte[data]}))
-        out = self.con.sql(CONTRACT if sizes.max() <= SHORT else CONTRACT_MANY).to_arrow_table()
+        out = self.con.sql(query).to_arrow_table()
         self.con.unregister("bytes_in")
         if memory > MEMORY:
             self.con.execute(f"SET memory_limit = '{MEMORY >> 20}MiB'")
-        at = np.searchsorted(out["w"].to_numpy(), np.arange(len(pieces) + 1)) * 4
-        flat = out["tok"].to_numpy().astype(np.int32).tobytes()
+        at = np.searchsorted(out["w"].to_numpy(), np.arange(len(pieces) + 1))
+        flat = out["tok"].to_numpy().astype(np.int32)
         return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = sorted((p.encode() for p in set(pieces).difference(self.known)), key=len)
-        part, size = [], 0
-        for i, raw in enumerate(new):
+    def _contracted(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of each piece, in blocks; the pieces are in order of length."""
+        out, part, size = [], [], 0
+        for i, raw in enumerate(pieces):
             part.append(raw)
             size += len(raw)
-            # pieces of up to SHORT bytes apart, for their cheaper query
-            if i + 1 == len(new) or len(part) == PIECES or size + len(new[i + 1]) > PIECE_BYTES or len(raw) <= SHORT < len(new[i + 1]):
-                self.known.update(zip([x.decode() for x in part], self._contract(part)))
+            # pieces of up to SHORT bytes apart, for their fewer steps
+            if i + 1 == len(pieces) or len(part) == PIECES or size + len(pieces[i + 1]) > PIECE_BYTES or len(raw) <= SHORT < len(pieces[i + 1]):
+                out += self._contract(part)
                 part, size = [], 0
+        return out
+
+    def _common(self, a: Part, b: Part) -> tuple[int, int] | None:
+        """Places of the first token that both parts have at the same bytes."""
+        _, i, j = np.intersect1d(a.spans(self.sizes), b.spans(self.sizes), assume_unique=True, return_indices=True)
+        return (int(i[0]), int(j[0])) if len(i) else None
+
+    def _stretch(self, raw: bytes, begin: int, end: int) -> Part:
+        """The part begin:end of a piece in windows of LARGE bytes or more, each from a token of the one before on."""
+        done: list[np.ndarray] = []
+        at, size, held = begin, LARGE, None
+        while True:
+            [ids] = self._contract([raw[at : min(at + size, end)]], CONTRACT_MANY)
+            now = Part(at, ids)
+            if held is not None:
+                common = self._common(held, now)
+                if common is None:  # go back, and further at once
+                    at, size, held = held.begin, 2 * size, None
+                    continue
+                done.append(held.ids[: common[0] + 1])
+                now = Part(int(now.ends(self.sizes)[common[1]]), now.ids[common[1] + 1 :])
+            if at + size >= end:
+                return Part(begin, np.concatenate([*done, now.ids]))
+            starts = now.ends(self.sizes) - self.sizes[now.ids]
+            at = int(starts[min(np.searchsorted(starts, at + 3 * size // 4), len(starts) - 1)])
+            held = now
+
+    def _spliced(self, raw: bytes, parts: list[Part]) -> np.ndarray:
+        """The ids of a piece from those of its windows."""
+        while True:
+            common = [self._common(a, b) for a, b in zip(parts, parts[1:])]
+            if None not in common:
+                break
+            joined, i = [], 0
+            while i < len(parts):
+                j = i
+                while j < len(common) and common[j] is None:
+                    j += 1
+                end = int(parts[j].ends(self.sizes)[-1])
+                joined.append(parts[i] if i == j else self._stretch(raw, parts[i].begin, end))
+                i = j + 1
+            parts = joined
+        first = [0, *(j + 1 for _, j in common)]
+        last = [*(i + 1 for i, _ in common), len(parts[-1].ids)]
+        return np.concatenate([p.ids[a:b] for p, a, b in zip(parts, first, last)])
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        wanted = set(pieces).difference(self.known)
+        again = wanted & self.older.keys()
+        self.known.update((p, self.older[p]) for p in again)
+        new = sorted((p.encode() for p in wanted - again), key=len)
+        short = [x for x in new if len(x) <= WINDOW]
+        self.known.update(zip([x.decode() for x in short], [x.tobytes() for x in self._contracted(short)]))
+        for raw in new[len(short) :]:
+            starts = range(0, max(len(raw) - WINDOW, 0) + STEP, STEP)
+            windows = [raw[a : a + WINDOW] for a in starts]
+            different = sorted(set(windows), key=len)
+            ids = dict(zip(different, self._contracted(different)))
+            self.known[raw.decode()] = self._spliced(raw, [Part(a, ids[w]) for a, w in zip(starts, windows)]).tobytes()
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         pieces = list(map(self.pattern.findall, texts))
@@ -166,8 +251,11 @@ class Coder:
         return b"".join(out)
 
     def _tidy(self) -> None:
+        """Pieces that two generations of texts don't use again are forgotten."""
         if len(self.known) > self.fixed + REMEMBERED:
-            self.known = dict(itertools.islice(self.known.items(), self.fixed))
+            found = iter(self.known.items())
+            self.known = dict(itertools.islice(found, self.fixed))
+            self.older = dict(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit numbers side by side."""
