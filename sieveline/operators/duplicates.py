@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions.text import hamming, hash_bits, short_id
+from sieveline.functions.text import hash_bits, short_id
 from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
 from sieveline.plans.folds import ordered_digests
 
-#: Bit ranges (shift, width) that split 64 bits; hashes two bits apart agree on one of three.
-BANDS = ((43, 21), (21, 22), (0, 21))
-MOST_DISTANCE = len(BANDS) - 1
+#: Most bits in which two near hashes may differ; one more band than that, and one of them is equal.
+MOST_DISTANCE = 2
+#: Comparisons of a band's value from which on its hashes are banded again, and how often that may be. After the last time
+#: at most eight bits are left, so no value has more than 256 hashes of a side.
+MOST_COMPARISONS, LEVELS = 1 << 20, 5
 
 
 def _check(distance: int, least: int = 0) -> None:
@@ -22,25 +24,69 @@ def _check(distance: int, least: int = 0) -> None:
         raise ValueError(f"distance must be between {least} and {MOST_DISTANCE}")
 
 
-def _bands(bits: Column) -> Column:
-    parts = [F.struct(F.lit(i).alias("b"), F.shiftrightunsigned(bits, s).bitwiseAND((1 << w) - 1).alias("v")) for i, (s, w) in enumerate(BANDS)]
-    return F.explode(F.array(*parts))
-
-
-def near_hashes(left: DataFrame, right: DataFrame, distance: int = MOST_DISTANCE) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+@functools.cache
+def band_tree(levels: int = LEVELS) -> list[list[tuple[int, tuple[int, ...], tuple[int, ...]]]]:
+    """For each level and path of bands: the bits that its hashes agree on, the bands of the bits left, and the bands before
+    those on the path, in which a pair must differ for its first common path to be this one."""
+    bands = MOST_DISTANCE + 1
+    nodes, out = [(0, tuple(range(63, -1, -1)), ())], []
+    for _ in range(levels + 1):
+        row, below = [], []
+        for held, left, before in nodes:
+            cuts = [round(i * len(left) / bands) for i in range(bands + 1)]
+            parts = [left[x:y] for x, y in zip(cuts, cuts[1:])]
+            masks = tuple(sum(1 << bit for bit in part) for part in parts)
+            row.append((held, masks, before))
+            for i, mask in enumerate(masks):
+                below.append((held | mask, tuple(bit for j, part in enumerate(parts) if j != i for bit in part), before + masks[:i]))
+        out.append(row)
+        nodes = below
+    return out
+
+
+def _banded(rows: DataFrame, level: int) -> DataFrame:
+    """(hash, x, path) to one row for each band of the path's bits left, with its value (all bits agreed on) as key."""
+    tree, bands = band_tree(), MOST_DISTANCE + 1
+    children = F.array(*[F.array(*[F.lit(_signed(held | m)) for m in masks]) for held, masks, _ in tree[level]])
+    each = rows.select("hash", "x", "path", F.posexplode(F.element_at(children, F.col("path") + 1)).alias("band", "mask"))
+    return each.select("hash", "x", (F.col("path") * bands + F.col("band")).alias("path"), F.col("x").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def _compared(left: DataFrame, right: DataFrame, level: int, distance: int) -> DataFrame:
+    """Pairs within a band's value, each from its first common path only."""
+    before = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]).cast("array<long>") for _, _, masks in band_tree()[level + 1]])
+    a, b = (df.select("path", "key", F.col("hash").alias(n), F.col("x").alias(n + "x")) for df, n in ((left, "a"), (right, "b")))
+    apart = F.col("ax").bitwiseXOR(F.col("bx"))
+    d = F.bit_count(apart)
+    first = F.forall(F.element_at(before, F.col("path") + 1), lambda m: apart.bitwiseAND(m) != 0)
+    return a.join(b, ["path", "key"]).where((d <= distance) & first).select("a", "b", d.cast("int").alias("distance"))
+
+
+def near_hashes(left: DataFrame, right: DataFrame, distance: int = MOST_DISTANCE, most: int = MOST_COMPARISONS) -> DataFrame:
     """(a, b, distance) for hashes (16 hex characters, column hash) of the two tables at most ``distance`` bits apart.
 
-    Both sides are reduced to distinct hashes before they are banded, so a popular hash is one row. A pair comes from its
-    first common band only, so nothing needs to be made distinct again.
+    Both sides are reduced to distinct hashes before they are banded, so a popular hash is one row. The hashes of a band's
+    value that would need more than ``most`` comparisons are banded again by the bits left, as near ones differ in these
+    only. A pair comes from its first common path of bands only, so nothing needs to be made distinct again.
     """
     _check(distance)
-    side = lambda df, n: df.where("hash <> ''").select("hash").distinct().select(F.col("hash").alias(n), hash_bits(F.col("hash")).alias(n + "x"))
-    a, b = (df.withColumn(n + "_", _bands(F.col(n + "x"))) for df, n in ((side(left, "a"), "a"), (side(right, "b"), "b")))
-    same = [F.shiftrightunsigned(F.col("ax").bitwiseXOR(F.col("bx")), s).bitwiseAND((1 << w) - 1) == 0 for s, w in BANDS]
-    first = functools.reduce(lambda c, i: c.when(same[i], i), range(1, len(BANDS)), F.when(same[0], 0))
-    d = hamming(F.col("ax"), F.col("bx"))
-    joined = a.join(b, (F.col("a_.b") == F.col("b_.b")) & (F.col("a_.v") == F.col("b_.v")) & (d <= distance) & (first == F.col("a_.b")))
-    return joined.select("a", "b", d.cast("int").alias("distance"))
+    side = lambda df: df.where("hash <> ''").select("hash").distinct().select("hash", hash_bits(F.col("hash")).alias("x"), F.lit(0).alias("path"))
+    a, b = durable(side(left)), durable(side(right))
+    found = []
+    for level in range(LEVELS):
+        a, b = _banded(a, level), _banded(b, level)
+        sizes = a.groupBy("path", "key").agg(F.count("*").alias("n")).join(b.groupBy("path", "key").agg(F.count("*").alias("m")), ["path", "key"])
+        hot = durable(sizes.where(F.col("n") * F.col("m") > most).select("path", "key"))
+        if level == LEVELS - 1 or hot.isEmpty():
+            found.append(_compared(a, b, level, distance))
+            break
+        found.append(_compared(a.join(hot, ["path", "key"], "left_anti"), b.join(hot, ["path", "key"], "left_anti"), level, distance))
+        a, b = (durable(df.join(hot, ["path", "key"], "left_semi").select("hash", "x", "path")) for df in (a, b))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def near_pairs(df: DataFrame, distance: int = MOST_DISTANCE) -> DataFrame:

@@ -395,6 +395,19 @@ near AS (SELECT a.dhash AS a, b.dhash AS b, CAST(bit_count(CAST(xor(a.x, b.x) AS
 """
 
 
+@query("""
+WITH h AS (SELECT DISTINCT CASE WHEN c_custkey % 10 = 0 THEN substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16) ELSE printf('%016x', 11 * c_custkey) END AS h FROM customer),
+bits AS (SELECT h, CAST('0x' || h AS UBIGINT) AS x FROM h)
+SELECT a.h AS a, b.h AS b, CAST(bit_count(CAST(xor(a.x, b.x) AS UHUGEINT)::VARCHAR::HUGEINT) AS INT) AS distance FROM bits a JOIN bits b ON a.h < b.h
+WHERE bit_count(CAST(xor(a.x, b.x) AS UHUGEINT)::VARCHAR::HUGEINT) <= 2""")
+def near_hashes_of_a_hot_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of which nine in ten agree in two of the three bands; the values that many share are banded again."""
+    key = F.col("c_custkey")
+    hash_ = F.when(key % 10 == 0, F.substring(F.md5(key.cast("string")), 1, 16)).otherwise(F.lower(F.lpad(F.hex(11 * key), 16, "0")))
+    rows = table(spark, sf_dir, "customer").select(hash_.alias("hash"))
+    return D.near_hashes(rows, rows, most=1 << 12).where("a < b")
+
+
 @query(INVENTORY + "SELECT a, b, distance FROM near WHERE distance <= 2")
 def near_dup_pairs_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.near_pairs(inventory(spark, sf_dir).withColumnRenamed("dhash", "hash"))

@@ -11,6 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline.operators import aggregates as G
+from sieveline.functions import text as T
+from sieveline.operators import duplicates as D
 from sieveline.operators import evaluation as E
 from sieveline.operators import inference as I
 from sieveline.operators import sampling as S
@@ -130,6 +132,33 @@ def test_grouped_split_of_one_large_group(spark):
     assert len(got) == 101 and all(x.s == 1 for x in got) and max(x.n for x in got) == 900
 
 
+def test_hot_bands_are_banded_again(spark):
+    r = np.random.default_rng(7)
+    low = r.choice(1 << 16, 900, replace=False).astype(np.uint64)
+    hot = (np.uint64(0xABCDEF) << np.uint64(40)) | low  # nine tenths agree in 48 bits
+    high = r.integers(0, 1 << 63, 100, dtype=np.uint64) * np.uint64(2)
+    x = np.concatenate([hot, high, high ^ np.uint64(1 << 63), high ^ np.uint64(5)])
+    df = spark.createDataFrame([(f"{v:016x}",) for v in x.tolist()], "hash string")
+    apart = np.array([[bin(int(a) ^ int(b)).count("1") for b in x] for a in x])
+    want = {(f"{x[i]:016x}", f"{x[j]:016x}", int(apart[i, j])) for i, j in zip(*np.nonzero(apart <= 2))}
+    for most in (1 << 20, 100):
+        got = [tuple(v) for v in D.near_hashes(df, df, most=most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(v) for v in D.near_hashes(df, df.limit(50), 1, 10).collect()} <= want
+
+
+def test_a_hot_bands_comparisons_are_bounded(spark):
+    rows = spark.range(50_000).select(F.lpad(F.hex(F.when(F.col("id") % 10 > 0, F.col("id") * 41).otherwise(F.xxhash64("id"))), 16, "0").alias("hash"), F.lit(0).alias("path"))
+    banded, compared = rows.withColumn("x", T.hash_bits(F.col("hash"))), 0
+    for level in range(D.LEVELS):
+        banded = D._banded(banded, level)
+        sizes = banded.groupBy("path", "key").agg(F.count("*").alias("n"))
+        last = level == D.LEVELS - 1
+        compared += sizes.where(F.lit(last) | (F.col("n") * F.col("n") <= 1 << 12)).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        banded = banded.join(sizes.where(F.col("n") * F.col("n") > 1 << 12), ["path", "key"], "left_semi").select("hash", "x", "path")
+    assert compared < 50_000**2 / 20 and all(len(left) == 3 for row in D.band_tree() for _, left, _ in row)
+
+
 # ---------------------------------------------------------------------------------------------- stores and streams
 
 def test_a_batch_touches_its_buckets_and_a_replay_nothing(spark, tmp_path):
