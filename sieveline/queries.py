@@ -28,6 +28,7 @@ from sieveline.operators.evidence import source_votes
 from sieveline.plans.durable import delete_folder, durable, shared_folder
 from sieveline.plans.provenance import differing_leaves, table_digest, tree_root
 from sieveline.sources import recipes
+from sieveline.sources.evidence import collect_evidence, stream_evidence
 from sieveline.streaming.incremental import pending, upsert
 from sieveline.streaming.state import last_decisions, work_queue
 from sieveline.streaming.store import BucketedStore
@@ -749,6 +750,45 @@ def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.keep_first(hashed, ["url", "evidence_hash"], ["q", "page_id"]).drop("q")
 
 
+FOUND = r"""
+WITH e AS (
+  SELECT 'class ' || page_id % 7 % 2 AS food_class, 'query-' || page_id % 7 AS query, CAST(page_id % 2 AS INT) AS round, regexp_replace(url, '[?#].*$', '') AS url,
+         regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, CAST(row_number() OVER (PARTITION BY page_id % 7, page_id % 2 ORDER BY page_id) AS INT) AS rank FROM pages),
+h AS (SELECT *, sha256(trim(regexp_replace(lower(translate(title, '_-', '  ')), '\s+', ' ', 'g')) || chr(10) || chr(10) || trim(url)) AS evidence_hash FROM e)
+SELECT food_class, query, round, rank, url, evidence_hash, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^(?:www|m|amp)\.', '') AS domain
+FROM h QUALIFY row_number() OVER (PARTITION BY url, evidence_hash ORDER BY query, round, rank) = 1
+"""
+EVIDENCE_COLUMNS = ["food_class", "query", "round", "rank", "url", "evidence_hash", "domain"]
+
+
+@contextlib.contextmanager
+def _answers(spark: SparkSession, sf_dir: str):
+    """Pages as the answers to seven queries in two rounds, in the folder that the evidence source's client reads."""
+    folder = shared_folder(spark, "evidence")
+    title, k = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(k.alias("rank"), F.regexp_replace("url", "[?#].*$", "").alias("url"), title.alias("title"), (k % 2).alias("round"), F.concat(F.lit("query-"), k % 7).alias("query"))
+    try:
+        pages.write.partitionBy("round", "query").json(folder)
+        yield folder, [(f"class {q % 2}", f"query-{q}") for q in range(7)]
+    finally:
+        delete_folder(spark, folder)
+
+
+@query(FOUND)
+def evidence_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with _answers(spark, sf_dir) as (folder, queries):
+        return durable(collect_evidence(spark, queries, path=folder).select(*EVIDENCE_COLUMNS))
+
+
+@query(FOUND)
+def evidence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers as a stream; a store of the first answer of each url and hash tells them apart."""
+    with _answers(spark, sf_dir) as (folder, queries):
+        place = F.struct("query", "round", "rank")
+        found = stream_evidence(spark, queries, path=folder).withColumns({"key": F.concat_ws(" ", "evidence_hash", "url"), "place": place})
+        return _run_into_store(spark, found, "key", "place", first=True).select(*EVIDENCE_COLUMNS)
+
+
 @query("""
 WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'nan'::DOUBLE ELSE p_retailprice END AS e, p_size::DOUBLE AS p, p_size * 1.5::DOUBLE AS c, CASE WHEN p_partkey % 40 = 0 THEN -1 ELSE p_size / 2.0::DOUBLE END AS f FROM part),
 k AS (SELECT *, 4 * c + 4 * p + 9 * f AS calc, isnan(e) AS bad FROM p)
@@ -878,12 +918,12 @@ def _few_states(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def _run_into_store(spark: SparkSession, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """Run a stream over all that is there into a bucketed store; the store's last rows, kept on their own."""
+def _run_into_store(spark: SparkSession, changes: DataFrame, key: str, order: str, first: bool = False) -> DataFrame:
+    """Run a stream over all that is there into a bucketed store; the store's rows, kept on their own."""
     folder = shared_folder(spark, "stream")
     try:
         with _few_states(spark):
-            run = upsert(changes, f"{folder}/store", key, order, f"{folder}/checkpoint", 16).outputMode("update").trigger(availableNow=True).start()
+            run = upsert(changes, f"{folder}/store", key, order, f"{folder}/checkpoint", 16, first).outputMode("update").trigger(availableNow=True).start()
             run.awaitTermination()
         return durable(BucketedStore(spark, f"{folder}/store", key, order).table())
     finally:

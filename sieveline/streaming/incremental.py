@@ -30,10 +30,10 @@ def windowed_counts(events: DataFrame, time: str, by: list[str], size: str = "10
     return events.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n"))
 
 
-def upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = BUCKETS):
-    """A query, not yet started, that keeps the last row of each key in a ``BucketedStore``.
+def upsert(stream: DataFrame, path: str, key: str, order: str, checkpoint: str, buckets: int = BUCKETS, first: bool = False):
+    """A query, not yet started, that keeps the last (or with ``first`` the first) row of each key in a ``BucketedStore``.
 
     A batch reads and writes only the buckets of its keys; one that comes again changes nothing.
     """
-    store = BucketedStore(stream.sparkSession, path, key, order, buckets)
+    store = BucketedStore(stream.sparkSession, path, key, order, buckets, first)
     return stream.writeStream.foreachBatch(store.merge).option("checkpointLocation", checkpoint)

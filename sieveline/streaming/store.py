@@ -1,4 +1,4 @@
-"""A table of the last row of each key, in buckets of which a batch touches only its own.
+"""A table of the last (or the first) row of each key, in buckets of which a batch touches only its own.
 
     path/rows/v=N/bucket=B   the rows of bucket B as of version N
     path/versions/N.json     which version of each bucket is the current one at version N, and the table's settings
@@ -20,9 +20,9 @@ BUCKETS, KEPT = 64, 2
 
 
 class BucketedStore:
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str, buckets: int = BUCKETS) -> None:
-        """``order`` decides which of a key's rows is the last; of equal ones the one with the largest other columns stays."""
-        self.spark, self.path, self.key, self.order = spark, path.rstrip("/"), key, order
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, buckets: int = BUCKETS, first: bool = False) -> None:
+        """``order`` decides which of a key's rows is the last, or with ``first`` the first, and then the other columns do."""
+        self.spark, self.path, self.key, self.order, self.first = spark, path.rstrip("/"), key, order, first
         newest = self.newest()
         self.buckets = self._version(newest)["buckets"] if newest is not None else buckets
 
@@ -56,7 +56,7 @@ class BucketedStore:
             return False
         at = self._version(before)["at"] if before is not None else {}
         others = [c for c in batch.columns if c != self.key]
-        last = F.max_by(F.struct(*others), F.struct(self.order, *[c for c in others if c != self.order])).alias("_v")
+        last = (F.min_by if self.first else F.max_by)(F.struct(*others), F.struct(self.order, *[c for c in others if c != self.order])).alias("_v")
         held = batch.persist()
         try:
             touched = {str(r[0]) for r in held.select(self._bucket()).distinct().collect()}  # at most ``buckets``
