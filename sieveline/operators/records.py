@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.functions.literals import literal_items
 from sieveline.functions.ontology import _plain
 
 #: The keys of an answer.
@@ -102,17 +103,11 @@ def parse_list(raw: str | None) -> list[str]:
     return [p.strip() for p in re.split(r"[;|]", raw) if p.strip()]
 
 
-def _parse_lists(c: Column) -> Column:
-    def parse(s: pd.Series) -> pd.Series:
-        return s.map(parse_list)
-
-    return F.pandas_udf(parse, "array<string>")(c)
-
-
 def item_list(c: Column) -> Column:
-    """``parse_list`` for a column: literals go to Python, plain lists are split by Spark."""
-    plain = F.filter(F.transform(F.split(F.trim(c), r"[;|]"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(c.isNull(), F.array().cast("array<string>")).when(F.trim(c).startswith("["), _parse_lists(c)).otherwise(plain)
+    """``parse_list`` for a column, in built-in expressions: a literal's items (see ``literal_items`` for what it reads),
+    else the parts between semicolons and bars."""
+    parts = F.transform(F.split(c, r"[;|]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(literal_items(c), F.filter(parts, lambda x: x != ""), F.array().cast("array<string>"))
 
 
 def energy_check(df: DataFrame, energy: str, protein: str, carbs: str, fat: str, tolerance: float = 0.15) -> DataFrame:
