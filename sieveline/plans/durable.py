@@ -13,6 +13,8 @@ WAVES, FILE_BYTES = 2, 16 << 20
 #: Bytes of the last durable tables of this driver, by the number of their RDD, and how many are remembered.
 _sizes: dict[int, int] = {}
 REMEMBERED = 4096
+#: From here on a plan's size is Spark's way to say that it doesn't know.
+UNKNOWN = 1 << 62
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -28,8 +30,8 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + tempfile.gettempdir() + "/sieveline-shared"
 
 
-def _bytes_read(df: DataFrame) -> int:
-    """Bytes of the files and durable tables that a plan reads."""
+def bytes_read(df: DataFrame) -> int:
+    """Bytes of the files and durable tables that a plan reads; what Spark doesn't know the size of counts as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     total = 0
     for i in range(leaves.size()):
@@ -37,7 +39,8 @@ def _bytes_read(df: DataFrame) -> int:
         if leaf.getClass().getSimpleName() == "LogicalRDD":
             total += _sizes.get(leaf.rdd().id(), 0)
         else:
-            total += int(leaf.stats().sizeInBytes())
+            size = int(leaf.stats().sizeInBytes())
+            total += size if size < UNKNOWN else 0
     return total
 
 
@@ -54,7 +57,7 @@ def durable(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_root(spark))
-    files = max(WAVES * context.defaultParallelism, -(-_bytes_read(df) // FILE_BYTES))
+    files = max(WAVES * context.defaultParallelism, -(-bytes_read(df) // FILE_BYTES))
     done = df.coalesce(min(files, (1 << 31) - 1)).checkpoint(eager=True)
     kept = done._jdf.queryExecution().analyzed().rdd()
     # A checkpoint carries the constraints of the plan behind it, which multiply over the rounds of a loop until the

@@ -789,6 +789,19 @@ def evidence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _run_into_store(spark, found, "key", "place", first=True).select(*EVIDENCE_COLUMNS)
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || '~' || p_brand || '~' || p_size || '~it' || chr(39) || 's' WHEN p_partkey % 3 = 1 THEN p_name || '~' || p_brand || ', ' || p_size
+       ELSE '[' || chr(39) || p_name || chr(39) || ', ' || p_brand || '~x]' END AS items FROM part""")
+def item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literals of lists, lists with separators, and literals that are none."""
+    literal = F.format_string("['%s', \"%s\", %s, 'it\\'s',]", "p_name", "p_brand", F.col("p_size").cast("string"))
+    plain = F.format_string(" %s ;; %s, %s|", "p_name", "p_brand", F.col("p_size").cast("string"))
+    broken = F.format_string("['%s', %s;x]", "p_name", "p_brand")
+    k = F.col("p_partkey") % 3
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(k == 0, literal).when(k == 1, plain).otherwise(broken).alias("raw"))
+    return rows.select("p_partkey", F.array_join(R.item_list(F.col("raw")), "~").alias("items"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 'nan'::DOUBLE ELSE p_retailprice END AS e, p_size::DOUBLE AS p, p_size * 1.5::DOUBLE AS c, CASE WHEN p_partkey % 40 = 0 THEN -1 ELSE p_size / 2.0::DOUBLE END AS f FROM part),
 k AS (SELECT *, 4 * c + 4 * p + 9 * f AS calc, isnan(e) AS bad FROM p)

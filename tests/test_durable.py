@@ -40,4 +40,4 @@ def test_files_go_with_their_tables(spark):
 def test_sizes_of_few_tables_are_remembered(spark, monkeypatch):
     monkeypatch.setattr(D, "REMEMBERED", 2)
     tables = [D.durable(spark.range(10)) for _ in range(4)]
-    assert len(D._sizes) <= 2 and D._bytes_read(tables[-1]) > 0 and D._bytes_read(tables[0]) == 0
+    assert len(D._sizes) <= 2 and D.bytes_read(tables[-1]) > 0 and D.bytes_read(tables[0]) == 0
