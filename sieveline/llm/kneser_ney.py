@@ -7,7 +7,10 @@ shared folder, and sends on what each word gathers as context and as continuatio
 writes in the same way. Scoring workers map these files into memory and search them for the sorted hashes of a block.
 
 Files are written under a temporary name and renamed, with the same content at each attempt, so a lost executor's tasks
-can run again at any time. The number of shards follows that of the input's partitions, so a shard's size doesn't grow.
+can run again at any time. The number of shards follows the input's bytes, so a shard's size doesn't grow. A flush makes at
+most ``1 << AREA_BITS`` rows: where there are more shards than that, pairs first go to areas of shards, whose tasks gather
+them to flushes of the same size again, so the number of rows that move is in proportion to the pairs. What is known of all
+shards stays in the folder; the driver sees sums.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.columns import bound_batches, map_last, tidy
 from sieveline.llm.wordhash import mix, word_hashes
-from sieveline.plans.durable import delete_folder, durable, shared_folder
+from sieveline.plans.durable import bytes_read, delete_folder, durable, shared_folder
 
-#: Words gathered before their distinct pairs are sorted out, and before the frequent ones among them are.
-FLUSH = 4_000_000
+#: Words gathered before their distinct pairs are sorted out, and before the frequent ones among them are; input bytes of a
+#: shard, and partitions of one where bytes aren't known; a flush's rows, as bits; files that a worker holds mapped, and bytes
+#: of those among them that it had to fetch.
+FLUSH, SHARD_BYTES, SHARD_PARTITIONS, AREA_BITS, MAPPED, FETCHED = 4_000_000, 8 << 20, 16, 12, 512, 1 << 30
 BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB0B0B0B0, 0xE0E0E0E0))
 PAIRS, WORDS = 1, 2
 
@@ -65,8 +70,23 @@ def _tokens(hashes: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, second, starts
 
 
-def _count(bits: int, hot: np.ndarray):
-    """Distinct pairs with counts, one row for each shard and flush."""
+def _packed(first: np.ndarray, second: np.ndarray, counts: np.ndarray, home: np.ndarray):
+    """Pairs in order of their first word as rows (shard, a, b, c, d), one for each home: first words, pairs of each, second words, counts."""
+    order = np.argsort(home, kind="stable")
+    first, second, counts, home = first[order], second[order], counts[order].astype(np.uint32), home[order]
+    edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+    for k in range(0, len(edges) - 1, 64):
+        rows = []
+        for a, b in zip(edges[k : k + 64], edges[k + 1 : k + 65]):
+            f = first[a:b]
+            new = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+            runs = np.diff(np.append(new, len(f))).astype(np.uint32)
+            rows.append((int(home[a]), f[new].tobytes(), runs.tobytes(), second[a:b].tobytes(), counts[a:b].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["shard", "a", "b", "c", "d"])
+
+
+def _count(folder: str, bits: int):
+    """Distinct pairs with counts, one row for each flush and shard, or area of shards."""
 
     def flush(seconds: list, begins: list):
         second = np.concatenate(seconds)
@@ -80,18 +100,8 @@ def _count(bits: int, hot: np.ndarray):
         keys, counts = np.unique(keys, return_counts=True)
         words = np.append(words, BEGIN)
         first, second = words[(keys >> np.uint64(32)).astype(np.int64)], words[(keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        home = _home(first, _pair(first, second), hot, bits)
-        order = np.argsort(home, kind="stable")
-        first, second, counts, home = first[order], second[order], counts[order].astype(np.uint32), home[order]
-        edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
-        for k in range(0, len(edges) - 1, 64):
-            rows = []
-            for a, b in zip(edges[k : k + 64], edges[k + 1 : k + 65]):
-                f = first[a:b]
-                new = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                runs = np.diff(np.append(new, len(f))).astype(np.uint32)
-                rows.append((int(home[a]), f[new].tobytes(), runs.tobytes(), second[a:b].tobytes(), counts[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["shard", "a", "b", "c", "d"])
+        home = _home(first, _pair(first, second), _get(folder, HOT, np.uint64), bits)
+        yield from _packed(first, second, counts, home >> max(bits - AREA_BITS, 0))
 
     def run(batches):
         seconds, begins, size = [], [], 0
@@ -110,6 +120,46 @@ def _count(bits: int, hot: np.ndarray):
     return run
 
 
+def _spread(folder: str, bits: int, level: int):
+    """Rows of areas, of ``level`` bits, to rows of the areas of AREA_BITS more within, gathered to flushes of pairs again.
+
+    An area's rows come together, as rows are sorted by area; a flush holds rows of one or of several.
+    """
+    shift = max(bits - level - AREA_BITS, 0)
+
+    def flush(held: list[tuple]):
+        first = np.concatenate([np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for a, b, _, _ in held])
+        second, counts = (np.concatenate([np.frombuffer(h[i], kind) for h in held]) for i, kind in ((2, np.uint64), (3, np.uint32)))
+        held.clear()
+        pair = _pair(first, second)
+        order = np.lexsort((pair, first))
+        pair = pair[order]
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        first, second, counts = first[order][new], second[order][new], np.add.reduceat(counts[order].astype(np.int64), new)
+        home = _home(first, pair[new], _get(folder, HOT, np.uint64), bits)
+        yield from _packed(first, second, np.minimum(counts, 0xFFFFFFFF), home >> shift)
+
+    def run(batches):
+        held, size, area, areas = [], 0, None, 0
+        for batch in batches:
+            for shard, *row in zip(*(batch[c].to_pylist() for c in ("shard", "a", "b", "c", "d"))):
+                areas += shard != area
+                # many small areas in a flush would make many small rows
+                if held and shard != area and (size >= FLUSH or areas > 1):
+                    yield from flush(held)
+                    size, areas = 0, 1
+                area = shard
+                held.append(row)
+                size += len(row[3]) // 4
+                if size >= FLUSH:
+                    yield from flush(held)
+                    size, areas = 0, 1
+        if held:
+            yield from flush(held)
+
+    return run
+
+
 def _blobs(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column.to_pylist())])
 
@@ -142,25 +192,38 @@ def _put(folder: str, name: str, data: np.ndarray) -> None:
     system.move(own, f"{root}/{name}")
 
 
+#: Words whose pairs are dealt to shards one by one.
+HOT = "hot"
 _mapped: dict[tuple[str, str], np.ndarray] = {}
+_fetched: dict[tuple[str, str], int] = {}
 
 
 def _get(folder: str, name: str, kind) -> np.ndarray:
-    """Map a file into memory; from a store that can't be mapped it is fetched to the worker's own folder first."""
-    if (folder, name) not in _mapped:
-        own = None
-        if folder.startswith("file:") or folder.startswith("/"):
-            path = f"{folder.removeprefix('file://')}/{name}"
-        else:
-            from pyarrow import fs
-
-            system, root = fs.FileSystem.from_uri(folder)
+    """Map a file into memory, none where there is no such file. From a store that can't be mapped it is fetched first. The
+    oldest maps are given up beyond MAPPED, and beyond FETCHED bytes of fetched ones."""
+    if (folder, name) in _mapped:
+        return _mapped[folder, name]
+    path = own = None
+    if folder.startswith("file:") or folder.startswith("/"):
+        path = f"{folder.removeprefix('file://')}/{name}"
+        path = path if os.path.exists(path) else None
+    else:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        if system.get_file_info(f"{root}/{name}").type == fs.FileType.File:
             own = tempfile.mkdtemp()
             path = f"{own}/{name}"
             fs.copy_files(f"{root}/{name}", path, source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        _mapped[folder, name] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-        if own:
-            shutil.rmtree(own)  # the mapping stays, and the space goes with it
+    size = os.path.getsize(path) if path else 0
+    _mapped[folder, name] = np.memmap(path, kind, "r") if size else np.zeros(0, kind)
+    if own:
+        shutil.rmtree(own)  # the mapping stays, and the space goes with it
+        _fetched[folder, name] = size
+    while len(_mapped) > MAPPED or sum(_fetched.values()) > FETCHED and len(_mapped) > 1:
+        oldest = next(iter(_mapped))
+        del _mapped[oldest]
+        _fetched.pop(oldest, None)
     return _mapped[folder, name]
 
 
@@ -200,12 +263,11 @@ def _merge_words(folder: str):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        stats, paired = np.zeros(4, np.int64), False
+        stats = np.zeros(4, np.int64)
         parts: list[list[np.ndarray]] = [[] for _ in range(6)]
         for a, b, c, d in zip(*(table[k].to_pylist() for k in "abcd")):
             if d is not None:
                 stats += np.frombuffer(d, np.int64)
-                paired = True
                 continue
             word = np.frombuffer(a, np.uint64)
             small = np.frombuffer(c, np.uint32).reshape(4, len(word)).astype(np.int64)
@@ -220,7 +282,6 @@ def _merge_words(folder: str):
         return pa.table(
             {
                 "shard": [shard],
-                "paired": [paired],
                 "tokens": [int(columns[0].sum())],
                 "begun": [int(columns[0][~predicted].sum())],
                 "words": [int(predicted.sum())],
@@ -233,7 +294,7 @@ def _merge_words(folder: str):
     return run
 
 
-STATS = "shard long, paired boolean, tokens long, begun long, words long, before long, pairs array<long>, singles array<long>"
+STATS = "shard long, tokens long, begun long, words long, before long, pairs array<long>, singles array<long>"
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -247,11 +308,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass
 class PairModel:
-    """Where the arrays are, which shards have arrays of words and of pairs, and the sums over all shards."""
+    """Where the arrays are, in how many shards, and the sums over all of them."""
 
     folder: str
     bits: int
-    hot: np.ndarray
     tokens: int = 0
     texts: int = 0
     words: int = 0
@@ -259,8 +319,6 @@ class PairModel:
     pair_discounts: np.ndarray = field(default_factory=lambda: discounts(0, 0, 0, 0))
     word_discounts: np.ndarray = field(default_factory=lambda: discounts(0, 0, 0, 0))
     spread: float = 1.0
-    word_shards: frozenset[int] = frozenset()
-    pair_shards: frozenset[int] = frozenset()
 
     def score(self, documents: DataFrame, text_col: str = "text") -> DataFrame:
         """``documents`` with n_tokens, n_known, base_score and score in place of the text.
@@ -292,8 +350,6 @@ def _scorer(m: PairModel):
         uses, traits = np.zeros(len(h), np.int64), np.zeros((len(h), 4), np.int64)
         if m.tokens:
             for shard, places in _by_shard(_shard(h, m.bits), h):
-                if shard not in m.word_shards:
-                    continue
                 at, hit = _find(_get(m.folder, f"words-{shard}", np.uint64), h[places])
                 places, at = places[hit], at[hit]
                 uses[places] = _get(m.folder, f"uses-{shard}", np.int64)[at]
@@ -305,9 +361,7 @@ def _scorer(m: PairModel):
         ask = np.flatnonzero(known)
         if m.tokens and len(ask):
             pair = _pair(first[ask], second[ask])
-            for shard, places in _by_shard(_home(first[ask], pair, m.hot, m.bits), pair):
-                if shard not in m.pair_shards:
-                    continue
+            for shard, places in _by_shard(_home(first[ask], pair, _get(m.folder, HOT, np.uint64), m.bits), pair):
                 at, hit = _find(_get(m.folder, f"pairs-{shard}", np.uint64), pair[places])
                 counts[ask[places[hit]]] = _get(m.folder, f"counts-{shard}", np.uint32)[at[hit]]
         return counts
@@ -346,8 +400,8 @@ def _scorer(m: PairModel):
     return run
 
 
-def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
-    """Words that would fill a good part of a shard, from all documents. This lays pairs out; it changes no count.
+def _frequent(texts: DataFrame, bits: int) -> DataFrame:
+    """w: words that would fill a good part of a shard, from all documents. This lays pairs out; it changes no count.
 
     Each flush sends on the words above half of that share, so a word above the whole of it over all documents is never
     missed, and at most 4 << bits words are found.
@@ -373,33 +427,47 @@ def _frequent(texts: DataFrame, bits: int) -> np.ndarray:
 
     sums = durable(texts.mapInArrow(tidy(run), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")))
     size = sums.where("w is null").agg(F.max("c").alias("size")).first()["size"] or 0
-    rows = sums.where(F.col("w").isNotNull() & (F.col("c") * (4 << bits) > size)).collect()
-    return np.sort(np.array([r["w"] for r in rows], np.int64).view(np.uint64))
+    return sums.where(F.col("w").isNotNull() & (F.col("c") * (4 << bits) > size)).select("w")
+
+
+def _write_hot(folder: str):
+    def run(batches):
+        words = np.sort(np.concatenate([np.zeros(0, np.int64), *(b["w"].to_numpy() for b in batches)]).view(np.uint64))
+        _put(folder, HOT, words)
+        yield pa.RecordBatch.from_arrays([pa.array([len(words)])], ["n"])
+
+    return run
+
+
+STATS_SUMS = ("tokens", "begun", "words", "before")
 
 
-def train_pairs(documents: DataFrame, text_col: str = "text") -> PairModel:
+def train_pairs(documents: DataFrame, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> PairModel:
     """Count all pairs of all whole texts of ``documents``. A null text counts as an empty one, which is its end alone."""
     spark = documents.sparkSession
     bound_batches(spark)
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    partitions = max(1, texts._jdf.queryExecution().toRdd().getNumPartitions())
-    bits = (2 * partitions - 1).bit_length()
+    shards = max(-(-bytes_read(texts) // shard_bytes), -(-texts._jdf.queryExecution().toRdd().getNumPartitions() // SHARD_PARTITIONS), 1)
+    bits = (shards - 1).bit_length()
     folder = shared_folder(spark, "pairs")
     atexit.register(_forget, spark, folder)
-    hot = _frequent(texts, bits)
+    durable(_frequent(texts, bits).repartition(1).mapInArrow(_write_hot(folder), "n long"))
     packed = "shard long, a binary, b binary, c binary, d binary"
-    counted = texts.mapInArrow(tidy(_count(bits, hot)), packed)
+    counted = texts.mapInArrow(tidy(_count(folder, bits)), packed)
+    for level in range(AREA_BITS, bits, AREA_BITS):
+        counted = counted.repartition("shard").sortWithinPartitions("shard").mapInArrow(_spread(folder, bits, level), packed)
     gathered = counted.groupBy("shard").applyInArrow(_merge_pairs(folder, bits), packed)
-    stats = gathered.groupBy("shard").applyInArrow(_merge_words(folder), STATS).toPandas()
-    if not len(stats):
-        return PairModel(folder, bits, hot)
-    pair_counts, word_counts = (np.array(stats[k].tolist()).sum(axis=0) for k in ("pairs", "singles"))
-    tokens, texts_seen, words, before = (int(stats[k].sum()) for k in ("tokens", "begun", "words", "before"))
+    stats = durable(gathered.groupBy("shard").applyInArrow(_merge_words(folder), STATS))
+    sums = [F.sum(c).alias(c) for c in STATS_SUMS] + [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("pairs", "singles") for i in range(4)]
+    whole = stats.agg(*sums).first()
+    if whole["tokens"] is None:
+        return PairModel(folder, bits)
+    pair_counts, word_counts = ([whole[f"{c}{i}"] for i in range(4)] for c in ("pairs", "singles"))
+    tokens, texts_seen, words, before = (whole[c] for c in STATS_SUMS)
     d = discounts(*word_counts)
     n3 = words - word_counts[0] - word_counts[1]
     spread = float(d[1] * word_counts[0] + d[2] * word_counts[1] + d[3] * n3) / before
-    shards = [frozenset(int(x) for x in some["shard"]) for some in (stats, stats[stats["paired"]])]
-    return PairModel(folder, bits, hot, tokens, texts_seen, words, before, discounts(*pair_counts), d, spread, *shards)
+    return PairModel(folder, bits, tokens, texts_seen, words, before, discounts(*pair_counts), d, spread)
 
 
 def _forget(spark, folder: str) -> None:

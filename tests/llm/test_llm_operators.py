@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,8 +57,9 @@ def shingle_set(text, size):
     return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def test_near_duplicates(docs, rows, empty):
-    for size in (2, 5):
+def test_near_duplicates(docs, rows, empty, monkeypatch):
+    for size, comparisons in ((2, near_dup.COMPARISONS), (5, near_dup.COMPARISONS), (2, 0)):
+        monkeypatch.setattr(near_dup, "COMPARISONS", comparisons)
         got = near_dup.near_duplicates(docs, shingle=size).collect()
         sets = [shingle_set(r[1], size) for r in rows]
         parent = list(range(len(rows)))
@@ -84,7 +86,10 @@ def test_near_duplicates(docs, rows, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_finds_every_link_of_a_large_group(spark):
+@pytest.mark.parametrize("comparisons", [near_dup.COMPARISONS, 20])
+def test_near_duplicates_finds_every_link_of_a_large_group(spark, monkeypatch, comparisons):
+    """Nearly all texts meet in the same buckets; with few comparisons allowed, these and their components are cut by pieces."""
+    monkeypatch.setattr(near_dup, "COMPARISONS", comparisons)
     r = random.Random(1)
     base = [f"w{i}" for i in range(150)]
     texts = []
@@ -311,18 +316,46 @@ def test_frequent_words_of_a_later_source_are_found(spark):
     rows = [(" ".join(f"w{i}x{k}" for k in range(20)),) for i in range(1500)] + [(f"late a{i} late b{i}",) for i in range(1500)]
     texts = spark.createDataFrame(rows, "text string").coalesce(1)
     [(_, _, late, _)] = kneser_ney.word_hashes([b"late"])
-    assert kneser_ney._frequent(texts, 3).tolist() == late.tolist()
-    assert not len(kneser_ney._frequent(texts.limit(0), 3))
+    assert [r.w for r in kneser_ney._frequent(texts, 3).collect()] == late.view(np.int64).tolist()
+    assert not kneser_ney._frequent(texts.limit(0), 3).count()
 
 
-def test_unknown_words_of_shards_without_files(spark):
-    model = kneser_ney.train_pairs(spark.createDataFrame([("a b a c",)] * 16, "text string").repartition(8))
-    assert len(model.word_shards) < 1 << model.bits and model.pair_shards <= model.word_shards
+def test_unknown_words_of_shards_without_files(spark, tmp_path):
+    spark.createDataFrame([("a b a c",)] * 16, "text string").repartition(8).write.parquet(str(tmp_path / "texts"))
+    model = kneser_ney.train_pairs(spark.read.parquet(str(tmp_path / "texts")), shard_bytes=64)
+    assert 4 < model.bits < 9
     text = " ".join(["a b c", *(f"unknown{i} a" for i in range(200))])
     got = model.score(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert (got.n_tokens, got.n_known) == (404, 204) and got.score < 0
 
 
+def test_rows_of_areas_are_gathered_to_flushes_again(monkeypatch):
+    """Three levels of two bits give the pairs and the counts of one; each row of an area holds all pairs of a flush there."""
+    monkeypatch.setattr(kneser_ney, "AREA_BITS", 2)
+    r = random.Random(9)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(300)).encode() for _ in range(60)]
+    batches = lambda n: [pa.RecordBatch.from_arrays([pa.array(texts[i::n])], ["text"]) for i in range(n)]
+    read = lambda batch: [(s, list(zip(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)).tolist(), np.frombuffer(c, np.uint64).tolist(), np.frombuffer(d, np.uint32).tolist()))) for s, a, b, c, d in zip(*batch.to_pydict().values())]
+    total, counted = collections.Counter(), []
+    for batch in batches(4):  # four tasks
+        counted += list(kneser_ney._count("/nowhere", 6)(iter([batch])))
+    assert sum(b.num_rows for b in counted) <= 4 * 4
+    for level in (2, 4):
+        rows = sorted((row for b in counted for row in b.to_pylist()), key=lambda x: x["shard"])
+        counted = list(kneser_ney._spread("/nowhere", 6, level)(iter([pa.RecordBatch.from_pylist(rows)])))
+        assert sum(b.num_rows for b in counted) <= 4 ** (level // 2 + 1)
+    for b in counted:
+        for shard, pairs in read(b):
+            for x, y, c in pairs:
+                assert kneser_ney._shard(np.array([x], np.uint64), 6)[0] == shard
+                total[x, y] += c
+    want = collections.Counter()
+    for _, _, hashes, ptr in kneser_ney.word_hashes(texts):
+        first, second, _ = kneser_ney._tokens(hashes, ptr)
+        want.update(zip(first.tolist(), second.tolist()))
+    assert total == want
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((400, 16)).astype(np.float32)
