@@ -23,6 +23,16 @@ def _plain(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).lower().translate({95: 32, 45: 32}).split())
 
 
+#: Keys of an answer (fixed values), as the parser of answers wants them, and what they hold.
+ANSWER_KEYS = {
+    "food_name": "text, a name or unknown",
+    "visible_ingredients": "list of ids that can be seen",
+    "uncertain_ingredients": "list of other ids that may be there",
+    "abstain": "true, with empty lists, if there is nothing to assess, else false",
+    "reason": "text, one sentence",
+}
+
+
 @dataclass(frozen=True)
 class Label:
     id: str
@@ -108,9 +118,17 @@ class Ontology:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([(i, x.id, x.category, x.hint) for i, x in enumerate(self.labels)], "idx int, label string, category string, hint string")
 
-    def prompt(self, task: str) -> str:
-        """Instructions for a model that must answer with these ids only."""
-        return f"{task}\nAllowed ids: {', '.join(self.ids)}"
+    def prompt(self, task: str, rules: tuple[str, ...] = (), version: str = "", hints: bool = False) -> str:
+        """Instructions for a model: the task, the answer's keys, the only ids allowed (by category, with hints if asked for), rules."""
+        parts = [task]
+        if rules or version or hints:
+            parts += ["The answer is one JSON object with these keys and no others:", *(f"  {key}: {what}" for key, what in ANSWER_KEYS.items())]
+        parts.append(f"Allowed ids: {', '.join(self.ids)}")
+        if hints:
+            for category in dict.fromkeys(x.category for x in self.labels):
+                parts.append(f"  {category or 'other'}: " + "; ".join(f"{x.id} ({x.hint})" if x.hint else x.id for x in self.labels if x.category == category))
+        parts += [f"- {rule}" for rule in rules]
+        return "\n".join(parts + ([f"Version: {version}"] if version else []))
 
     def cells(self, samples: DataFrame, labels_col: str) -> DataFrame:
         """The label matrix in long form: one row for each sample and label, with y."""

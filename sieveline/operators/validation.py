@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.ontology import Ontology
 from sieveline.functions.text import parse_boolean, tidy
+from sieveline.plans.order import numbered
 
 #: Why a candidate may be rejected, and the flags of a sheet.
 REASONS = (
@@ -168,5 +169,26 @@ def model_cache(cache: DataFrame, manifest: DataFrame, fixed: list[str], id_col:
     return violations(twice, extra, same_values(cache, manifest, id_col, [by], "class"), *mixed)
 
 
+def accepted_candidates(accepted: DataFrame, quota: int, by: str = "food_class", id_col: str = "candidate_id", group: str = "duplicate_group") -> DataFrame:
+    """Violations of what a sealed manifest is drawn from: ids repeat, candidates share a group of duplicates, a class hasn't
+    exactly ``quota`` candidates. Blank groups are shared like others."""
+    require_columns(accepted, by, id_col, group)
+    repeated = lambda c, order: _named(accepted.groupBy(c).count().where("count > 1"), order, f"repeated_{c}", F.col(c), F.col("count"))
+    sizes = _named(accepted.groupBy(by).count().where(F.col("count") != quota), 2, "class_size", F.col(by), F.col("count"))
+    return functools.reduce(DataFrame.unionByName, [repeated(id_col, 0), repeated(group, 1), sizes])
+
+
+def cache_order(cache: DataFrame, requested: DataFrame, order: str, id_col: str = "sample_id") -> DataFrame:
+    """Violations of a complete cache: ids that one of the tables lacks, and ids at another place than requested.
+
+    Both tables have a column ``order``, by which (then by id) their rows follow each other; only the places are compared.
+    """
+    places = lambda df, n: numbered(df.select(id_col, order), [order, id_col], n).select(F.col(id_col).alias(f"{n}_id"), n)
+    both = places(cache, "held").join(places(requested, "asked"), F.col("held_id") == F.col("asked_id"), "full")
+    key = F.coalesce("held_id", "asked_id")
+    rules = [("missing", F.col("held").isNull(), F.col("asked")), ("unrequested", F.col("asked").isNull(), F.col("held")), ("misplaced", F.col("held") != F.col("asked"), F.concat_ws(" for ", "held", "asked"))]
+    return row_rules(both.withColumn("_key", key), "_key", rules)
+
+
 def no_violations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA)

@@ -1041,3 +1041,25 @@ def model_cache_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = wrong.unionByName(manifest.where("sample_id % 13 = 0 and sample_id % 8 <> 0")).withColumn("model", F.lit("m"))
     kind = F.when(F.col("rule_id") == "repeated_id", "repeated").otherwise("class")
     return V.model_cache(cache, manifest, ["model"]).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH a AS (SELECT c_custkey % 1400 AS candidate_id, 'g' || c_custkey % 1450 AS g, c_mktsegment AS food_class FROM customer)
+SELECT 'repeated_candidate_id' AS rule_id, CAST(candidate_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM a GROUP BY candidate_id HAVING count(*) > 1
+UNION ALL SELECT 'repeated_duplicate_group', g, CAST(count(*) AS VARCHAR) FROM a GROUP BY g HAVING count(*) > 1
+UNION ALL SELECT 'class_size', food_class, CAST(count(*) AS VARCHAR) FROM a GROUP BY food_class HAVING count(*) <> 300""")
+def accepted_candidate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    accepted = table(spark, sf_dir, "customer").select((k % 1400).alias("candidate_id"), F.concat(F.lit("g"), k % 1450).alias("duplicate_group"), F.col("c_mktsegment").alias("food_class"))
+    return V.accepted_candidates(accepted, 300).select("rule_id", "key", "detail")
+
+
+@query("""
+WITH asked AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) - 1 AS asked FROM documents),
+held AS (SELECT id, row_number() OVER (ORDER BY o, id) - 1 AS held FROM (SELECT doc_id AS id, CASE WHEN doc_id % 50 = 7 THEN doc_id + 2 ELSE doc_id END AS o FROM documents WHERE doc_id % 400 <> 399))
+SELECT CASE WHEN held IS NULL THEN 'missing' ELSE 'misplaced' END AS rule_id, CAST(id AS VARCHAR) AS key FROM asked LEFT JOIN held USING (id) WHERE held IS DISTINCT FROM asked""")
+def cache_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache of documents that lacks some and has some at a later place."""
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.col("doc_id").alias("position"))
+    moved = F.when(F.col("sample_id") % 50 == 7, F.col("position") + 2).otherwise(F.col("position"))
+    return V.cache_order(asked.where("sample_id % 400 <> 399").withColumn("position", moved), asked, "position").select("rule_id", "key")

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A CSV file with a header; a blank cell is a blank text, quotes are doubled, a cell may hold line breaks."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"', emptyValue="", nullValue="\0")
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
+    """CSV files with a header; a blank cell is a blank text, quotes are doubled, a cell may hold line breaks.
+
+    One task reads a whole file then; without ``line_breaks`` large files are split among tasks.
+    """
+    reader = spark.read.options(header=True, multiLine=line_breaks, escape='"', emptyValue="", nullValue="\0")
     return (reader.schema(schema) if schema else reader).csv(path)
 
 

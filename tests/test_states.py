@@ -245,3 +245,13 @@ def test_work_is_given_out_again_until_it_is_done(spark, tmp_path):
     again = step([("z", 4000, False)])  # b and c have had their hour
     assert again == [("b", "todo", 2), ("c", "todo", 2), ("z", "todo", 1)]
     assert step([("b", 4001, True)]) == [("b", "done", 2)]
+
+
+def test_a_prompt_names_keys_ids_and_rules():
+    from sieveline.functions.ontology import Label, Ontology
+
+    food = Ontology((Label("rice", "staple", hint="white grains"), Label("egg", "protein"), Label("tofu", "protein", hint="cubes")))
+    assert food.prompt("Look.") == "Look.\nAllowed ids: rice, egg, tofu"
+    text = food.prompt("Look.", ("Only what is seen.",), "v2", hints=True)
+    assert "  staple: rice (white grains)" in text and "  protein: egg; tofu (cubes)" in text and text.endswith("- Only what is seen.\nVersion: v2")
+    assert all(f"  {k}: " in text for k in ("food_name", "visible_ingredients", "uncertain_ingredients", "abstain", "reason"))
