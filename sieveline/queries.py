@@ -320,6 +320,27 @@ def phrase_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_votes(evidence, o).select("label", "independent_sources", "accepted")
 
 
+VOTES = PHRASES.replace("SELECT p_partkey AS k, p_brand AS brand, lower(p_name) || ', ' || lower(p_type) || ' ' || lower(string_split(p_name, ' ')[-1]) AS t FROM part", """
+  SELECT p_partkey AS k, 'c' || p_size % 3 || '/' || p_brand AS brand,
+         CASE WHEN p_partkey % 4 = 0 THEN '' ELSE lower(p_name) END || ' ' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE lower(p_type) || ' ' || lower(string_split(p_name, ' ')[-1]) END AS t
+  FROM part WHERE p_partkey % 6 <> 0""")
+
+
+@query(VOTES + """
+SELECT split_part(brand, '/', 1) AS food_class, replace(a, ' ', '_') AS label, count(DISTINCT brand) AS independent_sources, count(DISTINCT brand) >= 3 AS accepted
+FROM lab GROUP BY split_part(brand, '/', 1), a""")
+def phrase_votes_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three classes, with titles, snippets and domains of which some are missing or blank."""
+    o, k, name = part_ontology(spark, sf_dir), F.col("p_partkey"), F.lower("p_name")
+    evidence = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("c"), F.col("p_size") % 3).alias("food_class"),
+        F.when(k % 4 > 0, name).alias("title"),
+        F.when(k % 5 > 0, F.concat(F.lower("p_type"), F.lit(" "), F.element_at(F.split(name, " "), -1))).alias("snippet"),
+        F.when(k % 6 == 0, " ").otherwise(F.col("p_brand")).alias("domain"),
+    )
+    return source_votes(evidence, o, minimum=3)
+
+
 @query(PHRASES + "SELECT count(DISTINCT a) AS labels, count(DISTINCT k) AS samples FROM lab")
 def label_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = part_ontology(spark, sf_dir)
@@ -828,7 +849,17 @@ def token_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.array_join(T.loss_mask(F.col("ids"), attention, start), " ").alias("mask"))
 
 
-@query()
+@query("""
+WITH expected(k, visible, unknown, abstain, parse_ok, parse_error) AS (VALUES
+  (1, 'good|long', '', false, true, ''), (2, '', '', true, true, ''), (3, '', '', true, false, 'no_json_object'), (4, '', '', true, false, 'non_json_envelope'),
+  (5, '', '', true, false, 'duplicate_key:reason'), (6, '', '', true, false, 'schema_keys:missing=[],extra=[''more'']'), (7, '', '', true, false, 'food_name_not_nonempty_string'),
+  (8, '', '', true, false, 'ingredient_fields_not_string_lists'), (9, '', '', true, false, 'duplicate_ingredient_ids'), (10, '', 'blue', true, false, 'unknown_ingredient_ids'),
+  (11, '', '', true, false, 'visible_uncertain_overlap'), (12, '', '', true, false, 'abstain_with_labels'))
+SELECT event_id, visible, unknown, abstain, parse_ok, parse_error FROM events JOIN expected ON k = event_id % 13
+UNION ALL
+SELECT event_id, '', '', true, false, 'schema_keys:missing=[''abstain'', ''food_name'', ''reason'', ''uncertain_ingredients'', ''visible_ingredients''],extra=['
+  || array_to_string([chr(39) || x || chr(39) FOR x IN list_sort(json_keys(props))], ', ') || ']'
+FROM events WHERE event_id % 13 = 0""")
 def strict_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers made from events, right and wrong in a dozen ways."""
     answer = '{{"food_name": "{n}", "visible_ingredients": [{v}], "uncertain_ingredients": [{u}], "abstain": {a}, "reason": "seen"{x}}}'
