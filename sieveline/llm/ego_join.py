@@ -28,9 +28,9 @@ from sieveline.operators.components import connected_components
 from sieveline.plans.durable import durable
 
 #: Leading coordinates of a box, and of the sort key; cells of the grid in a distance of eps.
-BOX, KEY, CELLS = 16, 8, 4
+BOX, KEY, CELLS = 16, 8, 2
 #: Rows of an interval and of a leaf; parts of an interval on the next level; partitions of the order at most.
-SPAN, LEAF, FAN, PARTITIONS = 4096, 128, 64, 4096
+SPAN, LEAF, FAN, PARTITIONS = 4096, 32, 64, 4096
 #: Bytes of vectors in an interval, rows and bytes of the sample behind the axes.
 SPAN_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 20, 4096, 32 << 20
 
