@@ -159,6 +159,11 @@ def _hot(left: DataFrame, left_by: str, right: DataFrame, right_by: str) -> Data
     return durable(a.join(b, "hot").where(F.col("n") * F.col("m") > COMPARISONS).select("hot"))
 
 
+def _without(df: DataFrame, by: str, hot: DataFrame) -> DataFrame:
+    """A durable table's rows of other values, as a durable table, so that a join on them can be split."""
+    return df if hot.isEmpty() else durable(df.join(hot, F.col(by) == F.col("hot"), "left_anti"))
+
+
 def _by_pieces(left: DataFrame, left_by: str, right: DataFrame, right_by: str, hot: DataFrame) -> DataFrame:
     """Distinct pairs (x, y) of classes that share a hot value and a piece of the sketch at the same place."""
     pieces = F.flatten(F.transform("sketch", lambda w: F.array(*[F.shiftrightunsigned(w, PIECE * k).bitwiseAND((1 << PIECE) - 1) for k in range(3)])))
@@ -234,11 +239,11 @@ def near_duplicates(
         near = near & (_differing(bits) <= _most_differing(bits, percent, SIGMAS if bits == SKETCH_BITS else 7))
     asking = durable(minor.select("key", "head").distinct().join(traits, "key"))
     hot_heads = _hot(asking, "head", traits, "at")
-    asks = sided(asking.join(hot_heads, F.col("head") == F.col("hot"), "left_anti"), "x")
+    asks = sided(_without(asking, "head", hot_heads), "x")
     to_heads = asks.join(sided(traits, "y"), (F.col("head") == F.col("ya")) & near).select("x", "y")
     placed_minor = durable(minor.select("band", "key").join(traits, "key").join(classes.select("key", "bands"), "key"))
     hot_bands = _hot(placed_minor, "band", placed_minor, "band")
-    cold = placed_minor.join(hot_bands, F.col("band") == F.col("hot"), "left_anti")
+    cold = _without(placed_minor, "band", hot_bands)
     first = F.element_at(F.array_intersect("xb", "yb"), 1) == F.col("band")
     p, q = sided(cold, "x"), sided(cold, "y").withColumnRenamed("band", "_band")
     between = p.join(q, (F.col("band") == F.col("_band")) & (F.col("x") < F.col("y")) & (F.col("xa") != F.col("ya")) & near & first)
