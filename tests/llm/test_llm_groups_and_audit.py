@@ -270,3 +270,70 @@ def test_url_filter_and_its_sql_agree_on_redirects(spark):
     want = {x[names.index("page_id")]: tuple(x[names.index(c)] for c in ("page_id", "host", "path", "rule", "verdict")) for x in found.fetchall()}
     assert {k: v for k, v in got.items() if want[k] != v} == {} and len(got) == len(rows)
     assert all(got[k][4] == "block" for k in (600, 601, 602)) and sum(v[4] == "block" and v[3] is None for v in got.values()) >= 5
+
+
+# ---------------------------------------------------------------------------------------------- the pipeline's stages
+
+def test_each_stage_against_a_plain_version(spark):
+    """Every stage on what its predecessor kept, over whole sf0.001."""
+    import hashlib
+
+    import corpus_pipeline
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    from sieveline.llm import bpe, mixing, pii, quality_model
+
+    sf = "/root/testdata/sf0.001"
+    stage = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = {r.doc_id: r for r in docs.collect()}
+
+    model = quality_model.train_quality(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = stage["quality classifier"](spark, docs, sf).cache()
+    batch = pa.RecordBatch.from_pylist([{"ord": i, "text": r.text, "label": 0} for i, r in given.items()])
+    good = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert 0.5 * len(given) < len(good) < len(given)
+    for out in quality_model._vectors([batch]):
+        for i, columns, values in zip(*(out[c].to_pylist() for c in ("ord", "columns", "values"))):
+            x = model.bias + sum(float(model.weights[c]) * float(v) for c, v in zip(np.frombuffer(columns, np.int32), np.frombuffer(values, np.float32)))
+            if abs(x - math.log(0.3 / 0.7)) > 1e-4:  # or it is as good as the threshold in single precision
+                assert (x > math.log(0.3 / 0.7)) == (i in good)
+
+    def shingles(text):
+        w = WORD.findall(lowered(text or ""))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    before = {r.doc_id: shingles(r.text) for r in kept.collect()}
+    unique = stage["near duplicates"](spark, kept, sf).cache()
+    least = {i: i for i in before}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in itertools.combinations(sorted(before), 2):
+            x, y = before[a], before[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y) and least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert {r.doc_id for r in unique.collect()} == {i for i in before if least[i] == i}
+
+    hidden = stage["pii"](spark, unique, sf).cache()
+    texts = {r.doc_id: r.text for r in hidden.collect()}
+    assert texts == {r.doc_id: pii.pseudonymise(given[r.doc_id].text)[0] for r in unique.collect()}
+
+    mixed = stage["mixing"](spark, hidden, sf).cache()
+    times = Counter(r.doc_id for r in mixed.collect())
+    planned = {r.doc_id: r for r in mixing.mix_sizes(hidden).collect()}
+    assert times == Counter({i: r.taken // r.size for i, r in planned.items() if r.taken}) and max(times.values()) <= 3
+    assert all(r.size == len(WORD.findall(texts[i])) for i, r in planned.items())
+    assert {tuple(r)[1:] for r in mixed.select("doc_id", "text", "source").collect()} <= {(r.text, r.source) for r in hidden.collect()}
+
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(corpus_pipeline.VOCABULARY), special_tokens={})
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    coded = Counter(tuple(r) for r in stage["byte-level bpe"](spark, mixed, sf).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256").collect())
+    want = Counter()
+    for i, n in times.items():
+        ids = own.encode_ordinary(texts[i])
+        want[i, given[i].source, len(ids), sha(",".join(map(str, ids)).encode()), sha(texts[i].encode())] += n
+    assert coded == want
