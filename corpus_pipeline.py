@@ -63,7 +63,8 @@ STAGES = [
     ("mixing", mixing_stage),
     ("byte-level bpe", bpe_stage),
 ]
-#: Training, hashing, random rounding and tokenizing are beyond SQL; tests hold each stage against a plain version.
+#: Training, hashing, random rounding and tokenizing are beyond SQL; a test holds each stage against a plain version of it on
+#: what its predecessor kept (the classifier's fit and the draw of the mix against plain versions of their own).
 ORACLE_SQL = None
 
 
