@@ -42,11 +42,3 @@ def read_json(path: str) -> object:
     with open(path, encoding="utf-8") as f:
         return json.load(f)
 
-
-def evidence(pages: DataFrame) -> DataFrame:
-    """Stand-in for a web search connector: pages of (food_class, query, rank, title, snippet, url, collected_at_utc) with domain and hash."""
-    from pyspark.sql import functions as F
-
-    from sieveline.functions.text import domain, evidence_hash
-
-    return pages.withColumns({"domain": domain(F.col("url")), "evidence_hash": evidence_hash(F.col("title"), F.col("snippet"), F.col("url"))})
