@@ -108,7 +108,7 @@ def test_long_words_take_no_time(spark):
     began = time.time()
     got = {w: (root == base, near) for w, _, root, _, near, _ in groups_of(spark, n)}
     assert [got[w] for w in n] == [(True, 2), (True, 1), (True, 1), (False, 0)]
-    assert time.time() - began < 60
+    assert time.time() - began < 300  # planning and waiting included; work in proportion to the square would take hours
 
 
 def test_wavelet_tree_reports_ranges():
