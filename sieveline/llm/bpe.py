@@ -32,7 +32,7 @@ from sieveline.llm.columns import map_last
 
 #: Pieces and bytes in a recursive query, bytes of pieces that go together, remembered pieces of each of two generations,
 #: ids decoded at once, pieces of one long text at once, and memory of a query.
-PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 18, 64, 400_000, 1_000_000, 200_000, 400 << 20
+PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 18, 64, 250_000, 1_000_000, 200_000, 400 << 20
 #: Bytes of a window, from one to the next, and of a window in stretches without a common token. More than MEMORY is used
 #: only where such a window has to grow: so much for each byte.
 WINDOW, STEP, LARGE, MEMORY_A_BYTE = 160, 96, 1 << 15, 1024
