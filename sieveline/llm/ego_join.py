@@ -6,10 +6,12 @@ decides about speed only. Range partitions of that order are its intervals. Ever
 coordinates and over the norm of all others, and two intervals are provably distant if their boxes are more than eps apart.
 
 Plan: pairs of intervals start at the whole sequence and are replaced by pairs of their ``FAN`` parts, level by level, in
-joins that keep what isn't distant. The intervals of the last level, about ``SPAN`` rows each, meet in one task a pair. It
-goes on in the same way down to ``LEAF`` rows, counts what is left by matrix products, decides about products near the
-threshold in double precision, and gives back sums of links and a spanning forest of them, never the links themselves.
-Equal vectors are one class with a weight, so a popular vector is one row.
+joins that keep what isn't distant. The intervals of the last level have about ``SPAN`` rows each. Neighbouring ones are
+tiles of ``TILE_BYTES`` at most, and two tiles meet in one task, which goes through their pairs of intervals: so an interval
+is sent once for each tile that it may have links with, not for each interval. For a pair the task goes on in the same way
+down to ``LEAF`` rows, counts what is left by matrix products and decides about products near the threshold in double
+precision. For a pair of tiles it gives back sums of links and a spanning forest of them, never the links themselves; rows
+have numbers there, and their keys stay behind. Equal vectors are one class with a weight, so a popular vector is one row.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from sieveline.plans.durable import durable
 BOX, KEY, CELLS = 16, 8, 2
 #: Rows of an interval and of a leaf; parts of an interval on the next level; partitions of the order at most.
 SPAN, LEAF, FAN, PARTITIONS = 4096, 32, 64, 4096
-#: Bytes of vectors in an interval, rows and bytes of the sample behind the axes.
-SPAN_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 20, 4096, 32 << 20
+#: Bytes of vectors in an interval and in a tile, rows and bytes of the sample behind the axes.
+SPAN_BYTES, TILE_BYTES, SAMPLE, SAMPLE_BYTES = 16 << 20, 16 << 20, 4096, 32 << 20
+#: A row's number is that of its block, shifted by so many bits, and its place there.
+PLACE_BITS = 32
 
 
 def _by_length(values: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -87,6 +91,13 @@ def _sort_keys(axes: dict[int, np.ndarray], eps: float):
     return run
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Doubles as bytes, as singles if these have the same values."""
+    with np.errstate(over="ignore"):
+        single = values.astype(np.float32)
+    return (single if (single == values).all() else values).tobytes()
+
+
 BLOCK = "part long, seq long, keys array<string>, copies array<long>, dims array<long>, data binary, lo array<double>, hi array<double>"
 
 
@@ -97,7 +108,7 @@ def _blocks(axes: dict[int, np.ndarray], rows: int):
         t = pa.Table.from_batches(held).combine_chunks()
         values, lengths = _flat(t["vector"].chunk(0))
         traits = np.concatenate([_traits(_units(x), axes) for _, _, x in _by_length(values, lengths)])
-        cells = (t["part"][0].as_py(), seq, t["key"].to_pylist(), t["copies"].to_pylist(), lengths, values.tobytes(), traits.min(axis=0), traits.max(axis=0))
+        cells = (t["part"][0].as_py(), seq, t["key"].to_pylist(), t["copies"].to_pylist(), lengths, _packed(values), traits.min(axis=0), traits.max(axis=0))
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.float64()))
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], ["part", "seq", "keys", "copies", "dims", "data", "lo", "hi"])
 
@@ -195,6 +206,8 @@ def count_links(a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray, sa
         for first, last in zip(*_consecutive(right[at:end])):
             j0, j1 = right[at + first] * LEAF, min((right[at + last - 1] + 1) * LEAF, len(b))
             product = fa[i0:i1] @ fb[j0:j1].T
+            if product.max() < cosine - doubt:
+                continue
             hit = product >= cosine + doubt
             open_ = (product >= cosine - doubt) & ~hit
             if open_.any():
@@ -223,30 +236,56 @@ def _consecutive(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _runs(np.sort(values) - np.arange(len(values)))
 
 
-def _side(rows: list[dict]) -> dict[int, tuple[np.ndarray, np.ndarray, list[str]]]:
-    """For each length: vectors, weights and keys of an interval's blocks, in order."""
-    out: dict[int, list] = {}
-    for r in sorted(rows, key=lambda r: (r["part"], r["seq"])):
-        for dim, at, x in _by_length(np.frombuffer(r["data"], np.float64), np.array(r["dims"], np.int64)):
-            out.setdefault(dim, []).append((x, np.array(r["copies"], np.int64)[at], [r["keys"][i] for i in at]))
-    return {d: (np.concatenate([x for x, _, _ in p]), np.concatenate([w for _, w, _ in p]), [k for *_, ks in p for k in ks]) for d, p in out.items()}
+def _side(rows: dict[str, pa.ChunkedArray], at: list[int]) -> list[tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]]:
+    """For each of a tile's blocks, in order: its box, and for each length vectors, weights and numbers of rows."""
+    out = []
+    for k in at:
+        lengths = rows["dims"][k].values.to_numpy()
+        data = rows["data"][k].as_buffer()
+        values = np.frombuffer(data, np.float64 if data.size == 8 * lengths.sum() else np.float32)
+        copies, block = rows["copies"][k].values.to_numpy(), rows["block"][k].as_py()
+        kinds = {dim: (x, copies[i], (block << PLACE_BITS) + i) for dim, i, x in _by_length(values, lengths)}
+        out.append((rows["lo"][k].values.to_numpy(), rows["hi"][k].values.to_numpy(), kinds))
+    return out
 
 
 def _compare(cosine: float, axes: dict[int, np.ndarray]):
-    schema = pa.schema([("key", pa.string()), ("links", pa.int64()), ("root", pa.string())])
+    schema = pa.schema([("num", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+    eps = math.sqrt(max(2 - 2 * cosine, 0))
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        same = rows[0]["a"] == rows[0]["b"]
-        sides = [_side([r for r in rows if r["side"] == s]) for s in ((0,) if same else (0, 1))]
-        found = []
-        for dim in sides[0].keys() & sides[-1].keys():
-            (a, wa, ka), (b, wb, kb) = sides[0][dim], sides[-1][dim]
-            to_a, to_b, root = count_links(a, b, wa, wb, same, cosine, axes)
-            links, keys = (to_a + to_b, ka) if same else (np.concatenate([to_a, to_b]), ka + kb)
-            at = np.flatnonzero(links > 0)
-            found += [(keys[i], int(links[i]), keys[root[i]]) for i in at]
-        return pa.Table.from_pylist([dict(zip(("key", "links", "root"), f)) for f in found], schema=schema)
+        columns = {c: table[c] for c in ("dims", "data", "copies", "block", "lo", "hi")}
+        side, block = (table[c].to_numpy() for c in ("side", "block"))
+        same = table["a"][0] == table["b"][0]
+        places = [[k for k in np.argsort(block).tolist() if side[k] == s] for s in (0, 1)]
+        left = _side(columns, places[0])
+        right = left if same else _side(columns, places[1])
+        blocks = left if same else left + right
+        first: dict[tuple[int, int], int] = {}  # of a block's rows of a length, among all rows of the two tiles
+        n = 0
+        for k, (_, _, kinds) in enumerate(blocks):
+            for dim, (x, _, _) in kinds.items():
+                first[k, dim] = n
+                n += len(x)
+        links, forest = np.zeros(n, np.int64), Forest(n)
+        for i, (a_lo, a_hi, a_kinds) in enumerate(left):
+            for j, (b_lo, b_hi, b_kinds) in enumerate(right):
+                if same and j < i or _gaps(a_lo[None], a_hi[None], b_lo[None], b_hi[None])[0] > eps * eps * (1 + 1e-9) + 1e-12:
+                    continue
+                own = same and i == j
+                for dim in a_kinds.keys() & b_kinds.keys():
+                    (a, wa, _), (b, wb, _) = a_kinds[dim], b_kinds[dim]
+                    to_a, to_b, root = count_links(a.astype(np.float64), b.astype(np.float64), wa, wb, own, cosine, axes)
+                    at = [first[i, dim] + np.arange(len(a))]
+                    links[at[0]] += to_a
+                    at.append(first[j if same else len(left) + j, dim] + np.arange(len(b)))
+                    links[at[1]] += to_b
+                    rows = at[0] if own else np.concatenate(at)
+                    linked = np.flatnonzero(root != np.arange(len(root)))
+                    forest.link(rows[linked], rows[root[linked]])
+        num = np.concatenate([number for _, _, kinds in blocks for _, _, number in kinds.values()])
+        at = np.flatnonzero(links)
+        return pa.Table.from_arrays([pa.array(num[at]), pa.array(links[at]), pa.array(num[forest.root[at]])], schema=schema)
 
     return run
 
@@ -281,6 +320,20 @@ def near_intervals(boxes: DataFrame, eps: float, fan: int = FAN) -> DataFrame:
     return pairs.select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
+def tile_spans(spans: int | None, span_bytes: int | None, cores: int) -> int:
+    """How many intervals make a tile: as many as TILE_BYTES hold, but so few that each core gets about four pairs of tiles."""
+    return max(min(TILE_BYTES // max(span_bytes or 1, 1), (spans or 1) // math.ceil(math.sqrt(8 * cores))), 1)
+
+
+def met_tiles(pairs: DataFrame, tile: int) -> DataFrame:
+    """(a, b, side, span): the intervals that each pair of tiles needs of its first (side 0) and second tile."""
+    of = lambda c: F.floor(F.col(c) / F.lit(tile)).cast("long")
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("span")), F.struct(F.lit(1).alias("side"), F.col("b").alias("span")))
+    each = pairs.select(of("a").alias("ta"), of("b").alias("tb"), F.explode(ends).alias("m"))
+    side = F.when(F.col("ta") == F.col("tb"), 0).otherwise(F.col("m.side"))
+    return each.select(F.col("ta").alias("a"), F.col("tb").alias("b"), side.alias("side"), F.col("m.span").alias("span")).distinct()
+
+
 def linked_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", span: int = SPAN) -> DataFrame:
     """One row for each row of ``vectors``: id_col, n_links, component_id, kept.
 
@@ -310,21 +363,22 @@ def linked_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_i
     most = blocks.agg(F.max("part"), F.max("seq")).first()
     parts, each = (most[0] or 0) + 1, (most[1] or 0) + 1
     together = max(parts * span // max(n, 1), 1) if each == 1 else 1  # where there are more partitions than asked for
-    placed = blocks.withColumn("span", F.floor((F.col("part") * each + F.col("seq")) / F.lit(together)).cast("long"))
-    pairs = durable(near_intervals(placed.select("span", "lo", "hi"), eps))
-    met = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("s")), F.struct(F.lit(1).alias("side"), F.col("b").alias("s")))).alias("m"))
-    met = met.select("a", "b", "m.side", F.col("m.s").alias("s")).where("side = 0 or a <> b")
-    tasks = pairs.count()
-    tasks = max(min(tasks, max(4 * spark.sparkContext.defaultParallelism, tasks // 16)), 1)
-    held = met.join(placed.drop("lo", "hi"), F.col("s") == F.col("span")).drop("s", "span").repartition(tasks, "a", "b")
-    found = durable(held.groupBy("a", "b").applyInArrow(_compare(cosine, axes), "key string, links long, root string"))
-    groups = durable(connected_components(found.where("key <> root"), "key", "root"))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    block = F.col("part") * each + F.col("seq")
+    placed = blocks.withColumn("block", block).withColumn("span", F.floor(block / F.lit(together)).cast("long"))
+    tile = tile_spans(*placed.agg(F.max("span") + 1, F.max(F.octet_length("data")) * together).first(), spark.sparkContext.defaultParallelism)
+    met = durable(met_tiles(near_intervals(placed.select("span", "lo", "hi"), eps), tile))
+    tasks = met.select("a", "b").distinct().count()
+    tasks = max(min(tasks, max(8 * spark.sparkContext.defaultParallelism, tasks // 16)), 1)
+    held = met.join(placed.drop("part", "seq", "keys"), "span").drop("span").repartition(tasks, "a", "b")
+    found = durable(held.groupBy("a", "b").applyInArrow(_compare(cosine, axes), "num long, links long, root long"), tasks)
+    groups = connected_components(found.where("num <> root"), "num", "root").withColumnRenamed("node", "num")
+    links = found.groupBy("num").agg(F.sum("links").alias("links"))
+    numbered = placed.select(F.shiftleft("block", PLACE_BITS).alias("first"), F.posexplode("keys").alias("at", "key")).select("key", (F.col("first") + F.col("at")).alias("num"))
+    placed_classes = durable(classes.select("key", "copies", "least").join(numbered, "key"))
     named = durable(
-        classes.select("key", "copies", "least")
-        .join(links, "key", "left")
-        .join(groups.withColumnRenamed("node", "key"), "key", "left")
-        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("group"))
+        placed_classes.join(links, "num", "left")
+        .join(durable(groups), "num", "left")
+        .select("key", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "num").alias("group"))
     )
     least = named.groupBy("group").agg(F.min("least").alias("component"))
     of = durable(named.join(least, "group").select(F.col("key").alias("_key"), "n_links", "component"))

@@ -209,6 +209,26 @@ def test_grid_order_join(spark, span):
     assert ego_join.linked_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tile", [3, 100])
+def test_tiles_of_intervals_meet(spark, monkeypatch, tile):
+    r = np.random.default_rng(16)
+    x = np.repeat(r.standard_normal((150, 8)), 3, axis=0) + 0.15 * r.standard_normal((450, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500 + i, v.astype(np.float32).tolist()) for i, v in enumerate(x[:60])] + [(900, [1.0, 2.0]), (901, [1.0, 2.1]), (902, [3.0, -2.0])]
+    monkeypatch.setattr(ego_join, "tile_spans", lambda *_: tile)
+    got = ego_join.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), span=1).collect()
+    assert sorted(map(tuple, got)) == sorted(plain_links(rows, 0.9))
+
+
+def test_an_interval_is_sent_for_tiles_not_for_intervals(spark):
+    every = spark.range(40).crossJoin(spark.range(40).toDF("b")).toDF("a", "b").where("a <= b")
+    got = [tuple(r) for r in ego_join.met_tiles(every, 10).collect()]
+    assert len(got) == len(set(got)) == 4 * 40  # 1,600 if each pair were sent on its own
+    assert {t[3] for t in got if t[:3] == (0, 0, 0)} == set(range(10)) and {t[3] for t in got if t[:3] == (1, 3, 1)} == set(range(30, 40))
+    assert not [t for t in got if t[0] == t[1] and t[2]]
+    assert ego_join.tile_spans(10**4, 1 << 20, 12) == 16 and ego_join.tile_spans(40, 1 << 20, 12) == 4 and ego_join.tile_spans(None, None, 1) == 1
+    assert len(ego_join._packed(np.array([0.5, -3.0]))) == 8 and len(ego_join._packed(np.array([0.1, 1e300]))) == 16
+
+
 def test_links_of_blocks_and_leaves_left_out(monkeypatch):
     monkeypatch.setattr(ego_join, "LEAF", 8)
     r = np.random.default_rng(8)
