@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.functions.text import hash_bits, short_id
@@ -17,6 +17,9 @@ MOST_DISTANCE = 2
 #: Comparisons of a band's value from which on its hashes are banded again, and how often that may be. After the last time
 #: at most eight bits are left, so no value has more than 256 hashes of a side.
 MOST_COMPARISONS, LEVELS = 1 << 20, 5
+#: Bits in which the hashes of a band's value differ up to which they meet at the hashes between them instead. So many values
+#: are sent to every task rather than shuffled.
+MOST_FLIPS, SENT_VALUES = 32, 10_000
 
 
 def _check(distance: int, least: int = 0) -> None:
@@ -56,22 +59,63 @@ def _banded(rows: DataFrame, level: int) -> DataFrame:
     return each.select("hash", "x", (F.col("path") * bands + F.col("band")).alias("path"), F.col("x").bitwiseAND(F.col("mask")).alias("key"))
 
 
+def _first(apart: Column, level: int) -> Column:
+    """Whether a path is the first common one of hashes that differ in these bits, or may be if these are all that differ anywhere."""
+    before = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]).cast("array<long>") for _, _, masks in band_tree()[level + 1]])
+    return F.forall(F.element_at(before, F.col("path") + 1), lambda m: apart.bitwiseAND(m) != 0)
+
+
 def _compared(left: DataFrame, right: DataFrame, level: int, distance: int) -> DataFrame:
     """Pairs within a band's value, each from its first common path only."""
-    before = F.array(*[F.array(*[F.lit(_signed(m)) for m in masks]).cast("array<long>") for _, _, masks in band_tree()[level + 1]])
     a, b = (df.select("path", "key", F.col("hash").alias(n), F.col("x").alias(n + "x")) for df, n in ((left, "a"), (right, "b")))
     apart = F.col("ax").bitwiseXOR(F.col("bx"))
     d = F.bit_count(apart)
-    first = F.forall(F.element_at(before, F.col("path") + 1), lambda m: apart.bitwiseAND(m) != 0)
-    return a.join(b, ["path", "key"]).where((d <= distance) & first).select("a", "b", d.cast("int").alias("distance"))
+    return a.join(b, ["path", "key"]).where((d <= distance) & _first(apart, level)).select("a", "b", d.cast("int").alias("distance"))
+
+
+def _flipped(rows: DataFrame, flips: bool) -> DataFrame:
+    """Each hash (its string only where its bits don't tell it) with no bit flipped (-1) and, with ``flips``, with each of ``bits``."""
+    bit = F.explode("bits") if flips else F.lit(-1).cast("byte")
+    each = rows.select("path", F.when(F.col("hash") != _hash_of("x"), F.col("hash")).alias("odd"), "x", bit.alias("bit"))
+    return each.withColumn("mid", F.when(F.col("bit") < 0, F.col("x")).otherwise(F.expr("x ^ shiftleft(1L, bit)")))
+
+
+def _hash_of(x: str) -> Column:
+    return F.lower(F.lpad(F.hex(x), 16, "0"))
+
+
+def _met_between(left: DataFrame, right: DataFrame, level: int, distance: int) -> DataFrame:
+    """Pairs within a band's value whose hashes may differ in ``bits`` only, each from its first common path only.
+
+    Hashes two bits apart meet where the first has the lower of these flipped and the second the higher, hashes one bit apart
+    where the first has it flipped; so nothing is compared but what is near, or one hash with itself.
+    """
+    a, b = (
+        _flipped(df, distance >= least).select("path", "mid", F.col("odd").alias(n), F.col("x").alias(n + "x"), F.col("bit").alias(n + "bit")) for df, n, least in ((left, "a", 1), (right, "b", 2))
+    )
+    apart = F.col("ax").bitwiseXOR(F.col("bx"))
+    once = (F.col("bbit") < 0) | ((F.col("abit") >= 0) & (F.col("abit") < F.col("bbit")))
+    met = a.join(b, ["path", "mid"]).where(once & _first(apart, level))
+    return met.select(F.coalesce("a", _hash_of("ax")).alias("a"), F.coalesce("b", _hash_of("bx")).alias("b"), F.bit_count(apart).cast("int").alias("distance"))
+
+
+def _hot_values(a: DataFrame, b: DataFrame, level: int, most: int) -> DataFrame:
+    """(path, key, bits, productive): values of bands that would take more than ``most`` comparisons, the bits in which their
+    hashes differ after a -1, and whether any pair of them can have its first common path here."""
+    counted = lambda df, n: df.groupBy("path", "key").agg(F.count("*").alias(n), F.bit_and("x").alias(n + "_and"), F.bit_or("x").alias(n + "_or"))
+    hot = counted(a, "n").join(counted(b, "m"), ["path", "key"]).where(F.col("n") * F.col("m") > most)
+    apart = F.expr("(n_or | m_or) ^ (n_and & m_and)")
+    bits = F.concat(F.array(F.lit(-1)), F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("apart"), i) == 1)).cast("array<byte>")
+    return hot.select("path", "key", apart.alias("apart")).select("path", "key", bits.alias("bits"), _first(F.col("apart"), level).alias("productive"))
 
 
 def near_hashes(left: DataFrame, right: DataFrame, distance: int = MOST_DISTANCE, most: int = MOST_COMPARISONS) -> DataFrame:
     """(a, b, distance) for hashes (16 hex characters, column hash) of the two tables at most ``distance`` bits apart.
 
     Both sides are reduced to distinct hashes before they are banded, so a popular hash is one row. The hashes of a band's
-    value that would need more than ``most`` comparisons are banded again by the bits left, as near ones differ in these
-    only. A pair comes from its first common path of bands only, so nothing needs to be made distinct again.
+    value that would need more than ``most`` comparisons meet at the hashes between them if they differ in few bits in all
+    (dense ones, of which banding leaves many together), and else are banded again by the bits left, as near ones differ in
+    these only. A pair comes from its first common path of bands only, so nothing needs to be made distinct again.
     """
     _check(distance)
     side = lambda df: df.where("hash <> ''").select("hash").distinct().select("hash", hash_bits(F.col("hash")).alias("x"), F.lit(0).alias("path"))
@@ -79,13 +123,23 @@ def near_hashes(left: DataFrame, right: DataFrame, distance: int = MOST_DISTANCE
     found = []
     for level in range(LEVELS):
         a, b = _banded(a, level), _banded(b, level)
-        sizes = a.groupBy("path", "key").agg(F.count("*").alias("n")).join(b.groupBy("path", "key").agg(F.count("*").alias("m")), ["path", "key"])
-        hot = durable(sizes.where(F.col("n") * F.col("m") > most).select("path", "key"))
-        if level == LEVELS - 1 or hot.isEmpty():
+        hot = durable(_hot_values(a, b, level, most))
+        dense = F.size("bits") <= MOST_FLIPS + 1
+        values, flipped, again = hot.agg(F.count("*"), F.count_if(F.col("productive") & dense), F.count_if(F.col("productive") & ~dense)).first()
+        if not values:
             found.append(_compared(a, b, level, distance))
             break
-        found.append(_compared(a.join(hot, ["path", "key"], "left_anti"), b.join(hot, ["path", "key"], "left_anti"), level, distance))
-        a, b = (durable(df.join(hot, ["path", "key"], "left_semi").select("hash", "x", "path")) for df in (a, b))
+        if values <= SENT_VALUES:
+            hot = F.broadcast(hot)
+        if flipped:
+            found.append(_met_between(*(df.join(hot.where("productive").where(dense), ["path", "key"]) for df in (a, b)), level, distance))
+        last = level == LEVELS - 1
+        apart = hot.where(~F.col("productive") | dense) if last else hot
+        found.append(_compared(*(df.join(apart.select("path", "key"), ["path", "key"], "left_anti") for df in (a, b)), level, distance))
+        if last or not again:
+            break
+        left_over = hot.where("productive").where(~dense)
+        a, b = (durable(df.join(left_over, ["path", "key"], "left_semi").select("hash", "x", "path")) for df in (a, b))
     return functools.reduce(DataFrame.unionByName, found)
 
 

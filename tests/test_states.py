@@ -159,6 +159,25 @@ def test_a_hot_bands_comparisons_are_bounded(spark):
     assert compared < 50_000**2 / 20 and all(len(left) == 3 for row in D.band_tree() for _, left, _ in row)
 
 
+def test_dense_hashes_meet_between_and_are_one_row_a_bit(spark):
+    r = np.random.default_rng(17)
+    dense = r.choice(1 << 12, 700, replace=False).astype(np.uint64)
+    x = np.concatenate([dense, dense[:50] << np.uint64(50), r.integers(0, 1 << 63, 60, dtype=np.uint64)]).tolist()
+    names = [f"{v:016X}" if i % 7 == 0 else f"{v:016x}" for i, v in enumerate(x)]
+    df = spark.createDataFrame([(n,) for n in names], "hash string")
+    some = spark.createDataFrame([(n,) for n in names[::2]], "hash string")
+    for most in (1 << 20, 64, 0):
+        for distance in (0, 1, 2):
+            want = {(a, b, d) for a, v in zip(names, x) for b, w in zip(names[::2], x[::2]) if (d := bin(v ^ w).count("1")) <= distance}
+            got = [tuple(v) for v in D.near_hashes(df, some, distance, most).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    sides = D._banded(df.limit(700).select("hash", T.hash_bits(F.col("hash")).alias("x"), F.lit(0).alias("path")), 0)
+    hot = D._hot_values(sides, sides, 0, 64).collect()
+    assert {(h.path, len(h.bits), h.productive) for h in hot} == {(0, 13, True), (1, 13, False)}  # the second path's pairs all have the first
+    met = D._flipped(sides.join(D._hot_values(sides, sides, 0, 64), ["path", "key"]).where("path = 0"), True)
+    assert met.count() == 700 * 13 and met.groupBy("mid").count().agg(F.max("count")).first()[0] <= 13
+
+
 # ---------------------------------------------------------------------------------------------- stores and streams
 
 def test_a_batch_touches_its_buckets_and_a_replay_nothing(spark, tmp_path):
