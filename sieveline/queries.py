@@ -25,7 +25,7 @@ from sieveline.operators import records as R
 from sieveline.operators import sampling as S
 from sieveline.operators import validation as V
 from sieveline.operators.evidence import source_votes
-from sieveline.plans.durable import delete_folder, durable, shared_folder
+from sieveline.plans.durable import bytes_read, delete_folder, durable, shared_folder
 from sieveline.plans.provenance import differing_leaves, table_digest, tree_root
 from sieveline.sources import recipes
 from sieveline.sources.evidence import collect_evidence, stream_evidence
@@ -38,6 +38,8 @@ ORACLES: dict[str, str] = {}
 THRESHOLD = 0.5
 GRID = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 ITERATIONS = 2000
+#: Bytes of a stream's files for each of its state stores.
+STATE_BYTES = 1 << 20
 
 
 def query(sql: str | None = None) -> Callable:
@@ -951,23 +953,28 @@ def latest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _few_states(spark: SparkSession):
+def _few_states(spark: SparkSession, states: int = 8):
     """A stream's states live in as many stores as there are shuffle partitions when it starts; these small ones need few."""
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), 8)))
+    spark.conf.set(name, str(min(int(before), states)))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def _run_into_store(spark: SparkSession, changes: DataFrame, key: str, order: str, first: bool = False) -> DataFrame:
+def _states(source: DataFrame) -> int:
+    """Stores for a stream over ``source``: one for each STATE_BYTES, so that none grows with it, and 8 at least."""
+    return max(8, -(-bytes_read(source) // STATE_BYTES))
+
+
+def _run_into_store(spark: SparkSession, changes: DataFrame, key: str, order: str, first: bool = False, states: int = 8) -> DataFrame:
     """Run a stream over all that is there into a bucketed store; the store's rows, kept on their own."""
     folder = shared_folder(spark, "stream")
     try:
-        with _few_states(spark):
-            run = upsert(changes, f"{folder}/store", key, order, f"{folder}/checkpoint", 16, first).outputMode("update").trigger(availableNow=True).start()
+        with _few_states(spark, states):
+            run = upsert(changes, f"{folder}/store", key, order, f"{folder}/checkpoint", max(16, states), first).outputMode("update").trigger(availableNow=True).start()
             run.awaitTermination()
         return durable(BucketedStore(spark, f"{folder}/store", key, order).table())
     finally:
@@ -982,7 +989,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id AS key, event_id AS seq, event_type AS decision FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def decision_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``latest_decisions`` as a stream with keyed state, whose changes go to a bucketed store."""
-    return _run_into_store(spark, last_decisions(_event_stream(spark, sf_dir), "user_id", "event_id", "event_type"), "key", "seq").select("key", "seq", "decision")
+    return _run_into_store(spark, last_decisions(_event_stream(spark, sf_dir), "user_id", "event_id", "event_type"), "key", "seq", states=_states(table(spark, sf_dir, "events"))).select("key", "seq", "decision")
 
 
 @query("""
@@ -994,7 +1001,7 @@ def work_queue_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = work_queue(events.withColumn("ts", F.col("ts").cast("timestamp")), "item", "ts", "event_type = 'purchase'")
     # of an item's states done is the last, and a later try comes after an earlier one
     ranked = states.withColumn("rank", F.when(F.col("state") == "done", 1 << 40).otherwise(F.col("tries")))
-    return _run_into_store(spark, ranked, "key", "rank").select("key", "state")
+    return _run_into_store(spark, ranked, "key", "rank", states=_states(table(spark, sf_dir, "events"))).select("key", "state")
 
 
 @query("SELECT event_type, round(avg(CASE WHEN json_valid(props) THEN 1.0 ELSE 0.0 END), 9) AS parse_success_rate, count(*) AS rows FROM events GROUP BY event_type")

@@ -266,6 +266,37 @@ def test_work_is_given_out_again_until_it_is_done(spark, tmp_path):
     assert step([("b", 4001, True)]) == [("b", "done", 2)]
 
 
+def test_stores_of_a_stream_grow_with_its_bytes_and_a_key_takes_few_calls(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace as Stub
+
+    from pyspark.sql.types import LongType
+
+    from sieveline import queries as core
+
+    spark.range(200_000).write.parquet(str(tmp_path / "events.parquet"))
+    source = spark.read.parquet(str(tmp_path / "events.parquet"))
+    assert core._states(source) == 8
+    monkeypatch.setattr(core, "STATE_BYTES", 1 << 14)
+    assert core._states(source) > 20
+    monkeypatch.setattr(core, "STATE_BYTES", 1 << 13)
+    with core._few_states(spark, core._states(source)):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4"  # the session's own is the most
+
+    calls = []
+    kept = lambda name, value=None: lambda *a: calls.append((name, *a)) or value
+    queue = W.Queue(100, LongType())
+    queue.handle = Stub(registerTimer=kept("timer"))
+    queue.items = Stub(get=kept("get", []), put=kept("put"), appendList=kept("append"))
+    rows = [{"name": str(k), "key": k, "is_result": k == 7, "ms": 5 + k} for k in range(50)] * 2
+    assert len(list(queue.handleInputRows((0,), iter(rows), Stub(getCurrentWatermarkInMs=lambda: 0)))) == 50
+    assert [c[0] for c in calls] == ["get", "append", "timer"] and calls[-1] == ("timer", 105)
+    items = calls[1][1]
+    calls.clear()
+    queue.items.get = kept("get", items)
+    again = list(queue.handleExpiredTimer((0,), Stub(getCurrentWatermarkInMs=lambda: 120), Stub(getExpiryTimeInMs=lambda: 105)))
+    assert sorted((r.key, r.tries) for r in again) == [(k, 2) for k in range(15) if k != 7] and calls[-1] == ("timer", 120)
+
+
 def test_a_prompt_names_keys_ids_and_rules():
     from sieveline.functions.ontology import Label, Ontology
 
