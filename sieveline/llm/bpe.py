@@ -28,11 +28,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.columns import map_last
+from sieveline.llm.columns import map_last, release
 
 #: Pieces and bytes in a recursive query, bytes of pieces that go together, remembered pieces of each of two generations,
 #: ids decoded at once, pieces of one long text at once, and memory of a query.
-PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 18, 64, 400_000, 1_000_000, 200_000, 400 << 20
+PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 16, 64, 400_000, 1_000_000, 50_000, 400 << 20
+#: Bytes of a generation's pieces and ids, and of those at hand as Python's objects, by an estimate from above for each
+#: piece and each of its characters.
+REMEMBERED_BYTES, HELD, A_PIECE, A_CHARACTER = 16 << 20, 24 << 20, 160, 16
 #: Bytes of a window, from one to the next, and of a window in stretches without a common token. More than MEMORY is used
 #: only where such a window has to grow: so much for each byte.
 WINDOW, STEP, LARGE, MEMORY_A_BYTE = 160, 96, 1 << 15, 1024
@@ -109,6 +112,40 @@ class Part:
         return (self.ends(sizes) << 20) + sizes[self.ids]
 
 
+class Remembered:
+    """Ids of pieces in arrays by hash: some 40 bytes for a piece, of which Python's objects take four times as much."""
+
+    def __init__(self) -> None:
+        self.hashes, self.places, self.data = np.zeros(0, np.int64), np.zeros((3, 0), np.int32), b""
+
+    def find(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of those pieces that are here."""
+        if not len(self.hashes):
+            return {}
+        wanted, out = _hashes(pieces), {}
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        same = np.flatnonzero(self.hashes[at] == wanted)
+        for i, begin, middle, end in zip(same.tolist(), *self.places[:, at[same]].tolist()):
+            if self.data[begin:middle] == pieces[i].encode():
+                out[pieces[i]] = self.data[middle:end]
+        return out
+
+    def add(self, ids: dict[str, bytes]) -> None:
+        """Further pieces, none of which is here."""
+        cells = [x for piece, i in ids.items() for x in (piece.encode(), i)]
+        ends = len(self.data) + np.cumsum(np.fromiter(map(len, cells), np.int64, len(cells)))
+        places = np.stack([np.append(len(self.data), ends)[:-1:2], ends[::2], ends[1::2]])
+        hashes = _hashes(list(ids))
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.places = np.insert(self.hashes, at, hashes[order]), np.insert(self.places, at, places[:, order], axis=1)
+        self.data += b"".join(cells)
+
+
+def _hashes(pieces: list[str]) -> np.ndarray:
+    return np.fromiter(map(hash, pieces), np.int64, len(pieces))
+
+
 class Coder:
     """One for each worker process; holds the vocabulary and a DuckDB connection with bounded memory."""
 
@@ -132,7 +169,8 @@ class Coder:
                 self.known[token.decode()] = np.int32(rank).tobytes()
             except UnicodeDecodeError:
                 continue
-        self.fixed, self.older = len(self.known), {}
+        self.fixed, self.held, self.fresh = len(self.known), 0, {}
+        self.young, self.older = Remembered(), Remembered()
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         self.sizes[list(self.ranks.values())] = [len(t) for t in self.ranks]
 
@@ -222,12 +260,17 @@ class Coder:
         return np.concatenate([p.ids[a:b] for p, a, b in zip(parts, first, last)])
 
     def _learn(self, pieces: Iterable[str]) -> None:
-        wanted = set(pieces).difference(self.known)
-        again = wanted & self.older.keys()
-        self.known.update((p, self.older[p]) for p in again)
-        new = sorted((p.encode() for p in wanted - again), key=len)
+        wanted = list(set(pieces).difference(self.known))
+        self.held += A_PIECE * len(wanted) + A_CHARACTER * sum(map(len, wanted))
+        here = self.young.find(wanted)
+        wanted = [p for p in wanted if p not in here]
+        again = self.older.find(wanted)
+        new = sorted((p.encode() for p in wanted if p not in again), key=len)
         short = [x for x in new if len(x) <= WINDOW]
-        self.known.update(zip([x.decode() for x in short], [x.tobytes() for x in self._contracted(short)]))
+        again.update(zip([x.decode() for x in short], [x.tobytes() for x in self._contracted(short)]))
+        self.fresh.update(again)
+        self.known.update(here)
+        self.known.update(again)
         for raw in new[len(short) :]:
             starts = range(0, max(len(raw) - WINDOW, 0) + STEP, STEP)
             windows = [raw[a : a + WINDOW] for a in starts]
@@ -251,11 +294,17 @@ class Coder:
         return b"".join(out)
 
     def _tidy(self) -> None:
-        """Pieces that two generations of texts don't use again are forgotten."""
-        if len(self.known) > self.fixed + REMEMBERED:
-            found = iter(self.known.items())
-            self.known = dict(itertools.islice(found, self.fixed))
-            self.older = dict(found)
+        """Pieces that two generations of texts don't use again are forgotten.
+
+        Pieces at hand go to the arrays from time to time, and what is free then goes back to the machine.
+        """
+        if self.held <= HELD:
+            return
+        if len(self.young.hashes) > REMEMBERED or len(self.young.data) > REMEMBERED_BYTES:
+            self.young, self.older = Remembered(), self.young
+        self.young.add(self.fresh)
+        self.known, self.held, self.fresh = dict(itertools.islice(self.known.items(), self.fixed)), 0, {}
+        release()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit numbers side by side."""
@@ -280,7 +329,7 @@ class Coder:
 
 
 #: Characters of the texts that are encoded together; a longer text is alone.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 
 def _groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:

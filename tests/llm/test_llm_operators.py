@@ -631,6 +631,34 @@ def test_pieces_are_remembered_for_two_generations(monkeypatch):
     assert asked.count(b"qxzv") == 1 and [coder.encode([t])[0] for t in texts] == first
 
 
+def test_remembered_pieces_take_a_bounded_part_of_a_worker():
+    import tracemalloc
+
+    import public_tokenizers as P
+
+    coder, r = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8)
+    words = ["".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(380_000)]
+    texts = [" ".join(words[i : i + 5000]) for i in range(0, len(words), 5000)]
+    tracemalloc.start()
+    first = [coder.encode([t])[0] for t in texts]
+    size = tracemalloc.get_traced_memory()[0] - sum(map(len, first))
+    tracemalloc.stop()
+    assert size < 100 * len(words)
+    coder._contract = None  # all are remembered
+    assert [coder.encode([t])[0] for t in texts] == first
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(bpe, "_hashes", lambda pieces: np.zeros(len(pieces), np.int64))
+    memory = bpe.Remembered()
+    memory.add({})
+    assert memory.find(["a"]) == {}
+    memory.add({"a": b"1234"})
+    memory.add({"é": b"56789abc"})
+    got = memory.find(["a", "é", "b"])
+    assert got and got.items() <= {"a": b"1234", "é": b"56789abc"}.items()
+
+
 def test_a_slow_rule_goes_after_a_fast_one(spark):
     sample = spark.createDataFrame([(f"text {i} " * 200, i) for i in range(400)], "text string, n_words int")
     hits = F.col("n_words") % 2 == 0
