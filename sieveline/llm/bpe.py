@@ -32,7 +32,7 @@ from sieveline.llm.columns import map_last, release
 
 #: Pieces and bytes in a recursive query, bytes of pieces that go together, remembered pieces of each of two generations,
 #: ids decoded at once, pieces of one long text at once, and memory of a query.
-PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 16, 64, 400_000, 1_000_000, 50_000, 400 << 20
+PIECES, PIECE_BYTES, SHORT, REMEMBERED, DECODED, AT_ONCE, MEMORY = 20_000, 1 << 17, 64, 400_000, 1_000_000, 100_000, 400 << 20
 #: Bytes of a generation's pieces and ids, and of those at hand as Python's objects, by an estimate from above for each
 #: piece and each of its characters.
 REMEMBERED_BYTES, HELD, A_PIECE, A_CHARACTER = 16 << 20, 24 << 20, 160, 16
@@ -329,7 +329,7 @@ class Coder:
 
 
 #: Characters of the texts that are encoded together; a longer text is alone.
-GROUP = 1 << 18
+GROUP = 1 << 19
 
 
 def _groups(texts: list[str], most: int = GROUP) -> Iterator[tuple[int, int]]:
