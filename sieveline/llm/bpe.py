@@ -3,9 +3,14 @@
 Texts are cut into pieces by the tokenizer's pattern. Pieces that are a token are looked up; each other distinct piece
 becomes token-position rows of a recursive query: the rows join the merge table, every piece contracts its leftmost pair
 of least rank, and pieces without a pair drop out, until none is left. The query is keyed by place, so it holds each
-place once, whatever the number of steps. Decoding joins the ids to the vocabulary and aggregates the bytes in order.
-Blocks of pieces and of ids are bounded, so memory doesn't grow with the partition or with a piece, and a bounded memory of
-pieces serves later texts.
+place once, whatever the number of steps. Decoding selects the ids from the vocabulary and joins their bytes. Blocks of
+pieces and of ids are bounded, so memory doesn't grow with the partition or with a piece, and a bounded memory of pieces
+serves later texts.
+
+The query begins by contracting at once all pairs of bytes that no other merge can come before: none of lower rank joins
+their right byte with what begins by the next byte, or their left byte with what ends by the byte before (where that one's
+rank must not be equal either, as the leftmost comes first). Such a pair stays as it is until its turn, and so it may have
+its turn now, if its token isn't joined at a lower rank than its own with what begins or ends so, either.
 
 A piece longer than ``WINDOW`` bytes is cut into windows that overlap, which are contracted side by side, and two windows
 are spliced at a token that both have at the same place. That gives the piece's own ids: a row of tokens is what contraction
@@ -44,10 +49,14 @@ IDS, BYTES = {"ids": ("ids", "array<int>")}, {"decoded": ("decoded", "binary")}
 PAIRS = """
      FROM t a JOIN t b ON a.w = b.w AND a.e = b.p JOIN merges m ON m.pair = CAST(a.tok AS BIGINT) * 65536 + b.tok
      WHERE a.tok >= 0 AND b.tok >= 0"""
-#: A place whose byte went into the token before it has tok -1.
+#: A place whose byte went into the token before it has tok -1, or is left out if it did so at the beginning.
 CONTRACT = f"""
-WITH RECURSIVE t(w, p, e, tok) USING KEY (w, p) AS (
-  SELECT w, p, p + 1, tok FROM bytes_in
+WITH RECURSIVE safe AS MATERIALIZED (
+  SELECT i, w, p, id FROM bytes_in JOIN byte_pairs USING (pair)
+  ANTI JOIN early_right r ON r.k = bytes_in.right_k ANTI JOIN early_left l ON l.k = bytes_in.left_k),
+t(w, p, e, tok) USING KEY (w, p) AS (
+  (SELECT w, p, p + 2, id FROM safe
+   UNION ALL SELECT w, p, p + 1, tok FROM bytes_in ANTI JOIN (SELECT unnest([i, i + 1]) AS i FROM safe) USING (i))
   UNION ALL
   (WITH pairs AS (SELECT a.w, b.p AS rp, b.e AS re, (CAST(m.id AS BIGINT) << 32) + a.p AS k {PAIRS}),
    best AS (SELECT w, min(k) AS k, arg_min(rp, k) AS rp, arg_min(re, k) AS re FROM pairs GROUP BY w)
@@ -88,8 +97,21 @@ LOW_MERGES = """
 CREATE TABLE low_merges AS
 SELECT DISTINCT part, pair, id FROM (SELECT pair // 65536 AS part, * FROM merges UNION ALL SELECT pair % 65536, * FROM merges) WHERE id < part
 """
+#: Pairs of bytes that are a token, and the bytes after and before such a pair (with it as one number) that let another
+#: merge come first.
+BYTE_PAIRS = """
+CREATE TABLE byte_pairs AS
+SELECT pair, id, pair // 65536 AS a, pair % 65536 AS b FROM merges
+WHERE a IN (SELECT tok FROM byte_tokens) AND b IN (SELECT tok FROM byte_tokens);
+CREATE TABLE early_right AS
+SELECT q.pair * 256 + m.after AS k FROM byte_pairs q JOIN merges m ON m.pair // 65536 = q.b AND m.id < q.id
+UNION SELECT q.pair * 256 + m.after FROM byte_pairs q JOIN merges m ON m.pair // 65536 = q.id AND m.id < q.id;
+CREATE TABLE early_left AS
+SELECT q.pair * 256 + m.before AS k FROM byte_pairs q JOIN merges m ON m.pair % 65536 = q.a AND m.id <= q.id
+UNION SELECT q.pair * 256 + m.before FROM byte_pairs q JOIN merges m ON m.pair % 65536 = q.id AND m.id < q.id;
+"""
 DECODE = """
-SELECT d, string_agg(h, '' ORDER BY p) AS bytes FROM ids_in JOIN vocabulary USING (id) GROUP BY d ORDER BY d
+SELECT array_to_string(list_select(h, ids), '') AS bytes FROM ids_in, vocabulary ORDER BY d
 """
 
 
@@ -159,10 +181,16 @@ class Coder:
         self.pattern = regex.compile(pattern)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY >> 20}MiB", "temp_directory": ""})
-        splits = [(a * 65536 + b, v) for t, v in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
-        self._table("merges", pair=pa.array([x[0] for x in splits], pa.int64()), id=pa.array([x[1] for x in splits], pa.int32()))
+        splits = [(a * 65536 + b, v, t[i - 1], t[i]) for t, v in self.ranks.items() for i in range(1, len(t)) if (a := self.ranks.get(t[:i])) is not None and (b := self.ranks.get(t[i:])) is not None]
+        # before and after: the last byte of the left part and the first one of the right part
+        self._table("merges", **{name: pa.array([x[k] for x in splits], kind) for k, (name, kind) in enumerate([("pair", pa.int64()), ("id", pa.int32()), ("before", pa.int32()), ("after", pa.int32())])})
         self.con.execute(LOW_MERGES)
-        self._table("vocabulary", id=pa.array(list(self.ranks.values()), pa.int32()), h=pa.array([t.decode("latin-1") for t in self.ranks]))
+        self._table("byte_tokens", tok=self.byte)
+        self.con.execute(BYTE_PAIRS)
+        names: list[str | None] = [None] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            names[rank] = token.decode("latin-1")
+        self._table("vocabulary", h=pa.array([names], pa.list_(pa.string())))
         self.known: dict[str, bytes] = {}
         for token, rank in self.ranks.items():
             try:
@@ -194,7 +222,17 @@ class Coder:
         memory = max(MEMORY, MEMORY_A_BYTE * len(data))
         if memory > MEMORY:
             self.con.execute(f"SET memory_limit = '{memory >> 20}MiB'")
-        self.con.register("bytes_in", pa.table({"w": w, "p": p, "tok": self.byte[data]}))
+        tok = self.byte[data]
+        last = np.cumsum(sizes[sizes > 0]) - 1
+        pair = np.full(len(data), -1, np.int64)
+        pair[:-1] = tok[:-1].astype(np.int64) * 65536 + tok[1:]
+        pair[last] = -1
+        right, left = pair * 256, pair * 256
+        right[:-2] += data[2:]
+        left[1:] += data[:-1]
+        right[last - 1] = left[last - sizes[sizes > 0] + 1] = -1  # nothing there; a piece of one byte has no pair
+        i = np.arange(len(data), dtype=np.int32)
+        self.con.register("bytes_in", pa.table({"i": i, "w": w, "p": p, "tok": tok, "pair": pair, "right_k": right, "left_k": left}))
         out = self.con.sql(query).to_arrow_table()
         self.con.unregister("bytes_in")
         if memory > MEMORY:
@@ -316,15 +354,16 @@ class Coder:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids."""
         out: list[list[bytes]] = [[] for _ in ids]
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in ids])
+        ends = np.cumsum([0, *map(len, ids)])
         flat = np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32)
         for i in range(0, len(flat), DECODED):
-            part = slice(i, i + DECODED)
-            self.con.register("ids_in", pa.table({"d": d[part], "p": np.arange(len(flat[part]), dtype=np.int32), "id": flat[part]}))
+            part = np.maximum(flat[i : i + DECODED], -1) + 1  # lists count from 1, and nothing is at 0
+            lists = pa.ListArray.from_arrays(pa.array(np.clip(ends - i, 0, len(part)).astype(np.int32)), pa.array(part))
+            self.con.register("ids_in", pa.table({"d": np.arange(len(ids), dtype=np.int32), "ids": lists}))
             got = self.con.sql(DECODE).to_arrow_table()
             self.con.unregister("ids_in")
-            for k, b in zip(got["d"].to_pylist(), got["bytes"].to_pylist()):
-                out[k].append(b.encode("latin-1"))  # a character stands for a byte
+            for k, b in enumerate(got["bytes"].to_pylist()):
+                out[k].append((b or "").encode("latin-1"))  # a character stands for a byte
         return [b"".join(x) for x in out]
 
 

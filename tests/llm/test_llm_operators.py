@@ -606,6 +606,86 @@ def test_bpe_of_long_pieces():
         assert coder.decode([np.frombuffer(coder.encode([text])[0], np.int32)]) == [text.encode()]
 
 
+def test_bpe_of_any_ranks(tmp_path):
+    import base64
+
+    import tiktoken
+
+    for seed in range(12):
+        r = random.Random(seed)
+        tokens = [bytes([i]) for i in range(256)]
+        for _ in range(r.choice([5, 20, 80, 300])):
+            a, b = (r.choice(tokens[:97:-1] if r.random() < 0.9 else [b"a", b"b", b"c"]) for _ in range(2))
+            if a + b not in tokens and set(a + b) <= set(b"abc\xc3\xa9") and len(a + b) < 9:
+                tokens.append(a + b)
+        if seed % 3:  # a token may come before its parts
+            r.shuffle(tokens)
+        ranks = {t: i for i, t in enumerate(tokens)}
+        path = tmp_path / f"{seed}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for t, i in ranks.items()))
+        coder = bpe.Coder(str(path), "[abcé]+| +")
+        own = tiktoken.Encoding("own", pat_str="[abcé]+| +", mergeable_ranks=ranks, special_tokens={})
+        text = " ".join("".join(r.choice("aaabbcé"[r.randint(0, 2) :]) for _ in range(r.choice([1, 2, 3, 4, 6, 9, 14, 40, 200]))) for _ in range(300))
+        [got] = coder.encode([text])
+        assert np.frombuffer(got, np.int32).tolist() == own.encode_ordinary(text), seed
+        assert coder.decode([np.frombuffer(got, np.int32)]) == [text.encode()]
+
+
+def test_pairs_of_bytes_that_nothing_comes_before_are_contracted_at_once():
+    import public_tokenizers as P
+
+    coder, r = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(9)
+    words = [" " + "".join(r.choice(["th", "er", "on", "ing", "ea", "wh", "re", "an", "ti"]) for _ in range(4)) for _ in range(2000)]
+    places = []
+
+    def counted(pieces, query=bpe.CONTRACT):
+        plain(pieces, query.replace("SELECT w, tok FROM t WHERE tok >= 0 ORDER BY w, p", "SELECT CAST(count(*) AS INT) AS w, 0 AS tok FROM t"))
+        places.append(int(coder.last["w"][0].as_py()))
+        return plain(pieces, query)
+
+    class Seen:
+        """The connection, which keeps its last result."""
+
+        def __init__(self, con):
+            self.con = con
+
+        def __getattr__(self, name):
+            return getattr(self.con, name)
+
+        def sql(self, query):
+            coder.last = self.con.sql(query).to_arrow_table()
+            return type("Result", (), {"to_arrow_table": lambda _: coder.last})()
+
+    coder.con, plain = Seen(coder.con), coder._contract
+    coder._contract = counted
+    new = set(words) - set(coder.known)
+    coder.encode(["".join(words)])
+    assert sum(places) < 0.8 * sum(len(w.encode()) for w in new)
+
+
+def test_decoding_takes_no_sort_of_all_ids():
+    import time
+
+    import public_tokenizers as P
+
+    coder, r = bpe.Coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), np.random.default_rng(10)
+    ids = [r.integers(0, 50_000, n, np.int32) for n in (400_000, 0, 1, 500_000, 300_001)]
+    names = {i: t for t, i in coder.ranks.items()}
+    assert coder.decode(ids) == [b"".join(map(names.get, x.tolist())) for x in ids]
+    assert coder.decode([np.array([-5, ids[0][0], -1, 1 << 20], np.int32)]) == [names[int(ids[0][0])]]
+    coder.con.register("sorted_in", pa.table({"p": np.arange(len(ids[0])), "id": ids[0]}))
+    coder._table("named", id=pa.array(list(names), pa.int32()), h=pa.array([t.decode("latin-1") for t in names.values()]))
+    took = []
+    for run in (lambda: coder.con.sql("SELECT string_agg(h, '' ORDER BY p) FROM sorted_in JOIN named USING (id)").fetchall(), lambda: coder.decode(ids[:1])):
+        best = []
+        for _ in range(3):
+            began = time.thread_time()
+            run()
+            best.append(time.thread_time() - began)
+        took.append(min(best))
+    assert took[1] < 0.7 * took[0]
+
+
 def test_an_unbroken_run_of_a_megabyte_needs_no_more_memory(monkeypatch):
     import public_tokenizers as P
     import tiktoken
